@@ -14,7 +14,7 @@ SECONDS_PER_DAY = 86400
 
 
 def local_wall_clock(epoch_seconds: Column, tz: str = "UTC") -> Column:
-    utc = F.timestampadd("SECOND", epoch_seconds, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+    utc = F.timestamp_add("SECOND", epoch_seconds, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
     if tz == "UTC":
         return utc
     return F.convert_timezone(F.lit("UTC"), F.lit(tz), utc)

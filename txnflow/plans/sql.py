@@ -74,3 +74,74 @@ def with_ctes(names, body: str) -> str:
 
 
 BASE = ["journey_event", "journey", "accounts", "joined"]
+
+
+def _domain_ctes():
+    from txnflow.domain import TESTDATA_DOMAIN as d
+    from txnflow.plans import sqlgen as g
+    CTE["cleaned"] = f"""
+SELECT actor_id, event, behavior_yyyymm, action_sponsor, action_time,
+  coalesce(action_type, 'unknown') AS action_type, object_id, twd_amt,
+  coalesce(txn_currency_code, 'unknown') AS txn_currency_code,
+  coalesce(txn_type_desc, 'unknown') AS txn_type_desc,
+  coalesce(CASE WHEN atm_location IS NULL AND event IS DISTINCT FROM {g.lit(d.atm_event)}
+                THEN {g.lit(d.online_location)} ELSE atm_location END, 'unknown') AS atm_location,
+  coalesce(target_acct_nbr, 'unknown') AS target_acct_nbr,
+  coalesce(target_bank_code, 'unknown') AS target_bank_code,
+  customer_id, acct_nbr, customer_class_code, yyyymm, start_ym, label,
+  coalesce(target_customer_id, 'unknown') AS target_customer_id
+FROM joined
+WHERE event IS DISTINCT FROM {g.lit(d.excluded_event)} AND label IS DISTINCT FROM 3
+  AND customer_class_code = 'I' AND action_sponsor = 'self'
+"""
+    CTE["features0"] = f"""
+SELECT *, make_timestamp(action_time * 1000000) AS ts_utc,
+  replace(atm_location, {g.lit(d.location_dash)}, ' ') AS loc_text,
+  action_type || ' ' || txn_type_desc AS all_action_types
+FROM cleaned
+"""
+    CTE["features1"] = f"""
+SELECT actor_id, event, behavior_yyyymm, action_sponsor, action_type, object_id, twd_amt, txn_currency_code,
+  txn_type_desc, atm_location, target_acct_nbr, target_bank_code, customer_id, acct_nbr, customer_class_code,
+  yyyymm, start_ym, label, target_customer_id,
+  CASE WHEN coalesce(target_bank_code <> {g.lit(d.home_bank_code)}, TRUE) THEN 1 ELSE 0 END AS isCrossBank,
+  CASE WHEN coalesce(actor_id = target_customer_id, FALSE) AND coalesce(acct_nbr <> target_acct_nbr, TRUE)
+       THEN 1 ELSE 0 END AS isSelfTrans,
+  CASE WHEN coalesce(txn_currency_code IN {g.in_list(d.home_currencies)}, FALSE) THEN 0 ELSE 1 END AS isExchangeDeal,
+  CAST(month(ts_utc) AS INTEGER) AS action_time_month,
+  CAST(day(ts_utc) AS INTEGER) AS action_time_day,
+  CAST(hour(ts_utc) AS INTEGER) AS action_time_hour,
+  CAST(isodow(ts_utc) AS INTEGER) AS action_time_dayOfWeek,
+  action_time AS action_epoch,
+  action_time / 86400.0 AS action_time,
+  CASE WHEN isodow(ts_utc) IN (6, 7) THEN 1 ELSE 0 END AS action_time_isWeekend_1,
+  CASE WHEN hour(ts_utc) >= 7 AND hour(ts_utc) < 13 THEN 1 ELSE 0 END AS action_time_periodOfDay_1,
+  CASE WHEN hour(ts_utc) >= 13 AND hour(ts_utc) < 19 THEN 1 ELSE 0 END AS action_time_periodOfDay_2,
+  CASE WHEN NOT (hour(ts_utc) >= 1 AND hour(ts_utc) < 19) THEN 1 ELSE 0 END AS action_time_periodOfDay_3,
+  CASE WHEN event = 'atm_transaction' THEN 1 ELSE 0 END AS event_atm_transaction,
+  CASE WHEN event = 'myatm_transaction' THEN 1 ELSE 0 END AS event_myatm_transaction,
+  {g.classify('loc_text', d.location_rules, d.location_default)} AS cat_location,
+  {g.location_document('atm_location', d)} AS location_doc,
+  all_action_types,
+  {g.classify('all_action_types', d.action_rules, d.action_default, 'twd_amt')} AS cat_action
+FROM features0
+"""
+    CTE["features2"] = f"""
+SELECT *,
+  CASE WHEN action_sponsor = 'self' AND coalesce(twd_amt = 0, FALSE)
+            AND coalesce(regexp_matches(cat_action, {g.lit(d.enquiry_category_pattern)}), FALSE) THEN 0
+       WHEN action_sponsor = 'self' AND coalesce(twd_amt > 0, FALSE)
+            AND coalesce(regexp_matches(all_action_types, {g.lit(d.cash_out_pattern)}), FALSE)
+            AND NOT coalesce(regexp_matches(all_action_types, {g.lit(d.cash_out_exclude)}), FALSE) THEN -1
+       ELSE 1 END AS cash_flow
+FROM features1
+"""
+    CTE["features"] = """
+SELECT *, CASE WHEN cash_flow = -1 THEN 1 ELSE 0 END AS "cash_flow_-1",
+  CASE WHEN cash_flow = 1 THEN 1 ELSE 0 END AS cash_flow_1
+FROM features2
+"""
+
+
+_domain_ctes()
+FEATURES = BASE + ["cleaned", "features0", "features1", "features2", "features"]
