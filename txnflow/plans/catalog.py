@@ -1,4 +1,4 @@
 """Import every plan module so all queries are registered."""
 
-from txnflow.plans import extract, features  # noqa: F401
+from txnflow.plans import extract, features, sequences  # noqa: F401
 from txnflow.plans.registry import QUERIES  # noqa: F401
