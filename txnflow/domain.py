@@ -200,7 +200,7 @@ TESTDATA_DOMAIN = Domain(
     action_default="other",
     stop_words=(" ", "\n", ".", ",", "#", "-", "(", ")", "unknown", "the", "of", "and", "de", "la", "le",
                 "der", "die", "und", "el", "los", "en"),
-    token_strip="s",
+    token_strip="'",
     lexicon=("Brand 1", "Brand 17", "red widget", "blue bolt", "hot plate"),
     cash_out_pattern="PROMO|LARGE|ECONOMY|widget|gear|unknown unknown",
     cash_out_exclude="rod|ring",

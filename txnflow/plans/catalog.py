@@ -1,4 +1,4 @@
 """Import every plan module so all queries are registered."""
 
-from txnflow.plans import extract, features, preference, profile, sequences  # noqa: F401
+from txnflow.plans import evaluation, extract, features, preference, profile, sampling, sequences  # noqa: F401
 from txnflow.plans.registry import QUERIES  # noqa: F401

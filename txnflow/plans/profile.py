@@ -41,12 +41,12 @@ PROFILE_DOUBLES = ("twdAmt_avg", "twdAmt_cov")
 , prof AS (
   SELECT actor_id, avg(twd_amt) AS twdAmt_avg,
     stddev_pop(twd_amt) / nullif(avg(twd_amt), 0) AS twdAmt_cov,
-    count_if(action_sponsor = 'self') * count_if(action_sponsor = 'others') AS sponsor_multiply,
+    CAST(count_if(action_sponsor = 'self') * count_if(action_sponsor = 'others') AS BIGINT) AS sponsor_multiply,
     {_distinct_with_null('txn_currency_code')} AS currency_uniqueNum,
     {_distinct_with_null('atm_location')} AS atmLocation_uniqueNum,
     {_distinct_with_null('target_acct_nbr')} AS targetAcct_uniqueNum,
     {_distinct_with_null('acct_nbr')} AS acct_uniqueNum,
-    count_if(isCrossBank = 0) * count_if(isCrossBank = 1) AS isCrossBank_01multiply,
+    CAST(count_if(isCrossBank = 0) * count_if(isCrossBank = 1) AS BIGINT) AS isCrossBank_01multiply,
     CAST(sum(isSelfTrans) AS BIGINT) AS isSelfTrans_sum
   FROM profile_in GROUP BY actor_id),
 labels AS (SELECT DISTINCT actor_id, label FROM profile_in)
