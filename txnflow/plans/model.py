@@ -9,7 +9,7 @@ from txnflow.operators.classifier import score, train_best
 from txnflow.operators.density import kde
 from txnflow.operators.features import model_columns
 from txnflow.operators.sampling import stratified_split
-from txnflow.operators.scaling import standardize
+from txnflow.operators.scaling import standardize_all
 from txnflow.operators.sequences import build_sequences, flatten, last_steps, max_timestep, pad_sequences
 from txnflow.operators.text_features import fit_count_vectors, one_hot_vector, pca_columns
 from txnflow.functions import flags, text
@@ -27,8 +27,7 @@ def full_features(spark, sf_dir, domain=TESTDATA_DOMAIN):
     levels = [r.label for r in domain.action_rules] + [domain.action_default]
     df = df.withColumn("_cat_vec", one_hot_vector(F.col("cat_action"), levels))
     df, _ = pca_columns(df, "_cat_vec", 10, 4, "cat_action_")
-    df = standardize(df, "twd_amt")
-    df = standardize(df, "time_diff")
+    df = standardize_all(df, ["twd_amt", "time_diff"])
     return df.drop("_terms", "_loc_counts", "_cat_vec")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from txnflow.domain import NON_PCA_FEATURES
-from txnflow.operators.scaling import standardize
+from txnflow.operators.scaling import standardize_all
 from txnflow.operators.sequences import build_sequences, last_steps, max_timestep, pad_sequences, steps_per_actor
 from txnflow.operators.sessions import gap_sessions, session_sizes
 from txnflow.plans.features import features
@@ -48,8 +48,7 @@ def sessioned(spark, sf_dir):
 
 
 def scaled(spark, sf_dir):
-    df = standardize(sessioned(spark, sf_dir), "twd_amt")
-    return standardize(df, "time_diff")
+    return standardize_all(sessioned(spark, sf_dir), ["twd_amt", "time_diff"])
 
 
 @register("gap_sessions", bench=True, sql=with_ctes(SEQ[:-2], """
