@@ -24,3 +24,17 @@ def test_round_trips(spark):
 def test_dataset_name():
     name = io.dataset_name("featureGeneration", "1910_1912", "2001", "20200301", "v1", "smote")
     assert name == "featureGeneration__observ_1910_1912_labeled_2001_20200301_v1_smote"
+
+
+def test_build_training_set(spark):
+    from txnflow.plans.jobs import build_training_set
+    out = tempfile.mkdtemp(prefix="txnflow-job-")
+    paths = build_training_set(spark, "/root/testdata/sf0.001", out, try_date="20240301", version="v1")
+    t = spark.read.parquet(paths["tensors"])
+    counts = {(r.split, r.label): r["count"] for r in t.groupBy("split", "label").count().collect()}
+    train = [n for (s, _), n in counts.items() if s == "train"]
+    assert len(set(train)) == 1                                  # train classes balanced by SMOTE
+    x = t.select(F.size("x").alias("T"), F.size(F.col("x")[0]).alias("F")).distinct().collect()
+    assert len(x) == 1 and x[0].F == 22
+    labels = spark.read.option("header", True).csv(paths["actor_label"])
+    assert labels.count() == t.filter(~F.col("is_synthetic")).count()
