@@ -237,3 +237,21 @@ def test_pca_matches_numpy(spark):
     vecs *= np.where(vecs[np.abs(vecs).argmax(0), range(3)] < 0, -1, 1)
     assert np.allclose(got, xc @ vecs, atol=1e-8)
     assert len(ratios) == 4
+
+
+def test_token_projection_matches_numpy(spark):
+    from txnflow.operators.text_features import count_vectors, fit_pca, project_tokens, vocabulary
+    rng = np.random.default_rng(5)
+    words = ["aa", "bb", "cc", "dd", "ee", "ff"]
+    docs = [(i, [words[j] for j in rng.integers(0, 6, rng.integers(0, 9))]) for i in range(40)]
+    df = spark.createDataFrame(docs, "doc_id int, terms array<string>")
+    vocab = vocabulary(df, "doc_id", "terms", 0.001, 0.99, vocab_size=5)
+    assert len(vocab) == 5
+    fit = fit_pca(count_vectors(df, "terms", vocab), "counts", 3)
+    out = df.select("doc_id", *project_tokens("terms", vocab, fit, 3, "p")).orderBy("doc_id").collect()
+    x = np.array([[t.count(w) for w in vocab] for _, t in docs], dtype=float)
+    xc = x - x.mean(0)
+    w, v = np.linalg.eigh(np.cov(xc, rowvar=False))
+    v = v[:, np.argsort(w)[::-1]][:, :3]
+    v *= np.where(v[np.abs(v).argmax(0), range(3)] < 0, -1, 1)
+    assert np.allclose([[r.p0, r.p1, r.p2] for r in out], xc @ v, atol=1e-8)

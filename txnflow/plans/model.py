@@ -11,24 +11,28 @@ from txnflow.operators.features import model_columns
 from txnflow.operators.sampling import stratified_split
 from txnflow.operators.scaling import standardize_all
 from txnflow.operators.sequences import build_sequences, flatten, last_steps, max_timestep, pad_sequences
-from txnflow.operators.text_features import fit_count_vectors, one_hot_vector, pca_columns
+from txnflow.operators.text_features import (count_vectors, fit_pca, one_hot_vector, project_levels,
+                                             project_tokens, vocabulary)
 from txnflow.functions import flags, text
 from txnflow.plans.registry import register
 from txnflow.plans.sequences import SEQ, sessioned
 from txnflow.plans.sql import CTE, with_ctes
+from txnflow.session import cut_lineage
 from txnflow.sources import testdata as td
 
 
 def full_features(spark, sf_dir, domain=TESTDATA_DOMAIN):
     """Every per-transaction feature, PCA projections and scaled columns included."""
-    df = sessioned(spark, sf_dir).withColumn("_terms", text.analyse(F.col("location_doc")))
-    _, df = fit_count_vectors(df, "_terms", 0.001, 0.99, out="_loc_counts")
-    df, _ = pca_columns(df, "_loc_counts", 10, 5, "location_token_")
+    # Many passes follow (vocabulary, two PCA fits, means, scalers): compute the rows once.
+    df = cut_lineage(sessioned(spark, sf_dir).withColumn("_terms", text.analyse(F.col("location_doc"))))
+    vocab = vocabulary(df, None, "_terms", 0.001, 0.99)
+    loc_fit = fit_pca(count_vectors(df, "_terms", vocab, "_loc_counts"), "_loc_counts", 10)
     levels = [r.label for r in domain.action_rules] + [domain.action_default]
-    df = df.withColumn("_cat_vec", one_hot_vector(F.col("cat_action"), levels))
-    df, _ = pca_columns(df, "_cat_vec", 10, 4, "cat_action_")
+    cat_fit = fit_pca(df.select(one_hot_vector(F.col("cat_action"), levels).alias("_cat_vec")), "_cat_vec", 10)
+    df = df.select("*", *project_tokens("_terms", vocab, loc_fit, 5, "location_token_"),
+                   *project_levels(F.col("cat_action"), levels, cat_fit, 4, "cat_action_"))
     df = standardize_all(df, ["twd_amt", "time_diff"])
-    return df.drop("_terms", "_loc_counts", "_cat_vec")
+    return df.drop("_terms")
 
 
 @register("txn_features")

@@ -11,6 +11,7 @@ from txnflow.operators.sessions import gap_sessions, session_sizes
 from txnflow.plans.features import features
 from txnflow.plans.registry import register
 from txnflow.plans.sql import CTE, FEATURES, with_ctes
+from txnflow.session import cut_lineage
 
 TIES = ["event", "twd_amt", "action_type", "txn_type_desc", "atm_location", "target_acct_nbr", "acct_nbr"]
 ORDER_ASC = ", ".join(["action_epoch"] + [f"{c} ASC NULLS FIRST" for c in TIES])
@@ -48,7 +49,8 @@ def sessioned(spark, sf_dir):
 
 
 def scaled(spark, sf_dir):
-    return standardize_all(sessioned(spark, sf_dir), ["twd_amt", "time_diff"])
+    # Fitted once, then read by the scaler fit, the max-length scalar and the main plan.
+    return standardize_all(cut_lineage(sessioned(spark, sf_dir)), ["twd_amt", "time_diff"])
 
 
 @register("gap_sessions", bench=True, sql=with_ctes(SEQ[:-2], """

@@ -23,6 +23,7 @@ DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -43,8 +44,9 @@ def build_session(master: str = "local[8]", app: str = "txnflow",
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster the folder must be set by the deployment (shared storage).
-    Only when it is unset -- local tests -- do we create a scratch folder.
+    On a cluster the folder must be set by the deployment (shared storage);
+    if it is missing there we fail rather than write to a machine-local folder.
+    Only in local mode (tests) is a scratch folder created when it is unset.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -52,11 +54,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder (e.g. on HDFS / object storage)")
         configured = tempfile.mkdtemp(prefix="txnflow-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()
 
 
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint of ``df`` into the shared checkpoint folder.
+
+    Used before multi-pass work (fits, scalars, then the main plan): the
+    upstream plan runs once instead of once per pass, and a lost executor
+    re-reads checkpoint files instead of replaying the whole lineage.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet under the shared checkpoint folder and read it back.
 
