@@ -255,3 +255,16 @@ def test_token_projection_matches_numpy(spark):
     v = v[:, np.argsort(w)[::-1]][:, :3]
     v *= np.where(v[np.abs(v).argmax(0), range(3)] < 0, -1, 1)
     assert np.allclose([[r.p0, r.p1, r.p2] for r in out], xc @ v, atol=1e-8)
+
+
+def test_best_model_and_classifier(spark):
+    from txnflow.operators.classifier import score, train_best
+    m = spark.createDataFrame([(0, 0.5), (1, 0.7), (2, 0.7)], "model_id int, val_f1 double")
+    assert evaluation.best_model(m).first()["model_id"] == 1
+    rng = np.random.default_rng(6)
+    rows = [(i, i % 3, (rng.normal(size=4) + 3 * (i % 3)).tolist()) for i in range(90)]
+    df = spark.createDataFrame(rows, "id long, label int, features array<double>")
+    model, metrics = train_best(df, df, reg_params=(0.0, 0.1))
+    assert metrics.count() == 2
+    acc = score(model, df).filter(F.col("y_pred") == F.col("label")).count() / 90
+    assert acc > 0.9

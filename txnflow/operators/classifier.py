@@ -15,7 +15,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from txnflow.operators.evaluation import argmax, macro_scores
+from txnflow.operators.evaluation import argmax, best_model, macro_scores
 
 
 def _vectors(df: DataFrame, features: str) -> DataFrame:
@@ -24,7 +24,10 @@ def _vectors(df: DataFrame, features: str) -> DataFrame:
 
 def train_best(train: DataFrame, val: DataFrame, features: str = "features", label: str = "label",
                reg_params: Sequence[float] = (0.0, 0.01, 0.1), max_iter: int = 50):
-    """Fit one model per regularisation strength; return (best model, metrics rows)."""
+    """Fit one model per regularisation strength; return (best model, metrics table).
+
+    E8: the model with the highest validation macro F1 wins (ties: lowest id).
+    """
     tr, va = _vectors(train, features), _vectors(val, features)
     fitted, metrics = [], []
     for i, reg in enumerate(reg_params):
@@ -34,8 +37,9 @@ def train_best(train: DataFrame, val: DataFrame, features: str = "features", lab
         m = macro_scores(scored.select(F.col(label).cast("int").alias("y_true"), "y_pred")).first()
         fitted.append(model)
         metrics.append((i, float(reg), float(m["f1_macro"])))
-    best = max(metrics, key=lambda r: (r[2], -r[0]))
-    return fitted[best[0]], metrics
+    table = train.sparkSession.createDataFrame(metrics, "model_id int, reg_param double, val_f1 double")
+    best = best_model(table).first()["model_id"]
+    return fitted[best], table
 
 
 def score(model, df: DataFrame, features: str | None = "features", truth: str = "label") -> DataFrame:
