@@ -38,14 +38,16 @@ def confusion_matrix(df: DataFrame, classes: Sequence[int] = CLASSES, truth: str
     """E5 + E6: (y_true, y_pred, n, share) over the full class grid.
 
     ``share`` is n over its predicted-class column total (precision view),
-    rounded half-even to 2 decimals; null for an empty column.
+    rounded to 2 decimals as numpy's ``around`` does (half to even on the
+    scaled double); null for an empty column.
     """
     counts = df.groupBy(F.col(truth).alias("y_true"), F.col(pred).alias("y_pred")).agg(
         F.count(F.lit(1)).alias("n"))
     grid = _grid(df.sparkSession, classes)
     cells = grid.join(counts, ["y_true", "y_pred"], "left").fillna(0, subset=["n"])
     col_total = F.sum("n").over(Window.partitionBy("y_pred"))
-    return cells.withColumn("share", F.bround(F.try_divide(F.col("n").cast("double"), col_total), 2))
+    share = F.try_divide(F.col("n").cast("double"), col_total)
+    return cells.withColumn("share", F.rint(share * 100.0) / 100.0)
 
 
 def per_class(cm: DataFrame) -> DataFrame:

@@ -44,7 +44,8 @@ def predictions(spark, sf_dir):
 
 
 @register("confusion_matrix", sql=with_ctes(EVAL[:2], """
-SELECT y_true, y_pred, n, round_even(n / nullif(sum(n) OVER (PARTITION BY y_pred), 0), 2) AS share FROM cm"""))
+SELECT y_true, y_pred, n, round_even(n / nullif(sum(n) OVER (PARTITION BY y_pred), 0) * 100.0, 0) / 100.0 AS share
+FROM cm"""))
 def q_confusion_matrix(spark, sf_dir):
     return confusion_matrix(predictions(spark, sf_dir))
 

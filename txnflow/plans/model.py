@@ -69,13 +69,13 @@ FROM g JOIN density_in d ON d.label = g.label GROUP BY g.label, g.grid_idx, g.x,
 
 
 @register("amount_density", sql=with_ctes(SEQ[:-2] + ["density_in", "density"], """
-SELECT label, grid_idx, round(x, 6) AS x, round(density, 12) AS density FROM density"""))
+SELECT label, grid_idx, x, round(density, 12) AS density FROM density"""))
 def q_amount_density(spark, sf_dir):
     s = sessioned(spark, sf_dir)
     totals = s.groupBy("label", "actor_id").agg(
         F.sum(flags.signed_amount(F.col("cash_flow"), F.col("twd_amt"))).alias("v"))
     out = kde(totals, "v", "label")
-    return out.select("label", "grid_idx", F.round("x", 6).alias("x"), F.round("density", 12).alias("density"))
+    return out.select("label", "grid_idx", "x", F.round("density", 12).alias("density"))
 
 
 @register("train_score")

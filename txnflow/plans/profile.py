@@ -34,7 +34,7 @@ def profile_input(spark, sf_dir):
     return transaction_flags(clean(joined(spark, sf_dir), TESTDATA_DOMAIN, sponsor=None), TESTDATA_DOMAIN)
 
 
-PROFILE_DOUBLES = ("twdAmt_avg", "twdAmt_cov")
+PROFILE_DOUBLES = ("twdAmt_cov",)
 
 
 @register("actor_profile", bench=True, sql=with_ctes(BASE + ["cleaned", "cleaned_all", "profile_in"], f"""
@@ -50,7 +50,7 @@ PROFILE_DOUBLES = ("twdAmt_avg", "twdAmt_cov")
     CAST(sum(isSelfTrans) AS BIGINT) AS isSelfTrans_sum
   FROM profile_in GROUP BY actor_id),
 labels AS (SELECT DISTINCT actor_id, label FROM profile_in)
-SELECT p.actor_id, round(coalesce(p.twdAmt_avg, 0), 6) AS twdAmt_avg, round(coalesce(p.twdAmt_cov, 0), 6) AS twdAmt_cov,
+SELECT p.actor_id, coalesce(p.twdAmt_avg, 0) AS twdAmt_avg, round(coalesce(p.twdAmt_cov, 0), 6) AS twdAmt_cov,
   p.sponsor_multiply, p.currency_uniqueNum, p.atmLocation_uniqueNum, p.targetAcct_uniqueNum, p.acct_uniqueNum,
   p.isCrossBank_01multiply, coalesce(p.isSelfTrans_sum, 0) AS isSelfTrans_sum, coalesce(l.label, 0) AS label
 FROM prof p LEFT JOIN labels l ON p.actor_id = l.actor_id
@@ -60,10 +60,11 @@ def q_actor_profile(spark, sf_dir):
     return prof.select(*[F.round(c, 6).alias(c) if c in PROFILE_DOUBLES else F.col(c) for c in prof.columns])
 
 
-COND_DOUBLES = ("true_amt_sum", "avg_timeDiff_allTrans", "cov_timeDiff_allTrans", "avg_timeDiff_zeroTrans",
-                "cov_timeDiff_zeroTrans", "avg_timeDiff_cashTrans", "cov_timeDiff_cashTrans",
-                "avg_twdAmt_allTrans", "cov_twdAmt_allTrans", "avg_twdAmt_allCashTrans",
-                "cov_twdAmt_allCashTrans", "ratio_lessThan1000_allCashTrans", "ratio_weirdAmt_allCashTrans")
+# Only values from floating-point algorithms (standard deviations) are rounded for
+# comparison; means of exact sums and ratios of counts are the same double in any
+# engine, and rounding them could only introduce half-way disagreements.
+COND_DOUBLES = ("cov_timeDiff_allTrans", "cov_timeDiff_zeroTrans", "cov_timeDiff_cashTrans",
+                "cov_twdAmt_allTrans", "cov_twdAmt_allCashTrans")
 
 
 def _cv(x, mean=None):
@@ -94,7 +95,8 @@ _COND_SQL = {
 
 
 @register("conditional_profile", sql=with_ctes(SEQ[:-2], "SELECT label, actor_id, count(DISTINCT event) AS kindsOfEvent, "
-          + ", ".join(f"round({e}, 6) AS {n}" for n, e in _COND_SQL.items())
+          + ", ".join((f"round({e}, 6) AS {n}" if n in COND_DOUBLES else f"{e} AS {n}")
+                      for n, e in _COND_SQL.items())
           + " FROM sessioned GROUP BY label, actor_id"))
 def q_conditional_profile(spark, sf_dir):
     prof = conditional_profile(sessioned(spark, sf_dir))
@@ -102,15 +104,14 @@ def q_conditional_profile(spark, sf_dir):
 
 
 @register("weekend_share", sql=with_ctes(FEATURES, """
-SELECT label, action_time_isWeekend_1, n, round(isWeekend_percent, 6) AS isWeekend_percent FROM (
+SELECT label, action_time_isWeekend_1, n, isWeekend_percent FROM (
   SELECT label, action_time_isWeekend_1, count(*) AS n,
     CASE WHEN label IN (0, 1, 2) THEN count(*) / sum(count(*)) OVER (PARTITION BY label) ELSE 0.0 END
       AS isWeekend_percent
   FROM features GROUP BY label, action_time_isWeekend_1) s
 WHERE isWeekend_percent > 0.001"""))
 def q_weekend_share(spark, sf_dir):
-    return weekend_share(features(spark, sf_dir)).withColumn("isWeekend_percent",
-                                                              F.round("isWeekend_percent", 6))
+    return weekend_share(features(spark, sf_dir))
 
 
 @register("null_counts", sql=with_ctes(BASE, "UNPIVOT (SELECT "

@@ -129,11 +129,11 @@ def q_smote_neighbours(spark, sf_dir):
 
 
 @register("smote_resample", bench=True, sql=with_ctes(["emb", "plan", "nbrs", "synth"], """
-SELECT label, sample_idx, base_id, nbr_id, round(u, 9) AS u, unnest(range(len(features))) AS dim,
+SELECT label, sample_idx, base_id, nbr_id, u, unnest(range(len(features))) AS dim,
        round(unnest(features), 6) AS value
 FROM synth"""))
 def q_smote_resample(spark, sf_dir):
     s = smote_samples(td.vectors(spark, sf_dir), K, SMOTE_SEED)
-    rows = s.select("label", "sample_idx", "base_id", "nbr_id", F.round("u", 9).alias("u"),
+    rows = s.select("label", "sample_idx", "base_id", "nbr_id", "u",
                     F.posexplode("features").alias("dim", "value"))
     return rows.withColumn("dim", F.col("dim").cast("long")).withColumn("value", F.round("value", 6))
