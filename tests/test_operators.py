@@ -268,3 +268,10 @@ def test_best_model_and_classifier(spark):
     assert metrics.count() == 2
     acc = score(model, df).filter(F.col("y_pred") == F.col("label")).count() / 90
     assert acc > 0.9
+
+
+def test_pad_long_equals_array_padding(spark):
+    rows = [("a", i, float(i)) for i in range(2)] + [("c", i, float(i)) for i in range(5)]
+    df = spark.createDataFrame(rows, "actor_id string, action_epoch long, f double").withColumn("label", F.lit(1))
+    long = sorted((r.actor_id, r.step, r.f) for r in sequences.pad_long(df, 3, ["f"], chunk_seconds=2).collect())
+    assert long == [("a", 0, 0.0), ("a", 1, 0.0), ("a", 2, 1.0), ("c", 0, 2.0), ("c", 1, 3.0), ("c", 2, 4.0)]

@@ -63,6 +63,27 @@ def pad_sequences(seqs: DataFrame, T: int, n_features: int, steps: str = "steps"
     return seqs.withColumn(out, padded).drop(steps) if out != steps else seqs.withColumn(out, padded)
 
 
+def pad_long(df: DataFrame, T: int, features: Sequence[str], actor: str = "actor_id",
+             keys: Sequence[str] = ("label",), time: str = "action_epoch",
+             tie_breakers: Iterable[str] = DEFAULT_TIE_BREAKERS, chunk_seconds: int = 3600) -> DataFrame:
+    """Q5 in long form: (actor, keys, step 0..T-1, features), zero rows in front.
+
+    Same values as ``pad_sequences`` + ``posexplode``, but no per-actor array
+    is ever assembled: a row's step is ``T - rank_from_end`` (from the chunked
+    ranking) and each actor's ``T - n`` padding rows are generated from its
+    one count row.  Nothing is grouped into a single task, however long an
+    actor's history (or ``T``) is.
+    """
+    kept = last_steps(df, T, actor, time, tie_breakers, chunk_seconds)
+    values = [F.col(f"`{f}`").cast("double").alias(f) for f in features]
+    real = kept.select(actor, *keys, (F.lit(T) - F.col("rank_from_end")).cast("int").alias("step"), *values)
+    counts = kept.groupBy(actor, *keys).agg(F.count(F.lit(1)).alias("_n"))
+    missing = F.lit(T) - F.col("_n")
+    steps = F.when(missing > 0, F.sequence(F.lit(0), (missing - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
+    pads = counts.select(actor, *keys, F.explode(steps).alias("step"), *[F.lit(0.0).alias(f) for f in features])
+    return real.unionByName(pads)
+
+
 def flatten(x: str = "x", out: str = "features") -> F.Column:
     """Q7: T x F -> T*F."""
     return F.flatten(F.col(x)).alias(out)

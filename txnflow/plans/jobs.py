@@ -26,10 +26,14 @@ from txnflow.sources import io
 
 def build_training_set(spark: SparkSession, sf_dir: str, out_dir: str, observ: str = "2401",
                        label_period: str = "2402", try_date: str | None = None, version: str | None = None,
-                       desc: str | None = None, oversample_splits=("train",)) -> dict[str, str]:
+                       desc: str | None = None, oversample_splits=("train",),
+                       timesteps: int | None = None) -> dict[str, str]:
     """Write the feature table, actor labels, sequences and the (over-sampled) tensors.
 
-    Returns the written paths by kind.
+    ``timesteps`` fixes the sequence length T; by default it is the longest
+    sequence among actors with a non-zero label, as in the original.  Each
+    actor's array holds at most T steps (its last T), so T bounds the size of
+    every per-actor group.  Returns the written paths by kind.
     """
     name = lambda kind: f"{out_dir.rstrip('/')}/" + io.dataset_name(kind, observ, label_period, try_date,
                                                                     version, desc)
@@ -42,7 +46,7 @@ def build_training_set(spark: SparkSession, sf_dir: str, out_dir: str, observ: s
     paths["actor_label"] = name("actorLabelTable")
     io.write_csv(actor_label, paths["actor_label"])
 
-    T = max_timestep(feats)
+    T = timesteps or max_timestep(feats)
     seqs = build_sequences(last_steps(feats, T), MODEL_FEATURES)
     paths["sequences"] = name("make_sequence")
     io.write_json(seqs, paths["sequences"])

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from txnflow.domain import NON_PCA_FEATURES
 from txnflow.operators.scaling import standardize_all
-from txnflow.operators.sequences import build_sequences, last_steps, max_timestep, pad_sequences, steps_per_actor
+from txnflow.operators.sequences import (build_sequences, last_steps, max_timestep, pad_long, pad_sequences,
+                                         steps_per_actor)
 from txnflow.operators.sessions import gap_sessions, session_sizes
 from txnflow.plans.features import features
 from txnflow.plans.registry import register
@@ -105,7 +106,6 @@ CROSS JOIN (SELECT unnest(range(0, (SELECT t FROM tmax))) AS step) s
 LEFT JOIN kept k ON k.actor_id = a.actor_id AND (SELECT t FROM tmax) - k.rfe = s.step
 """.replace("\n, actors", ",\nactors")))
 def q_padded_sequences(spark, sf_dir):
-    seqs, _ = padded(spark, sf_dir)
-    rows = seqs.select("actor_id", "label", F.posexplode("x").alias("step", "v"))
-    return rows.select("actor_id", "label", F.col("step").cast("int").alias("step"),
-                       *[F.round(F.col("v")[i], 6).alias(f) for i, f in enumerate(NON_PCA_FEATURES)])
+    df = scaled(spark, sf_dir)
+    rows = pad_long(df, max_timestep(df), NON_PCA_FEATURES)
+    return rows.select("actor_id", "label", "step", *[F.round(f"`{f}`", 6).alias(f) for f in NON_PCA_FEATURES])
