@@ -182,8 +182,7 @@ def test_preference_tie_breaks(spark):
            [("c1", 2, 2, "cat", "T1", "m1", "Y", 1.0)] * 10
     cons = spark.createDataFrame(rows, "customer_id string, week int, dayofweek int, consumption_category_desc string,"
                                        " loc_type_town string, merchant_name string, merchant_flag string, txn_amt double")
-    focus = preference.focus_customers(cons, (1, 8), 10)
-    out = preference.merchant_preference(cons, focus, (0, 8)).collect()
+    out = preference.merchant_preference(cons, (1, 8), (0, 8), 10).collect()
     got = {(r.dayofweek, r.loc_type_town): r.merchant_name for r in out}
     # Day 1: T2 (count 1, amount 20) loses to T1 (count 2); within T1, m1 (11 rows) ranks first.
     assert got == {(1, "T1"): "m1", (2, "T1"): "m1"}

@@ -1,10 +1,12 @@
 """Favourite merchant per customer and weekday.
 
-Plan shape (scale): both profiles aggregate first -- partial aggregation
-collapses a hot customer's rows in every task before the shuffle -- and all
-windows and joins then run on the small aggregated tables.  The focus-customer
-filter is a semi join on those aggregates.  ``row_number() == 1`` lets Spark
-insert a per-partition group limit before the window shuffle.
+Plan shape (scale): the fact rows are read and aggregated exactly once, at the
+finest grain any branch needs (customer, weekday, category, town, merchant,
+flag, week-window membership), with map-side partial aggregation collapsing a
+hot customer's rows in every task before the shuffle.  That aggregate is
+checkpointed; the focus set, both profiles, the windows and the joins all run
+on it.  ``row_number() == 1`` lets Spark insert a per-partition group limit
+before the window shuffle.
 
 Ties: every ranking has explicit tie-breakers (the remaining keys), so the
 result is deterministic.  Amounts are summed as DECIMAL(18, 2): equal spend is
@@ -27,16 +29,29 @@ def focus_customers(consumption: DataFrame, weeks: tuple[int, int] = (1, 8), min
     return counts.filter(F.col("consumpt_cnt") >= min_count)
 
 
+def preference_base(consumption: DataFrame, focus_weeks: tuple[int, int], profile_weeks: tuple[int, int]) -> DataFrame:
+    """One pass over the fact rows: counts and exact spend at the finest needed grain."""
+    week = F.col("week")
+    rows = consumption.filter(F.col(TOWN).isNotNull() & (week.between(*focus_weeks) | week.between(*profile_weeks)))
+    return rows.groupBy(CUSTOMER, DOW, CATEGORY, TOWN, MERCHANT, "merchant_flag",
+                        week.between(*focus_weeks).alias("_in_focus"),
+                        week.between(*profile_weeks).alias("_in_profile")).agg(
+        F.count(F.lit(1)).alias("_cnt"), F.sum(F.col("txn_amt").cast("decimal(18,2)")).alias("_amt"))
+
+
 def _spend(df: DataFrame, keys) -> DataFrame:
-    return df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("train_consum_cnt"),
-        F.sum(F.col("txn_amt").cast("decimal(18,2)")).alias("train_consum_tot_amt"))
+    return df.groupBy(*keys).agg(F.sum("_cnt").alias("train_consum_cnt"),
+                                 F.sum("_amt").alias("train_consum_tot_amt"))
 
 
-def merchant_preference(consumption: DataFrame, focus: DataFrame, weeks: tuple[int, int] = (0, 8),
+def merchant_preference(consumption: DataFrame, focus_weeks: tuple[int, int] = (1, 8),
+                        profile_weeks: tuple[int, int] = (0, 8), min_count: int = 10,
                         flag: str = "Y") -> DataFrame:
-    base = consumption.filter((F.col("merchant_flag") == flag) & F.col(TOWN).isNotNull()
-                              & F.col("week").between(*weeks))
+    from txnflow.session import cut_lineage
+    pre = cut_lineage(preference_base(consumption, focus_weeks, profile_weeks))
+    focus = (pre.filter("_in_focus").groupBy(CUSTOMER).agg(F.sum("_cnt").alias("consumpt_cnt"))
+                .filter(F.col("consumpt_cnt") >= min_count))
+    base = pre.filter(F.col("_in_profile") & (F.col("merchant_flag") == flag))
     by_spend = [F.col("train_consum_cnt").desc(), F.col("train_consum_tot_amt").desc()]
 
     # The customer's favourite (category, town) per weekday.

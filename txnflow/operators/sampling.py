@@ -18,6 +18,8 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from txnflow.session import cut_lineage
+
 SPLITS = ("train", "val", "test")
 
 
@@ -54,9 +56,10 @@ def stratified_split(actors: DataFrame, key: str = "actor_id", label: str = "lab
     Defaults reproduce the 30 % test / 25 %-of-the-rest validation split
     (52.5 / 17.5 / 30) with the original seeds.
     """
-    a = actors.select(key, label).withColumn("_h1", keyed_hash(test_seed, key))
+    # The actor table is read by both phases and both outputs: compute it once.
+    a = cut_lineage(actors.select(key, label).withColumn("_h1", keyed_hash(test_seed, key)))
     a = exact_rank(a, [label], "_h1", key, out="_r1")
-    a = a.withColumn("_is_test", F.col("_r1") <= _ceil_fraction(F.col("group_size"), *test))
+    a = cut_lineage(a.withColumn("_is_test", F.col("_r1") <= _ceil_fraction(F.col("group_size"), *test)))
     rest = a.filter(~F.col("_is_test")).select(key, label).withColumn("_h2", keyed_hash(val_seed, key))
     rest = exact_rank(rest, [label], "_h2", key, out="_r2")
     rest = rest.select(key, label, F.when(F.col("_r2") <= _ceil_fraction(F.col("group_size"), *val), "val")
@@ -68,7 +71,7 @@ def stratified_split(actors: DataFrame, key: str = "actor_id", label: str = "lab
 def undersample(split: DataFrame, key: str = "actor_id", label: str = "label", major: int = 0,
                 target: int = 2, splits: Sequence[str] = ("train", "val"), seed: int = 7) -> DataFrame:
     """R2: inside each split, keep ``n(target)`` members of the ``major`` class, all others."""
-    rows = split.filter(F.col("split").isin(*splits))
+    rows = cut_lineage(split.filter(F.col("split").isin(*splits)))
     target_n = rows.filter(F.col(label) == target).groupBy("split").agg(F.count(F.lit(1)).alias("_keep"))
     major_rows = rows.filter(F.col(label) == major).withColumn("_h", keyed_hash(seed, key))
     major_rows = exact_rank(major_rows, ["split"], "_h", key, out="_r")

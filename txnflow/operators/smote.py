@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from txnflow.operators.sampling import exact_rank, keyed_hash
+from txnflow.session import cut_lineage
 
 TWO_32 = float(2 ** 32)
 
@@ -67,6 +68,7 @@ def knn_within_class(df: DataFrame, k: int = 5, block_size: int = 1024, classes:
     rows = df.select(F.col(key).alias("id"), F.col(label).alias("label"), F.col(features).alias("features"))
     if classes is not None:
         rows = rows.join(F.broadcast(classes.select(F.col(label).alias("label"))), "label", "left_semi")
+    rows = cut_lineage(rows)  # read by the sizes, both cogroup sides and the label lookup
     sizes = rows.groupBy("label").agg(F.count(F.lit(1)).alias("_n"))
     sizes = sizes.withColumn("_blocks", F.greatest(F.lit(1), F.ceil(F.col("_n") / block_size)).cast("int"))
     # One row per class (few classes): a proven bound.
@@ -104,7 +106,9 @@ def smote_samples(df: DataFrame, k: int = 5, seed: int = 666, key: str = "id", l
                   features: str = "features", block_size: int = 1024) -> DataFrame:
     """Synthetic rows: (label, sample_idx, base_id, nbr_id, u, features)."""
     spark = df.sparkSession
-    plan = smote_plan(df, label)
+    rows = cut_lineage(df.select(F.col(key).alias("id"), F.col(label).cast("int").alias("label"),
+                                 F.col(features).alias("features")))
+    plan = smote_plan(rows, "label")
     schema = f"label int, sample_idx long, base_id long, nbr_id long, u double, features array<double>"
     if not plan:
         return spark.createDataFrame([], schema)
@@ -127,8 +131,6 @@ def smote_samples(df: DataFrame, k: int = 5, seed: int = 666, key: str = "id", l
                + 1).alias("_nbr_rank"),
         (hash_unit(F.lit(seed), c, j, F.lit("gap")) / F.lit(TWO_32)).alias("u"),
     )
-    rows = df.select(F.col(key).alias("id"), F.col(label).cast("int").alias("label"),
-                     F.col(features).alias("features"))
     small = spark.createDataFrame([(p[0],) for p in plan], "label int")
     members_ranked = exact_rank(rows.join(F.broadcast(small), "label", "left_semi")
                                 .withColumn("_h", keyed_hash(seed, "id")), ["label"], "_h", "id", out="_base_rank")

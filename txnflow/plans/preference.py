@@ -66,5 +66,4 @@ def q_focus_customers(spark, sf_dir):
 
 @register("merchant_preference", bench=True, sql=with_ctes(["consumption", "focus", "pref"], "SELECT * FROM pref"))
 def q_merchant_preference(spark, sf_dir):
-    cons = consumption(spark, sf_dir)
-    return merchant_preference(cons, focus_customers(cons, FOCUS_WEEKS, MIN_COUNT), PROFILE_WEEKS)
+    return merchant_preference(consumption(spark, sf_dir), FOCUS_WEEKS, PROFILE_WEEKS, MIN_COUNT)
