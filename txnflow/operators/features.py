@@ -22,7 +22,7 @@ DROPPED_BEFORE_MODEL = ("event", "action_sponsor", "action_type", "cat_action",
                         "txn_type_desc", "all_action_types", "atm_location", "cat_location",
                         "target_bank_code", "target_acct_nbr", "acct_nbr", "customer_class_code", "yyyymm",
                         "start_ym", "customer_id", "object_id", "target_customer_id", "behavior_yyyymm",
-                        "location_doc", "action_epoch")
+                        "location_doc", "action_epoch", "cash_flow", "gap_seconds")
 
 
 def transaction_flags(df: DataFrame, domain: Domain) -> DataFrame:

@@ -42,6 +42,12 @@ def split(spark, sf_dir):
     return stratified_split(features(spark, sf_dir).select("actor_id", "label").distinct())
 
 
+@register("actor_label", sql=with_ctes(SPLIT[:-1], "SELECT actor_id, label FROM actor_label"))
+def q_actor_label(spark, sf_dir):
+    """A3 + J5: one row per (actor, label) of the feature table (the actor label table)."""
+    return features(spark, sf_dir).select("actor_id", "label").distinct()
+
+
 @register("stratified_split", sql=with_ctes(SPLIT, "SELECT * FROM split"))
 def q_stratified_split(spark, sf_dir):
     return split(spark, sf_dir)
