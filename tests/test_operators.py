@@ -244,7 +244,7 @@ def test_token_projection_matches_numpy(spark):
     words = ["aa", "bb", "cc", "dd", "ee", "ff"]
     docs = [(i, [words[j] for j in rng.integers(0, 6, rng.integers(0, 9))]) for i in range(40)]
     df = spark.createDataFrame(docs, "doc_id int, terms array<string>")
-    vocab = vocabulary(df, "doc_id", "terms", 0.001, 0.99, vocab_size=5)
+    vocab = vocabulary(df, "terms", 0.001, 0.99, vocab_size=5)
     assert len(vocab) == 5
     fit = fit_pca(count_vectors(df, "terms", vocab), "counts", 3)
     out = df.select("doc_id", *project_tokens("terms", vocab, fit, 3, "p")).orderBy("doc_id").collect()

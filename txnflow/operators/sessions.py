@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_TIE_BREAKERS = ("event", "twd_amt", "action_type", "txn_type_desc", "atm_location",
-                        "target_acct_nbr", "acct_nbr")
+                        "target_acct_nbr", "acct_nbr", "customer_id", "label")
 DAY = 86400
 
 

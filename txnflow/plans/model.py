@@ -25,7 +25,7 @@ def full_features(spark, sf_dir, domain=TESTDATA_DOMAIN):
     """Every per-transaction feature, PCA projections and scaled columns included."""
     # Many passes follow (vocabulary, two PCA fits, means, scalers): compute the rows once.
     df = cut_lineage(sessioned(spark, sf_dir).withColumn("_terms", text.analyse(F.col("location_doc"))))
-    vocab = vocabulary(df, None, "_terms", 0.001, 0.99)
+    vocab = vocabulary(df, "_terms", 0.001, 0.99)
     loc_fit = fit_pca(count_vectors(df, "_terms", vocab, "_loc_counts"), "_loc_counts", 10)
     levels = [r.label for r in domain.action_rules] + [domain.action_default]
     cat_fit = fit_pca(df.select(one_hot_vector(F.col("cat_action"), levels).alias("_cat_vec")), "_cat_vec", 10)

@@ -14,7 +14,8 @@ from txnflow.plans.registry import register
 from txnflow.plans.sql import CTE, FEATURES, with_ctes
 from txnflow.session import cut_lineage
 
-TIES = ["event", "twd_amt", "action_type", "txn_type_desc", "atm_location", "target_acct_nbr", "acct_nbr"]
+TIES = ["event", "twd_amt", "action_type", "txn_type_desc", "atm_location", "target_acct_nbr", "acct_nbr",
+        "customer_id", "label"]
 ORDER_ASC = ", ".join(["action_epoch"] + [f"{c} ASC NULLS FIRST" for c in TIES])
 ORDER_DESC = ", ".join(["action_epoch DESC"] + [f"{c} DESC NULLS LAST" for c in TIES])
 
