@@ -38,3 +38,12 @@ def test_build_training_set(spark):
     assert len(x) == 1 and x[0].F == 22
     labels = spark.read.option("header", True).csv(paths["actor_label"])
     assert labels.count() == t.filter(~F.col("is_synthetic")).count()
+
+
+def test_sort_for_output_orders_files(spark):
+    rows = [("a", t) for t in range(50)] + [("b", t) for t in range(5)]
+    df = spark.createDataFrame(rows, "actor_id string, action_time long")
+    out = io.sort_for_output(df, partitions=4)
+    parts = out.rdd.glom().collect()
+    flat = [tuple(r) for p in parts for r in p]
+    assert flat == sorted(rows)

@@ -44,6 +44,11 @@ def last_steps(df: DataFrame, n: int, actor: str = "actor_id", time: str = "acti
     return out.filter(F.col("rank_from_end") <= n).drop("_chunk", "_rn", "_later")
 
 
+def for_actor(df: DataFrame, actor_id: str, actor: str = "actor_id") -> DataFrame:
+    """one actor's rows (a point lookup; pushed to the scan when reading a table)."""
+    return df.filter(F.col(actor) == actor_id)
+
+
 def build_sequences(df: DataFrame, features: Sequence[str], actor: str = "actor_id",
                     keys: Sequence[str] = ("label",), time: str = "action_epoch",
                     tie_breakers: Iterable[str] = DEFAULT_TIE_BREAKERS) -> DataFrame:
