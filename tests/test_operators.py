@@ -7,7 +7,6 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from txnflow.domain import TESTDATA_DOMAIN
 from txnflow.operators import clean, evaluation, journey, preference, profile, sampling, sequences, sessions
 from txnflow.operators.density import kde
 from txnflow.operators.smote import knn_within_class, smote, smote_samples

@@ -17,7 +17,6 @@ class; the per-class offsets are a handful of numbers held as literals.
 
 from __future__ import annotations
 
-from typing import Iterator
 
 import numpy as np
 import pandas as pd

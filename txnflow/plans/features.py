@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from txnflow.domain import TESTDATA_DOMAIN
 from txnflow.operators.clean import clean
