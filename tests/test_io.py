@@ -47,3 +47,10 @@ def test_sort_for_output_orders_files(spark):
     parts = out.rdd.glom().collect()
     flat = [tuple(r) for p in parts for r in p]
     assert flat == sorted(rows)
+
+
+def test_cluster_conf_scales_with_input():
+    from txnflow.session import cluster_conf
+    conf = cluster_conf(100 * 1024 ** 4)
+    assert int(conf["spark.sql.shuffle.partitions"]) == 100 * 1024 ** 4 // (256 * 1024 ** 2)
+    assert int(cluster_conf(1024 ** 3)["spark.sql.shuffle.partitions"]) == 8000   # two waves of 4000 cores

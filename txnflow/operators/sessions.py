@@ -16,6 +16,10 @@ into (actor, time chunk) partitions -- a parallel prefix scan:
    number of sessions opened before the chunk (tiny: one row per chunk);
 3. join the carry back on (actor, chunk); the big side is already partitioned
    on those keys by step 1, so only the small side moves.
+
+The input is read by two branches (rows and chunk carry) that prune different
+columns, so Spark cannot always share one scan: pass a materialised input
+(``session.cut_lineage``) when it is expensive to compute.
 """
 
 from __future__ import annotations

@@ -47,7 +47,9 @@ SEQ = FEATURES + ["sess0", "sessioned", "scaled", "tmax"]
 
 
 def sessioned(spark, sf_dir):
-    return gap_sessions(features(spark, sf_dir))
+    # The sessions operator reads its input in two branches (rows, chunk carry);
+    # materialise the feature rows once so the extraction runs a single time.
+    return gap_sessions(cut_lineage(features(spark, sf_dir)))
 
 
 def scaled(spark, sf_dir):

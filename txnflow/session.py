@@ -27,6 +27,35 @@ DEFAULT_CONF = {
 }
 
 
+def cluster_conf(input_bytes: float, executor_cores: int = 4, executors: int = 1000,
+                 target_partition_bytes: int = 256 * 1024 * 1024) -> dict[str, str]:
+    """Settings for a cluster run, sized from the input volume.
+
+    * Scan splits of ``target_partition_bytes`` (fewer, larger tasks than the
+      128 MB default; Parquet decoding is cheap per byte).
+    * Initial shuffle partitions so that each holds about one target size of
+      input (shuffles here carry at most the input volume, usually much less
+      after partial aggregation), at least 2 waves of all cores; AQE coalesces
+      small ones at run time and splits skewed join partitions.
+    * Broadcast only below 64 MB measured size; above it, sort-merge join.
+    """
+    cores = executor_cores * executors
+    partitions = max(2 * cores, int(input_bytes // target_partition_bytes))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(2 * target_partition_bytes),
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+        "spark.sql.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+        "spark.sql.session.timeZone": "UTC",
+    }
+
+
 def build_session(master: str = "local[8]", app: str = "txnflow",
                   shuffle_partitions: int = 8, conf: dict | None = None) -> SparkSession:
     builder = SparkSession.builder.master(master).appName(app)
