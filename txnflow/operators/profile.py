@@ -39,9 +39,13 @@ def actor_profile(df: DataFrame, actor: str = "actor_id", label: str = "label")
         distinct_with_null("acct_nbr").alias("acct_uniqueNum"),
         (_count_if(cross == 0) * _count_if(cross == 1)).alias("isCrossBank_01multiply"),
         F.sum("isSelfTrans").alias("isSelfTrans_sum"),
+        # The actor's labels come out of the same pass (a handful per actor at
+        # most); wrapping in a struct keeps a missing label as a value.
+        F.collect_set(F.struct(F.col(label).alias("v"))).alias("_labels"),
     )
-    labels = df.select(actor, label).distinct()
-    return prof.join(labels, actor, "left").fillna(0)
+    prof = prof.select("*", F.explode("_labels").alias("_l")).select(
+        *[c for c in prof.columns if c != "_labels"], F.col("_l.v").alias(label))
+    return prof.fillna(0)
 
 
 def exact_avg(x: Column, scale: int = 4) -> Column:

@@ -72,8 +72,8 @@ FROM g JOIN density_in d ON d.label = g.label GROUP BY g.label, g.grid_idx, g.x,
 SELECT label, grid_idx, x, round(density, 12) AS density FROM density"""))
 def q_amount_density(spark, sf_dir):
     s = sessioned(spark, sf_dir)
-    totals = s.groupBy("label", "actor_id").agg(
-        F.sum(flags.signed_amount(F.col("cash_flow"), F.col("twd_amt"))).alias("v"))
+    totals = cut_lineage(s.groupBy("label", "actor_id").agg(
+        F.sum(flags.signed_amount(F.col("cash_flow"), F.col("twd_amt"))).alias("v")))   # read twice by kde
     out = kde(totals, "v", "label")
     return out.select("label", "grid_idx", "x", F.round("density", 12).alias("density"))
 

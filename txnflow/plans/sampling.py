@@ -10,6 +10,7 @@ from txnflow.operators.smote import knn_within_class, smote_samples
 from txnflow.plans.features import features
 from txnflow.plans.registry import register
 from txnflow.plans.sql import CTE, FEATURES, with_ctes
+from txnflow.session import cut_lineage
 from txnflow.sources import testdata as td
 
 K, SMOTE_SEED, UNDER_SEED = 5, 666, 7
@@ -76,8 +77,9 @@ SELECT actor_id, action_epoch, event, twd_amt,
     AS twd_amt_scaled
 FROM features""".replace("\n, tr", ",\ntr")))
 def q_scale_fit_on_train(spark, sf_dir):
-    df = features(spark, sf_dir)
-    train = split(spark, sf_dir).filter(F.col("split") == "train").select("actor_id")
+    df = cut_lineage(features(spark, sf_dir))   # read by the split, the fit and the output
+    train = stratified_split(df.select("actor_id", "label").distinct()).filter(F.col("split") == "train")
+    train = train.select("actor_id")
     stats = fit_scaler(df.join(train, "actor_id", "left_semi"), "twd_amt")
     out = apply_scaler(df, "twd_amt", "twd_amt_scaled", stats)
     return out.select("actor_id", "action_epoch", "event", "twd_amt",

@@ -84,7 +84,7 @@ def q_scale_amount(spark, sf_dir):
 SELECT actor_id, label, count(*) AS steps, (SELECT t FROM tmax) AS max_timestep
 FROM features GROUP BY actor_id, label"""))
 def q_sequence_lengths(spark, sf_dir):
-    df = features(spark, sf_dir)
+    df = cut_lineage(features(spark, sf_dir))   # read by the max-length scalar and the output
     T = max_timestep(df)
     return steps_per_actor(df).withColumn("max_timestep", F.lit(T).cast("long"))
 
