@@ -11,6 +11,8 @@ the scale factor of its source.
 
 from __future__ import annotations
 
+import weakref
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,9 +26,19 @@ JOURNEY_EVENTS = ("atm_transaction", "myatm_transaction", "mybank_transaction")
 FACT_TABLES = ("events", "lineitem", "orders", "documents")
 
 
+# Read plans per session: listing files and reading Parquet footers happens once
+# per table and session, not once per query.  Only the lazy plan is kept (no
+# data), and the entry dies with its session.
+_READS: "weakref.WeakKeyDictionary[SparkSession, dict[str, DataFrame]]" = weakref.WeakKeyDictionary()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return spread_input(df) if name in FACT_TABLES else df
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    reads = _READS.setdefault(spark, {})
+    if path not in reads:
+        df = spark.read.parquet(path)
+        reads[path] = spread_input(df) if name in FACT_TABLES else df
+    return reads[path]
 
 
 def spread_input(df: DataFrame) -> DataFrame:
