@@ -61,14 +61,15 @@ def test_gap_sessions_edges(spark):
     assert out[("b", 2 * 86400 + 1, "b")][:2] == (0, 1)       # duplicate timestamp
 
 
-def test_gap_sessions_chunked_equals_plain_window(spark):
+@pytest.mark.parametrize("chunk", [3600, 3 * 86400])
+def test_gap_sessions_chunked_equals_plain_window(spark, chunk):
     rng = np.random.default_rng(3)
     t = np.sort(rng.integers(0, 40 * 86400, 600))
     rows = [("hot", int(x), "e") for x in t] + [("cold", int(x), "e") for x in t[::37]]
     df = spark.createDataFrame(rows, "actor_id string, action_epoch long, event string").withColumn(
         "rid", F.monotonically_increasing_id())
     df = df.withColumn("event", F.concat(F.lit("e"), F.col("rid").cast("string")))
-    chunked = sessions.gap_sessions(df, chunk_seconds=3 * 86400, tie_breakers=("event",))
+    chunked = sessions.gap_sessions(df, chunk_seconds=chunk, tie_breakers=("event",))
     plain = _plain_sessions(df)
     a = sorted((r.rid, r.gap_seconds, r.clust_index) for r in chunked.collect())
     b = sorted((r.rid, r.g, r.ci) for r in plain.collect())

@@ -34,10 +34,11 @@ def max_timestep(df: DataFrame, actor: str = "actor_id", label: str = "label") -
 def last_steps(df: DataFrame, n: int, actor: str = "actor_id", time: str = "action_epoch",
                tie_breakers: Iterable[str] = DEFAULT_TIE_BREAKERS, chunk_seconds: int = 3600) -> DataFrame:
     """Rows among the last ``n`` of their actor, with ``rank_from_end`` (1 = latest)."""
-    df = df.withColumn("_chunk", F.floor(F.col(time) / chunk_seconds))
-    w = Window.partitionBy(actor, "_chunk").orderBy(*order_columns(df, time, tie_breakers, descending=True))
-    df = df.withColumn("_rn", F.row_number().over(w))
-    counts = df.groupBy(actor, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
+    base = df.withColumn("_chunk", F.floor(F.col(time) / chunk_seconds))
+    w = Window.partitionBy(actor, "_chunk").orderBy(*order_columns(base, time, tie_breakers, descending=True))
+    df = base.withColumn("_rn", F.row_number().over(w))
+    # Per-chunk sizes straight from the input: partial aggregation, small shuffle.
+    counts = base.groupBy(actor, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
     later = Window.partitionBy(actor).orderBy(F.col("_chunk").desc()).rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("_later", F.coalesce(F.sum("_n").over(later), F.lit(0))).drop("_n")
     out = df.join(counts, [actor, "_chunk"]).withColumn("rank_from_end", F.col("_later") + F.col("_rn"))

@@ -51,14 +51,22 @@ def gap_sessions(df: DataFrame, actor: str = "actor_id", time: str = "action_epo
                  cut_seconds: int = DAY, chunk_seconds: int = 3600,
                  tie_breakers: Iterable[str] = DEFAULT_TIE_BREAKERS) -> DataFrame:
     t = F.col(time)
-    df = df.withColumn("_chunk", F.floor(t / chunk_seconds))
-    w = Window.partitionBy(actor, "_chunk").orderBy(*order_columns(df, time, tie_breakers))
-    df = (df.withColumn("_prev", F.lag(time).over(w))
-            .withColumn("_brk", F.when(t - F.col("_prev") > cut_seconds, 1).otherwise(0))
-            .withColumn("_run", F.sum("_brk").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))))
-
-    chunks = df.groupBy(actor, "_chunk").agg(F.min(time).alias("_first"), F.max(time).alias("_last"),
-                                            F.sum("_brk").alias("_inner"))
+    base = df.withColumn("_chunk", F.floor(t / chunk_seconds))
+    w = Window.partitionBy(actor, "_chunk").orderBy(*order_columns(base, time, tie_breakers))
+    df = (base.withColumn("_prev", F.lag(time).over(w))
+              .withColumn("_brk", F.when(t - F.col("_prev") > cut_seconds, 1).otherwise(0))
+              .withColumn("_run", F.sum("_brk").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))))
+
+    if chunk_seconds <= cut_seconds:
+        # Two rows of one chunk are less than a cut apart, so sessions only break
+        # between chunks: the carry needs per-chunk first/last times only, taken
+        # straight from the input with map-side partial aggregation (a small
+        # shuffle) instead of from the windowed rows (a second row shuffle).
+        chunks = base.groupBy(actor, "_chunk").agg(F.min(time).alias("_first"), F.max(time).alias("_last"),
+                                                  F.lit(0).cast("long").alias("_inner"))
+    else:
+        chunks = df.groupBy(actor, "_chunk").agg(F.min(time).alias("_first"), F.max(time).alias("_last"),
+                                                F.sum("_brk").alias("_inner"))
     wc = Window.partitionBy(actor).orderBy("_chunk")
     chunks = (chunks.withColumn("_prev_last", F.lag("_last").over(wc))
                     .withColumn("_entry", F.when(F.col("_first") - F.col("_prev_last") > cut_seconds, 1).otherwise(0))
