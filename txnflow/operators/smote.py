@@ -62,12 +62,14 @@ def _local_topk(k: int):
 
 
 def knn_within_class(df: DataFrame, k: int = 5, block_size: int = 1024, classes: DataFrame | None = None,
-                     key: str = "id", label: str = "label", features: str = "features") -> DataFrame:
+                     key: str = "id", label: str = "label", features: str = "features",
+                     materialize: bool = True) -> DataFrame:
     """(id, label, nbr_rank 1..k, nbr_id, distance): exact k nearest same-class rows."""
     rows = df.select(F.col(key).alias("id"), F.col(label).alias("label"), F.col(features).alias("features"))
     if classes is not None:
         rows = rows.join(F.broadcast(classes.select(F.col(label).alias("label"))), "label", "left_semi")
-    rows = cut_lineage(rows)  # read by the sizes, both cogroup sides and the label lookup
+    if materialize:
+        rows = cut_lineage(rows)  # read by the sizes, both cogroup sides and the label lookup
     sizes = rows.groupBy("label").agg(F.count(F.lit(1)).alias("_n"))
     sizes = sizes.withColumn("_blocks", F.greatest(F.lit(1), F.ceil(F.col("_n") / block_size)).cast("int"))
     # One row per class (few classes): a proven bound.
@@ -135,7 +137,7 @@ def smote_samples(df: DataFrame, k: int = 5, seed: int = 666, key: str = "id", l
                                 .withColumn("_h", keyed_hash(seed, "id")), ["label"], "_h", "id", out="_base_rank")
     base = members_ranked.select("label", "_base_rank", F.col("id").alias("base_id"),
                                  F.col("features").alias("_bx"))
-    nbrs = knn_within_class(rows, k, block_size, classes=small).select(
+    nbrs = knn_within_class(rows, k, block_size, classes=small, materialize=False).select(
         F.col("id").alias("base_id"), F.col("nbr_rank").alias("_nbr_rank"), "nbr_id")
     nbr_x = rows.select(F.col("id").alias("nbr_id"), F.col("features").alias("_nx"))
     out = (samples.join(base, ["label", "_base_rank"])
