@@ -17,7 +17,6 @@ class; the per-class offsets are a handful of numbers held as literals.
 
 from __future__ import annotations
 
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -36,28 +35,28 @@ def hash_unit(*parts: Column) -> Column:
 
 
 def _local_topk(k: int):
+    """Per tile: the k nearest references of every query row (distance, then id)."""
     def run(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        empty = pd.DataFrame({"id": np.array([], np.int64), "nbr_id": np.array([], np.int64),
+                              "distance": np.array([], np.float64)})
         if q.empty or r.empty:
-            return pd.DataFrame({"id": [], "nbr_id": [], "distance": []})
+            return empty
         qx = np.stack(q["features"].to_numpy()).astype(np.float64)
         rx = np.stack(r["features"].to_numpy()).astype(np.float64)
-        qid, rid = q["id"].to_numpy(), r["id"].to_numpy()
-        out_id, out_nbr, out_d = [], [], []
-        step = max(1, 4_000_000 // max(1, rx.size))
+        qid, rid = q["id"].to_numpy(np.int64), r["id"].to_numpy(np.int64)
+        take = min(k, len(rid))
+        parts = []
+        step = max(1, 4_000_000 // max(1, rx.size))     # bounded memory per chunk of queries
         for s in range(0, len(qx), step):
             diff = qx[s:s + step, None, :] - rx[None, :, :]
             d = np.sqrt(np.einsum("ijk,ijk->ij", diff, diff))
-            d[qid[s:s + step, None] == rid[None, :]] = np.inf
-            take = min(k, d.shape[1])
-            for i in range(d.shape[0]):
-                order = np.lexsort((rid, d[i]))[:take]
-                keep = order[np.isfinite(d[i][order])]
-                out_id.extend([qid[s + i]] * len(keep))
-                out_nbr.extend(rid[keep].tolist())
-                out_d.extend(d[i][keep].tolist())
-        return pd.DataFrame({"id": np.asarray(out_id, dtype=np.int64),
-                             "nbr_id": np.asarray(out_nbr, dtype=np.int64),
-                             "distance": np.asarray(out_d, dtype=np.float64)})
+            d[qid[s:s + step, None] == rid[None, :]] = np.inf            # never its own neighbour
+            order = np.lexsort((np.broadcast_to(rid, d.shape), d), axis=1)[:, :take]
+            dk = np.take_along_axis(d, order, axis=1)
+            ok = np.isfinite(dk)
+            parts.append(pd.DataFrame({"id": np.repeat(qid[s:s + step], take).reshape(-1, take)[ok],
+                                       "nbr_id": rid[order][ok], "distance": dk[ok]}))
+        return pd.concat(parts, ignore_index=True) if parts else empty
     return run
 
 
