@@ -49,3 +49,18 @@ def test_query_matches_sql(spark, name):
     assert sorted(sdf.columns) == sorted(dcols)
     assert len(srows) == len(drows)
     assert _digest(sdf.columns, srows) == _digest(dcols, drows)
+
+
+def test_queries_run_from_another_directory(tmp_path):
+    """Executors' Python workers import the package even when the driver runs elsewhere."""
+    import subprocess
+    import sys
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    script = (
+        "import sys; sys.path.insert(0, %r)\n"
+        "from pyspark.sql import SparkSession\n"
+        "spark = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate()\n"
+        "import __spark_entry__ as e\n"
+        "print('ROWS', e.queries()['smote_neighbours'](spark, %r).count())\n" % (repo, SF))
+    out = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, capture_output=True, text=True, timeout=600)
+    assert "ROWS" in out.stdout, out.stderr[-2000:]

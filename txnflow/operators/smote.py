@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from txnflow.operators.sampling import exact_rank, keyed_hash
-from txnflow.session import cut_lineage
+from txnflow.session import cut_lineage, ship_package
 
 TWO_32 = float(2 ** 32)
 
@@ -64,6 +64,7 @@ def knn_within_class(df: DataFrame, k: int = 5, block_size: int = 1024, classes:
                      key: str = "id", label: str = "label", features: str = "features",
                      materialize: bool = True) -> DataFrame:
     """(id, label, nbr_rank 1..k, nbr_id, distance): exact k nearest same-class rows."""
+    ship_package(df.sparkSession)   # the tile function runs in executor Python workers
     rows = df.select(F.col(key).alias("id"), F.col(label).alias("label"), F.col(features).alias("features"))
     if classes is not None:
         rows = rows.join(F.broadcast(classes.select(F.col(label).alias("label"))), "label", "left_semi")

@@ -20,7 +20,7 @@ from txnflow.operators.sequences import (build_sequences, flatten, last_steps, m
                                          unflatten)
 from txnflow.operators.smote import smote
 from txnflow.plans.model import full_features
-from txnflow.session import materialize
+from txnflow.session import materialize, ship_package
 from txnflow.sources import io
 
 
@@ -35,6 +35,7 @@ def build_training_set(spark: SparkSession, sf_dir: str, out_dir: str, observ: s
     actor's array holds at most T steps (its last T), so T bounds the size of
     every per-actor group.  Returns the written paths by kind.
     """
+    ship_package(spark)
     name = lambda kind: f"{out_dir.rstrip('/')}/" + io.dataset_name(kind, observ, label_period, try_date,
                                                                     version, desc)
     paths = {}

@@ -8,11 +8,14 @@ express (iterative fits, PCA) and is checked by tests instead.
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from txnflow.session import ship_package
+
 Builder = Callable[[SparkSession, str], DataFrame]
 
 
@@ -31,6 +34,12 @@ def register(name: str, sql: str | None = None, bench: bool = False):
     def wrap(fn: Builder) -> Builder:
         if name in QUERIES:
             raise ValueError(f"query {name!r} registered twice")
-        QUERIES[name] = Query(name, fn, sql, bench)
+
+        @functools.wraps(fn)
+        def build(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_package(spark)          # executors import txnflow for pandas UDFs
+            return fn(spark, sf_dir)
+
+        QUERIES[name] = Query(name, build, sql, bench)
         return fn
     return wrap
