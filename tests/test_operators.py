@@ -274,3 +274,22 @@ def test_pad_long_equals_array_padding(spark):
     df = spark.createDataFrame(rows, "actor_id string, action_epoch long, f double").withColumn("label", F.lit(1))
     long = sorted((r.actor_id, r.step, r.f) for r in sequences.pad_long(df, 3, ["f"], chunk_seconds=2).collect())
     assert long == [("a", 0, 0.0), ("a", 1, 0.0), ("a", 2, 1.0), ("c", 0, 2.0), ("c", 1, 3.0), ("c", 2, 4.0)]
+
+
+def test_confusion_counts_sum_to_rows(spark):
+    rng = np.random.default_rng(7)
+    rows = [(int(rng.integers(0, 3)), rng.normal(size=3).tolist()) for _ in range(200)]
+    df = evaluation.with_prediction(spark.createDataFrame(rows, "y_true int, scores array<double>"))
+    cm = evaluation.confusion_matrix(df).collect()
+    assert len(cm) == 9 and sum(r.n for r in cm) == 200
+
+
+def test_scaler_mean_zero_population_std_one(spark):
+    from txnflow.operators.scaling import standardize_all
+    rng = np.random.default_rng(8)
+    x = rng.normal(50, 7, 300)
+    df = spark.createDataFrame([(float(v), 3.0) for v in x], "a double, c double")
+    out = standardize_all(df, ["a", "c"])
+    a = np.array([r.a_scaled for r in out.collect()])
+    assert abs(a.mean()) < 1e-12 and abs(a.std(ddof=0) - 1.0) < 1e-12
+    assert {r.c_scaled for r in out.collect()} == {0.0}          # constant column: scale 1, values 0
