@@ -2,7 +2,12 @@
 
 import tempfile
 
+from pyspark.sql import functions as F
+
 from txnflow.domain import TESTDATA_DOMAIN
+from txnflow.operators.clean import clean
+from txnflow.operators.features import transaction_features
+from txnflow.operators.journey import extract_journey, join_accounts
 from txnflow.plans.features import features as batch_features
 from txnflow.sources import testdata as td
 from txnflow.streaming.journey_stream import feature_stream, read_journey_stream, start_parquet_sink
@@ -27,14 +32,26 @@ def test_stream_matches_batch(spark):
 def test_stream_drops_late_rows(spark):
     root = tempfile.mkdtemp(prefix="txnflow-late-")
     ev = td.journey_event(spark, SF)
-    # Newest events first, then an old one: with a 1-hour watermark the old one is late.
+    accounts = td.accounts(spark, SF)
+
+    def run():
+        stream = read_journey_stream(spark, f"{root}/source/*")
+        feats = feature_stream(stream, accounts, td.LABEL_PERIOD, TESTDATA_DOMAIN, td.OBSERVATION_PERIOD,
+                               td.JOURNEY_EVENTS, watermark="1 hour")
+        start_parquet_sink(feats, f"{root}/sink", f"{root}/checkpoint").awaitTermination(300)
+
+    # First run: the newest events move the watermark forward (it is kept in the checkpoint).
     ev.orderBy("action_time", ascending=False).limit(50).coalesce(1).write.parquet(f"{root}/source/a")
-    ev.orderBy("action_time").limit(5).coalesce(1).write.parquet(f"{root}/source/b")
-    stream = read_journey_stream(spark, f"{root}/source/*", max_files_per_trigger=1)
-    feats = feature_stream(stream, td.accounts(spark, SF), td.LABEL_PERIOD, TESTDATA_DOMAIN,
-                           td.OBSERVATION_PERIOD, td.JOURNEY_EVENTS, watermark="1 hour")
-    q = start_parquet_sink(feats, f"{root}/sink", f"{root}/checkpoint")
-    q.awaitTermination(300)
-    newest = spark.read.parquet(f"{root}/sink").agg({"action_epoch": "min"}).first()[0]
-    oldest_source = ev.agg({"action_time": "min"}).first()[0]
-    assert newest > oldest_source
+    run()
+    first = spark.read.parquet(f"{root}/sink").count()
+    # Second run, same checkpoint: old events that the batch pipeline keeps arrive now, and are late.
+    old = (ev.filter(F.col("event").isin(*td.JOURNEY_EVENTS) & (F.col("action_sponsor") == "self"))
+             .orderBy("action_time").limit(20))
+    kept = transaction_features(clean(join_accounts(extract_journey(old, td.OBSERVATION_PERIOD, td.JOURNEY_EVENTS),
+                                                    accounts, td.LABEL_PERIOD), TESTDATA_DOMAIN), TESTDATA_DOMAIN)
+    assert kept.count() > 0                      # they would produce feature rows if they were on time
+    old.coalesce(1).write.parquet(f"{root}/source/b")
+    run()
+    sink = spark.read.parquet(f"{root}/sink")
+    assert sink.count() == first > 0
+    assert sink.agg({"action_epoch": "min"}).first()[0] > ev.agg({"action_time": "min"}).first()[0]
