@@ -200,6 +200,8 @@ def test_profiles_edges(spark):
     assert p["solo"].twdAmt_cov == 0.0 and p["z"].twdAmt_cov == 0.0      # 0/0 -> 0
     assert p["z"].currency_uniqueNum == 2                                 # null counted as a value
     assert p["z"].sponsor_multiply == 1 and p["z"].isCrossBank_01multiply == 1
+    approx = {r.actor_id: r for r in profile.actor_profile(df, approximate_distinct=True).collect()}
+    assert approx["z"].currency_uniqueNum == 2 and approx["solo"].atmLocation_uniqueNum == 1
     c = {r.actor_id: r for r in profile.conditional_profile(df).collect()}
     assert c["solo"].cov_timeDiff_allTrans is None                        # sample std of one row
     assert c["z"].kindsOfEvent == 2 and c["z"].avg_timeDiff_zeroTrans == 0.25

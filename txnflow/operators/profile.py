@@ -21,22 +21,29 @@ def _count_if(cond: Column) -> Column:
     return F.count_if(F.coalesce(cond, F.lit(False)))
 
 
-def distinct_with_null(column: str) -> Column:
-    """Distinct values of a column, counting a missing value as one more value."""
-    return F.count_distinct(F.struct(F.col(column)))
+def distinct_with_null(column: str, approximate: bool = False, rsd: float = 0.01) -> Column:
+    """Distinct values of a column, counting a missing value as one more value.
+
+    ``approximate`` uses HyperLogLog++ (one small sketch per group instead of
+    an expanded exact distinct), for very large tables where a relative error
+    of ``rsd`` is acceptable.
+    """
+    value = F.struct(F.col(column))
+    return F.approx_count_distinct(value, rsd) if approximate else F.count_distinct(value)
 
 
-def actor_profile(df: DataFrame, actor: str = "actor_id", label: str = "label") -> DataFrame:
+def actor_profile(df: DataFrame, actor: str = "actor_id", label: str = "label",
+                  approximate_distinct: bool = False) -> DataFrame:
     """Nine per-actor measures, labels attached, missing measures as 0."""
     amt, sponsor, cross = F.col("twd_amt"), F.col("action_sponsor"), F.col("isCrossBank")
     prof = df.groupBy(actor).agg(
         F.avg(amt).alias("twdAmt_avg"),
         F.try_divide(F.stddev_pop(amt), F.avg(amt)).alias("twdAmt_cov"),
         (_count_if(sponsor == "self") * _count_if(sponsor == "others")).alias("sponsor_multiply"),
-        distinct_with_null("txn_currency_code").alias("currency_uniqueNum"),
-        distinct_with_null("atm_location").alias("atmLocation_uniqueNum"),
-        distinct_with_null("target_acct_nbr").alias("targetAcct_uniqueNum"),
-        distinct_with_null("acct_nbr").alias("acct_uniqueNum"),
+        distinct_with_null("txn_currency_code", approximate_distinct).alias("currency_uniqueNum"),
+        distinct_with_null("atm_location", approximate_distinct).alias("atmLocation_uniqueNum"),
+        distinct_with_null("target_acct_nbr", approximate_distinct).alias("targetAcct_uniqueNum"),
+        distinct_with_null("acct_nbr", approximate_distinct).alias("acct_uniqueNum"),
         (_count_if(cross == 0) * _count_if(cross == 1)).alias("isCrossBank_01multiply"),
         F.sum("isSelfTrans").alias("isSelfTrans_sum"),
         # The actor's labels come out of the same pass (a handful per actor at
