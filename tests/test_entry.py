@@ -64,3 +64,12 @@ def test_queries_run_from_another_directory(tmp_path):
         "print('ROWS', e.queries()['smote_neighbours'](spark, %r).count())\n" % (repo, SF))
     out = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, capture_output=True, text=True, timeout=600)
     assert "ROWS" in out.stdout, out.stderr[-2000:]
+
+
+def test_sequence_model_scores_cover_test_actors(spark):
+    from pyspark.sql import functions as F
+    out = entry.queries()["sequence_model_scores"](spark, SF)
+    rows = out.collect()
+    split = entry.queries()["stratified_split"](spark, SF).filter(F.col("split") == "test").count()
+    assert len(rows) == split > 0
+    assert all(r.y_pred in (0, 1, 2) and len(r.scores) == 3 and abs(sum(r.scores) - 1) < 1e-9 for r in rows)

@@ -22,13 +22,20 @@ def _vectors(df: DataFrame, features: str) -> DataFrame:
     return df.withColumn("_x", array_to_vector(F.col(features)))
 
 
+def _declare_classes(df: DataFrame, label: str, n_classes: int) -> DataFrame:
+    """Nominal label metadata: the model has ``n_classes`` outputs even when a
+    class is missing from the training rows (its probability is then ~0)."""
+    meta = {"ml_attr": {"type": "nominal", "name": label, "num_vals": n_classes}}
+    return df.withColumn(label, F.col(label).cast("double").alias(label, metadata=meta))
+
+
 def train_best(train: DataFrame, val: DataFrame, features: str = "features", label: str = "label",
-               reg_params: Sequence[float] = (0.0, 0.01, 0.1), max_iter: int = 50):
+               reg_params: Sequence[float] = (0.0, 0.01, 0.1), max_iter: int = 50, n_classes: int = 3):
     """Fit one model per regularisation strength; return (best model, metrics table).
 
     E8: the model with the highest validation macro F1 wins (ties: lowest id).
     """
-    tr, va = _vectors(train, features), _vectors(val, features)
+    tr, va = _declare_classes(_vectors(train, features), label, n_classes), _vectors(val, features)
     fitted, metrics = [], []
     for i, reg in enumerate(reg_params):
         model = LogisticRegression(featuresCol="_x", labelCol=label, regParam=reg, maxIter=max_iter,

@@ -9,6 +9,7 @@ from txnflow.operators.classifier import score, train_best
 from txnflow.operators.density import kde
 from txnflow.operators.features import model_columns
 from txnflow.operators.sampling import stratified_split
+from txnflow.operators.smote import smote
 from txnflow.operators.scaling import standardize_all
 from txnflow.operators.sequences import build_sequences, flatten, last_steps, max_timestep, pad_sequences
 from txnflow.operators.text_features import (count_vectors, fit_pca, one_hot_vector, project_levels,
@@ -87,3 +88,23 @@ def q_train_score(spark, sf_dir):
     model, _ = train_best(data.filter(F.col("split") == "train"), data.filter(F.col("split") == "val"))
     scored = score(model, data.filter(F.col("split") == "test"))
     return scored.select("id", F.col("label").alias("y_true"), "y_pred", "scores")
+
+
+@register("sequence_model_scores")
+def q_sequence_model_scores(spark, sf_dir):
+    """Rows-only: the original's train/evaluate flow on the padded sequence tensor.
+
+    Padded T x 22 sequences -> exact stratified split -> SMOTE on the training
+    split -> logistic regression per regularisation strength, best by
+    validation macro F1 -> test actors scored.
+    """
+    df = full_features(spark, sf_dir)
+    T = max_timestep(df)
+    seqs = pad_sequences(build_sequences(last_steps(df, T), MODEL_FEATURES), T, len(MODEL_FEATURES))
+    split = stratified_split(df.select("actor_id", "label").distinct())
+    data = cut_lineage(seqs.join(split, ["actor_id", "label"]).select(
+        F.xxhash64("actor_id").alias("id"), "actor_id", "label", "split", flatten("x", "features")))
+    train = smote(data.filter(F.col("split") == "train").select("id", "label", "features"))
+    model, _ = train_best(train, data.filter(F.col("split") == "val"))
+    scored = score(model, data.filter(F.col("split") == "test"))
+    return scored.select("actor_id", F.col("label").alias("y_true"), "y_pred", "scores")
