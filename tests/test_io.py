@@ -12,7 +12,7 @@ def test_round_trips(spark):
     root = tempfile.mkdtemp(prefix="txnflow-io-")
     schema = "actor_id string, bank string, label int"
     io.write_csv(df, f"{root}/csv")
-    back = spark.read.schema(schema).option("header", True).csv(f"{root}/csv")
+    back = io.read_csv(spark, f"{root}/csv", schema)
     assert sorted(map(tuple, back.collect()), key=str) == sorted(map(tuple, df.collect()), key=str)
     seq = spark.createDataFrame([("a", 1, [[0.0, 1.0], [2.0, 3.0]])], io.SEQUENCE_SCHEMA)
     io.write_json(seq, f"{root}/json")
@@ -54,3 +54,17 @@ def test_cluster_conf_scales_with_input():
     conf = cluster_conf(100 * 1024 ** 4)
     assert int(conf["spark.sql.shuffle.partitions"]) == 100 * 1024 ** 4 // (256 * 1024 ** 2)
     assert int(cluster_conf(1024 ** 3)["spark.sql.shuffle.partitions"]) == 8000   # two waves of 4000 cores
+
+
+def test_read_table_lexicon_and_actor_lookup(spark):
+    from txnflow.operators.scaling import standardize
+    from txnflow.operators.sequences import for_actor
+    root = tempfile.mkdtemp(prefix="txnflow-io2-")
+    with open(f"{root}/lex.txt", "w", encoding="utf-8") as f:
+        f.write("台北車站\n\n 7-ELEVEN \n")
+    assert io.read_lexicon(spark, f"{root}/lex.txt") == ["台北車站", "7-ELEVEN"]
+    df = spark.createDataFrame([("a", 1.0), ("b", 3.0)], "actor_id string, v double")
+    df.write.parquet(f"{root}/t")
+    t = io.read_table(spark, f"{root}/t")
+    assert [r.actor_id for r in for_actor(t, "b").collect()] == ["b"]
+    assert sorted(r.v_scaled for r in standardize(t, "v").collect()) == [-1.0, 1.0]

@@ -6,8 +6,7 @@ from pyspark.sql import functions as F
 
 from txnflow.domain import NON_PCA_FEATURES
 from txnflow.operators.scaling import standardize_all
-from txnflow.operators.sequences import (build_sequences, last_steps, max_timestep, pad_long, pad_sequences,
-                                         steps_per_actor)
+from txnflow.operators.sequences import max_timestep, pad_long, steps_per_actor
 from txnflow.operators.sessions import gap_sessions, session_sizes
 from txnflow.plans.features import features
 from txnflow.plans.registry import register
@@ -89,13 +88,6 @@ def q_sequence_lengths(spark, sf_dir):
     return steps_per_actor(df).withColumn("max_timestep", F.lit(T).cast("long"))
 
 
-def padded(spark, sf_dir, feature_names=NON_PCA_FEATURES):
-    df = scaled(spark, sf_dir)
-    T = max_timestep(df)
-    seqs = build_sequences(last_steps(df, T), feature_names)
-    return pad_sequences(seqs, T, len(feature_names)), T
-
-
 _FEATS = ", ".join(f'round(CAST(coalesce(k."{f}", 0) AS DOUBLE), 6) AS "{f}"' for f in NON_PCA_FEATURES)
 
 
