@@ -191,18 +191,23 @@ def test_preference_tie_breaks(spark):
 def test_profiles_edges(spark):
     rows = [("solo", 1, "self", 0.0, "TWD", "L", "t", "a", 0, 0, "e1", 0.0, 1),
             ("z", 0, "self", 0.0, None, "L", "t", "a", 1, 0, "e1", 0.0, 1),
-            ("z", 0, "others", 0.0, "TWD", "L", "t", "a", 0, 1, "e2", 0.5, 1)]
+            ("z", 0, "self", 0.0, "TWD", "L", "t", "a", 0, 1, "e2", 0.5, 1),
+            ("z", 0, "others", 0.0, "USD", "M", "u", "b", 0, 0, "e1", 0.0, 1),
+            ("ghost", 2, "others", 5.0, "TWD", "L", "t", "a", 0, 0, "e1", 0.0, 1)]
     df = spark.createDataFrame(rows, "actor_id string, label int, action_sponsor string, twd_amt double, "
                                      "txn_currency_code string, atm_location string, target_acct_nbr string, "
                                      "acct_nbr string, isCrossBank int, isSelfTrans int, event string, "
                                      "time_diff double, cash_flow int")
     p = {r.actor_id: r for r in profile.actor_profile(df).collect()}
+    assert "ghost" not in p                                               # no own rows: not profiled
     assert p["solo"].twdAmt_cov == 0.0 and p["z"].twdAmt_cov == 0.0      # 0/0 -> 0
-    assert p["z"].currency_uniqueNum == 2                                 # null counted as a value
-    assert p["z"].sponsor_multiply == 1 and p["z"].isCrossBank_01multiply == 1
+    assert p["z"].currency_uniqueNum == 2                                 # own rows: null counted as a value
+    assert p["z"].atmLocation_uniqueNum == 1                              # the others row is not counted
+    assert p["z"].sponsor_multiply == 2 and p["z"].isCrossBank_01multiply == 1
+    assert p["z"].isSelfTrans_sum == 1
     approx = {r.actor_id: r for r in profile.actor_profile(df, approximate_distinct=True).collect()}
     assert approx["z"].currency_uniqueNum == 2 and approx["solo"].atmLocation_uniqueNum == 1
-    c = {r.actor_id: r for r in profile.conditional_profile(df).collect()}
+    c = {r.actor_id: r for r in profile.conditional_profile(df.filter("action_sponsor = 'self'")).collect()}
     assert c["solo"].cov_timeDiff_allTrans is None                        # sample std of one row
     assert c["z"].kindsOfEvent == 2 and c["z"].avg_timeDiff_zeroTrans == 0.25
 

@@ -33,25 +33,40 @@ def distinct_with_null(column: str, approximate: bool = False, rsd: float = 0.01
 
 
 def actor_profile(df: DataFrame, actor: str = "actor_id", label: str = "label",
-                  approximate_distinct: bool = False) -> DataFrame:
-    """Nine per-actor measures, labels attached, missing measures as 0."""
-    amt, sponsor, cross = F.col("twd_amt"), F.col("action_sponsor"), F.col("isCrossBank")
+                  approximate_distinct: bool = False, sponsor: str = "self") -> DataFrame:
+    """Nine per-actor measures, labels attached, missing measures as 0.
+
+    ``df`` holds the rows of both sponsors.  The sponsor product counts both;
+    the other eight measures describe the actor's own (``sponsor``) rows, and
+    actors without such rows are left out -- the population of the cleaned
+    table.  One pass: conditional aggregates, no filtered copies.
+    """
+    own = F.col("action_sponsor") == sponsor
+    amt = F.when(own, F.col("twd_amt"))
+    cross = F.col("isCrossBank")
+    sp = F.col("action_sponsor")
+
+    def own_distinct(c: str) -> Column:
+        value = F.when(own, F.struct(F.col(c)))   # a missing value still counts (struct is not null)
+        return F.approx_count_distinct(value, 0.01) if approximate_distinct else F.count_distinct(value)
+
     prof = df.groupBy(actor).agg(
         F.avg(amt).alias("twdAmt_avg"),
         F.try_divide(F.stddev_pop(amt), F.avg(amt)).alias("twdAmt_cov"),
-        (_count_if(sponsor == "self") * _count_if(sponsor == "others")).alias("sponsor_multiply"),
-        distinct_with_null("txn_currency_code", approximate_distinct).alias("currency_uniqueNum"),
-        distinct_with_null("atm_location", approximate_distinct).alias("atmLocation_uniqueNum"),
-        distinct_with_null("target_acct_nbr", approximate_distinct).alias("targetAcct_uniqueNum"),
-        distinct_with_null("acct_nbr", approximate_distinct).alias("acct_uniqueNum"),
-        (_count_if(cross == 0) * _count_if(cross == 1)).alias("isCrossBank_01multiply"),
-        F.sum("isSelfTrans").alias("isSelfTrans_sum"),
+        (_count_if(sp == "self") * _count_if(sp == "others")).alias("sponsor_multiply"),
+        own_distinct("txn_currency_code").alias("currency_uniqueNum"),
+        own_distinct("atm_location").alias("atmLocation_uniqueNum"),
+        own_distinct("target_acct_nbr").alias("targetAcct_uniqueNum"),
+        own_distinct("acct_nbr").alias("acct_uniqueNum"),
+        (_count_if(own & (cross == 0)) * _count_if(own & (cross == 1))).alias("isCrossBank_01multiply"),
+        F.sum(F.when(own, F.col("isSelfTrans"))).alias("isSelfTrans_sum"),
+        _count_if(own).alias("_own_rows"),
         # The actor's labels come out of the same pass (a handful per actor at
         # most); wrapping in a struct keeps a missing label as a value.
-        F.collect_set(F.struct(F.col(label).alias("v"))).alias("_labels"),
-    )
-    prof = prof.select("*", F.explode("_labels").alias("_l")).select(
-        *[c for c in prof.columns if c != "_labels"], F.col("_l.v").alias(label))
+        F.collect_set(F.when(own, F.struct(F.col(label).alias("v")))).alias("_labels"),
+    ).filter(F.col("_own_rows") > 0)
+    keep = [c for c in prof.columns if c not in ("_labels", "_own_rows")]
+    prof = prof.select(*keep, F.explode("_labels").alias("_l")).select(*keep, F.col("_l.v").alias(label))
     return prof.fillna(0)
 
 

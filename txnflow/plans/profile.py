@@ -25,10 +25,6 @@ FROM cleaned_all
 """
 
 
-def _distinct_with_null(c):
-    return f"count(DISTINCT {c}) + max(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END)"
-
-
 def profile_input(spark, sf_dir):
     """Cleaned rows of both sponsors (the sponsor product needs both), with flags."""
     return transaction_flags(clean(joined(spark, sf_dir), TESTDATA_DOMAIN, sponsor=None), TESTDATA_DOMAIN)
@@ -37,19 +33,27 @@ def profile_input(spark, sf_dir):
 PROFILE_DOUBLES = ("twdAmt_cov",)
 
 
+def _own_distinct(c):
+    return (f"count(DISTINCT CASE WHEN action_sponsor = 'self' THEN {c} END)"
+            f" + max(CASE WHEN action_sponsor = 'self' AND {c} IS NULL THEN 1 ELSE 0 END)")
+
+
 @register("actor_profile", bench=True, sql=with_ctes(BASE + ["cleaned", "cleaned_all", "profile_in"], f"""
 , prof AS (
-  SELECT actor_id, avg(twd_amt) AS twdAmt_avg,
-    stddev_pop(twd_amt) / nullif(avg(twd_amt), 0) AS twdAmt_cov,
+  SELECT actor_id,
+    avg(CASE WHEN action_sponsor = 'self' THEN twd_amt END) AS twdAmt_avg,
+    stddev_pop(CASE WHEN action_sponsor = 'self' THEN twd_amt END)
+      / nullif(avg(CASE WHEN action_sponsor = 'self' THEN twd_amt END), 0) AS twdAmt_cov,
     CAST(count_if(action_sponsor = 'self') * count_if(action_sponsor = 'others') AS BIGINT) AS sponsor_multiply,
-    {_distinct_with_null('txn_currency_code')} AS currency_uniqueNum,
-    {_distinct_with_null('atm_location')} AS atmLocation_uniqueNum,
-    {_distinct_with_null('target_acct_nbr')} AS targetAcct_uniqueNum,
-    {_distinct_with_null('acct_nbr')} AS acct_uniqueNum,
-    CAST(count_if(isCrossBank = 0) * count_if(isCrossBank = 1) AS BIGINT) AS isCrossBank_01multiply,
-    CAST(sum(isSelfTrans) AS BIGINT) AS isSelfTrans_sum
-  FROM profile_in GROUP BY actor_id),
-labels AS (SELECT DISTINCT actor_id, label FROM profile_in)
+    {_own_distinct('txn_currency_code')} AS currency_uniqueNum,
+    {_own_distinct('atm_location')} AS atmLocation_uniqueNum,
+    {_own_distinct('target_acct_nbr')} AS targetAcct_uniqueNum,
+    {_own_distinct('acct_nbr')} AS acct_uniqueNum,
+    CAST(count_if(action_sponsor = 'self' AND isCrossBank = 0) * count_if(action_sponsor = 'self' AND isCrossBank = 1)
+         AS BIGINT) AS isCrossBank_01multiply,
+    CAST(sum(CASE WHEN action_sponsor = 'self' THEN isSelfTrans END) AS BIGINT) AS isSelfTrans_sum
+  FROM profile_in GROUP BY actor_id HAVING count_if(action_sponsor = 'self') > 0),
+labels AS (SELECT DISTINCT actor_id, label FROM profile_in WHERE action_sponsor = 'self')
 SELECT p.actor_id, coalesce(p.twdAmt_avg, 0) AS twdAmt_avg, round(coalesce(p.twdAmt_cov, 0), 6) AS twdAmt_cov,
   p.sponsor_multiply, p.currency_uniqueNum, p.atmLocation_uniqueNum, p.targetAcct_uniqueNum, p.acct_uniqueNum,
   p.isCrossBank_01multiply, coalesce(p.isSelfTrans_sum, 0) AS isSelfTrans_sum, coalesce(l.label, 0) AS label
