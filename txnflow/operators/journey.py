@@ -53,8 +53,12 @@ def spread_null_key(key: str, *row_identity: str) -> F.Column:
     return F.coalesce(F.col(key), F.concat(F.lit("\u0000null:"), salt))
 
 
-def join_accounts(journey: DataFrame, accounts: DataFrame, label_period: str) -> DataFrame:
-    """J1 inner join on the actor's account, J2 left join for the counterparty."""
+def join_accounts(journey: DataFrame, accounts: DataFrame, label_period: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """J1 inner join on the actor's account, J2 left join for the counterparty.
+
+    ``keep`` names extra journey columns to pass through (e.g. a stream's
+    watermarked event time).
+    """
     acc = accounts_for_period(accounts, label_period)
     rows = journey.join(acc, journey["object_id"] == acc["acct_nbr"], "inner")
     # Second use of the same account rows, not de-duplicated (an account with two
@@ -64,4 +68,4 @@ def join_accounts(journey: DataFrame, accounts: DataFrame, label_period: str) ->
     rows = rows.withColumn("_target_key", spread_null_key("target_acct_nbr", "actor_id", "action_time",
                                                           "event", "object_id"))
     rows = rows.join(targets, rows["_target_key"] == targets["_target_acct"], "left")
-    return rows.select(*JOINED_COLUMNS)
+    return rows.select(*JOINED_COLUMNS, *keep)

@@ -46,8 +46,7 @@ def extract_journey_stream(stream: DataFrame, period: tuple[str, str], events: I
         "action_type", "object_id", *json_leaves("attrs"),
         F.timestamp_seconds("action_time").alias("event_time"))
     return (rows.withWatermark("event_time", watermark)
-                .dropDuplicatesWithinWatermark(list(JOURNEY_COLUMNS))
-                .drop("event_time"))
+                .dropDuplicatesWithinWatermark(list(JOURNEY_COLUMNS)))
 
 
 def feature_stream(stream: DataFrame, accounts: DataFrame, label_period: str, domain: Domain,
@@ -55,7 +54,8 @@ def feature_stream(stream: DataFrame, accounts: DataFrame, label_period: str, do
                    watermark: str = "2 days") -> DataFrame:
     """Rows later than ``watermark`` behind the newest event time are late data and dropped."""
     journey = extract_journey_stream(stream, period, events, watermark)
-    return transaction_features(clean(join_accounts(journey, accounts, label_period), domain), domain, tz)
+    joined = join_accounts(journey, accounts, label_period, keep=("event_time",))   # keeps the watermark column
+    return transaction_features(clean(joined, domain), domain, tz)
 
 
 def start_parquet_sink(features: DataFrame, sink: str, checkpoint: str, available_now: bool = True,
