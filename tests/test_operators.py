@@ -300,3 +300,14 @@ def test_scaler_mean_zero_population_std_one(spark):
     a = np.array([r.a_scaled for r in out.collect()])
     assert abs(a.mean()) < 1e-12 and abs(a.std(ddof=0) - 1.0) < 1e-12
     assert {r.c_scaled for r in out.collect()} == {0.0}          # constant column: scale 1, values 0
+
+
+def test_vocabulary_cap_warns(spark):
+    import warnings
+    from txnflow.operators.text_features import vocabulary
+    df = spark.createDataFrame([(["aa", "bb", "cc"],), (["aa", "bb"],), (["aa"],)], "terms array<string>")
+    with warnings.catch_warnings(record=True) as caught:
+        warnings.simplefilter("always")
+        assert vocabulary(df, "terms", 0.001, 1.0, vocab_size=2) == ["aa", "bb"]
+        assert vocabulary(df, "terms", 0.001, 1.0, vocab_size=3) == ["aa", "bb", "cc"]
+    assert len([w for w in caught if "capped" in str(w.message)]) == 1
