@@ -122,14 +122,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint of ``df`` into the shared checkpoint folder.
+    """Materialise ``df`` once in the shared checkpoint folder and continue from there.
 
     Used before multi-pass work (fits, scalars, then the main plan): the
     upstream plan runs once instead of once per pass, and a lost executor
-    re-reads checkpoint files instead of replaying the whole lineage.
+    re-reads files instead of replaying the whole lineage.  The data is
+    written as a Parquet table (not serialized rows), so each later pass reads
+    only the columns it uses and the optimizer sees real file sizes.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return materialize(df, "lineage")
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
