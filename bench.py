@@ -15,7 +15,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from txnflow.plans.catalog import QUERIES  # noqa: E402
-from txnflow.session import build_session  # noqa: E402
+from txnflow.session import build_session, clear_materialized  # noqa: E402
 
 
 def main() -> None:
@@ -35,6 +35,7 @@ def main() -> None:
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
     print(json.dumps({"metric": "headline_queries_total", "value": round(sum(timings.values()), 3),
                       "unit": "sec", "queries": timings, "sf": float(sf) if sf else None}))
+    clear_materialized(spark)
     spark.stop()
 
 

@@ -68,3 +68,11 @@ def test_read_table_lexicon_and_actor_lookup(spark):
     t = io.read_table(spark, f"{root}/t")
     assert [r.actor_id for r in for_actor(t, "b").collect()] == ["b"]
     assert sorted(r.v_scaled for r in standardize(t, "v").collect()) == [-1.0, 1.0]
+
+
+def test_clear_materialized(spark):
+    from txnflow.session import clear_materialized, materialize
+    df = materialize(spark.range(10), "probe")
+    assert df.count() == 10
+    assert clear_materialized(spark) >= 1
+    assert clear_materialized(spark) == 0

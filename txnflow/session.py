@@ -144,3 +144,23 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{root.rstrip('/')}/txnflow-{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def clear_materialized(spark: SparkSession) -> int:
+    """Delete this application's materialised tables (``txnflow-*`` in its checkpoint folder).
+
+    Call when the DataFrames built on them are no longer needed (e.g. before
+    ``spark.stop()``).  Uses the Hadoop FileSystem of the folder, so it works on
+    HDFS and object stores as well as local disk.  Returns the number removed.
+    """
+    sc = spark.sparkContext
+    root = sc.getCheckpointDir()
+    if not root:
+        return 0
+    jvm = sc._jvm
+    pattern = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/txnflow-*")
+    fs = pattern.getFileSystem(sc._jsc.hadoopConfiguration())
+    found = fs.globStatus(pattern) or []
+    for status in found:
+        fs.delete(status.getPath(), True)
+    return len(found)
