@@ -73,3 +73,12 @@ def test_sequence_model_scores_cover_test_actors(spark):
     split = entry.queries()["stratified_split"](spark, SF).filter(F.col("split") == "test").count()
     assert len(rows) == split > 0
     assert all(r.y_pred in (0, 1, 2) and len(r.scores) == 3 and abs(sum(r.scores) - 1) < 1e-9 for r in rows)
+
+
+def test_training_tensor_shape(spark):
+    rows = entry.queries()["training_tensor"](spark, SF).collect()
+    assert rows and len({r.timesteps for r in rows}) == 1
+    T = rows[0].timesteps
+    assert all(len(r.features) == T * 22 and r.split in ("train", "val", "test") for r in rows)
+    labels = entry.queries()["actor_label"](spark, SF).count()
+    assert len(rows) == labels
