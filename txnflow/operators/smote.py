@@ -67,6 +67,7 @@ def knn_within_class(df: DataFrame, k: int = 5, block_size: int = 1024, classes:
     ship_package(df.sparkSession)   # the tile function runs in executor Python workers
     rows = df.select(F.col(key).alias("id"), F.col(label).alias("label"), F.col(features).alias("features"))
     if classes is not None:
+        # One row per class to search (a handful of labels): a proven bound.
         rows = rows.join(F.broadcast(classes.select(F.col(label).alias("label"))), "label", "left_semi")
     if materialize:
         rows = cut_lineage(rows)  # read by the sizes, both cogroup sides and the label lookup
@@ -133,6 +134,7 @@ def smote_samples(df: DataFrame, k: int = 5, seed: int = 666, key: str = "id", l
         (hash_unit(F.lit(seed), c, j, F.lit("gap")) / F.lit(TWO_32)).alias("u"),
     )
     small = spark.createDataFrame([(p[0],) for p in plan], "label int")
+    # ``small`` has one row per over-sampled class: a proven bound.
     members_ranked = exact_rank(rows.join(F.broadcast(small), "label", "left_semi")
                                 .withColumn("_h", keyed_hash(seed, "id")), ["label"], "_h", "id", out="_base_rank")
     base = members_ranked.select("label", "_base_rank", F.col("id").alias("base_id"),
