@@ -311,3 +311,16 @@ def test_vocabulary_cap_warns(spark):
         assert vocabulary(df, "terms", 0.001, 1.0, vocab_size=2) == ["aa", "bb"]
         assert vocabulary(df, "terms", 0.001, 1.0, vocab_size=3) == ["aa", "bb", "cc"]
     assert len([w for w in caught if "capped" in str(w.message)]) == 1
+
+
+def test_knn_high_dimension_matches_brute_force(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(50, 400))
+    x[7] = x[3]                                   # an exact duplicate: distance 0, tie by id
+    rows = [(i, 0, x[i].tolist()) for i in range(50)]
+    got = knn_within_class(_vectors(spark, rows), k=4, block_size=16).collect()
+    got = {(r.id, r.nbr_rank): (r.nbr_id, r.distance) for r in got}
+    for i in range(50):
+        d = sorted((float(np.sqrt(((x[i] - x[j]) ** 2).sum())), j) for j in range(50) if j != i)[:4]
+        assert [got[(i, k + 1)][0] for k in range(4)] == [j for _, j in d]
+        assert np.allclose([got[(i, k + 1)][1] for k in range(4)], [v for v, _ in d], rtol=0, atol=1e-12)
