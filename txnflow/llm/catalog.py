@@ -1,4 +1,4 @@
 """Import every query module so that all queries are registered."""
 
-from txnflow.llm import q02_substring_dedup, q08_near_dedup  # noqa: F401
+from txnflow.llm import q02_substring_dedup, q04_decontamination, q08_near_dedup  # noqa: F401
 from txnflow.llm.registry import QUERIES  # noqa: F401
