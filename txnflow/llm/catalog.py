@@ -1,4 +1,5 @@
 """Import every query module so that all queries are registered."""
 
-from txnflow.llm import q02_substring_dedup, q04_decontamination, q08_near_dedup  # noqa: F401
+from txnflow.llm import (q01_token_counts, q02_substring_dedup, q04_decontamination, q07_bpe,  # noqa: F401
+                         q08_near_dedup)
 from txnflow.llm.registry import QUERIES  # noqa: F401
