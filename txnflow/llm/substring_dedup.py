@@ -45,10 +45,10 @@ _SPANS = pa.schema([("oid", pa.int64()), ("tkey", pa.int64()), ("lo", pa.int32()
 _SPANS_DDL = "oid long, tkey long, lo int, hi int"
 
 
-def _runs(position: np.ndarray, minimiser: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First index and number of windows of each super-k-mer; ``position`` are the windows' first words."""
+def _runs(position: np.ndarray, text: np.ndarray, minimiser: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First index and number of windows of each super-k-mer, from the windows' first words, texts and minimisers."""
     new = np.ones(len(position), bool)
-    new[1:] = (np.diff(position) != 1) | (minimiser[1:] != minimiser[:-1])
+    new[1:] = (np.diff(position) != 1) | (text[1:] != text[:-1]) | (minimiser[1:] != minimiser[:-1])
     begin = np.flatnonzero(new)
     since = np.arange(len(position)) - np.repeat(begin, np.diff(np.append(begin, len(position))))
     begin = np.flatnonzero(since % LONGEST_RUN == 0)
@@ -73,7 +73,7 @@ def super_kmers(window: int, buckets: int):
             position = position[~same[text_of[position]]]
             if not len(position):
                 continue
-            begin, count = _runs(position, least[position])
+            begin, count = _runs(position, text_of[position], least[position])
             first, until = position[begin], position[begin] + count + window - 1
             owner = text_of[first]
             lo = first - words.first[owner]
@@ -225,8 +225,9 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     new = {"n_words", "n_removed", "kept_text"}
     base = docs.select([c for c in docs.columns if c not in new or c in (id_col, text_col)])
     spans = repeated_spans(base, id_col, text_col, window)
-    marked = base.select(F.struct("*").alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("oid"),
-                         F.xxhash64(F.col(text_col)).alias("tkey")).join(spans, ["oid", "tkey"], "left").select("row.*", "spans")
+    marked = (base.select(F.struct("*").alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("oid"),
+                          F.xxhash64(F.col(text_col)).alias("tkey"))
+              .join(spans, ["oid", "tkey"], "left").select("row.*", F.col("spans").alias("__spans")))
     schema = T.StructType([*base.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()),
                            T.StructField("kept_text", T.StringType())])
     return marked.mapInArrow(without_spans(text_col), schema)
