@@ -16,6 +16,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from txnflow.plans.catalog import QUERIES  # noqa: E402
 from txnflow.session import build_session, clear_materialized  # noqa: E402
+from txnflow.sources import testdata  # noqa: E402
 
 
 def main() -> None:
@@ -23,6 +24,7 @@ def main() -> None:
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     spark = build_session(master=f"local[{cpus}]", app="txnflow-bench", shuffle_partitions=max(8, cpus),
                           conf={"spark.driver.memory": "16g"})
+    testdata.input_partitions = cpus     # each test file is one row group: scan it with all cores
     # Warm-up (JIT, class loading) on the smallest query, not timed.
     QUERIES["journey_extract"].build(spark, sf_dir).write.format("noop").mode("overwrite").save()
     timings = {}

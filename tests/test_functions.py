@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from txnflow.domain import BANK_DOMAIN, TESTDATA_DOMAIN, Clause, Rule, rule
 from txnflow.functions import flags, rules, text, time_parts
-from txnflow.functions.json_leaves import json_leaves
+from txnflow.functions.json_leaves import json_leaves, with_parsed
 
 
 def test_json_leaves_missing_and_invalid(spark):
@@ -14,7 +14,7 @@ def test_json_leaves_missing_and_invalid(spark):
                        "channel": {}, "object": {"target_acct_nbr": "7", "target_bank_code": "013"}})
     rows = [(1, good), (2, '{"object": {"target_bank_code": "812"}}'), (3, "{not json"), (4, None),
             (5, '{"action": {"twd_amt": "abc"}}')]
-    df = spark.createDataFrame(rows, "id int, attrs string").select("id", *json_leaves("attrs"))
+    df = with_parsed(spark.createDataFrame(rows, "id int, attrs string")).select("id", *json_leaves())
     got = {r["id"]: r.asDict() for r in df.collect()}
     assert got[1]["twd_amt"] == 120.0 and got[1]["txn_currency_code"] == "TWD"
     assert got[1]["atm_location"] is None and got[1]["target_bank_code"] == "013"

@@ -97,12 +97,68 @@ def test_stratified_split_partition_and_counts(spark):
     counts = {}
     for r in out:
         counts[(r.label, r.split)] = counts.get((r.label, r.split), 0) + 1
-    for lab, n in [(0, 1), (1, 2), (2, 3), (3, 101)]:
-        n_test = math.ceil(n * 3 / 10)
-        n_val = math.ceil((n - n_test) / 4)
-        assert counts.get((lab, "test"), 0) == n_test
-        assert counts.get((lab, "val"), 0) == n_val
-        assert counts.get((lab, "train"), 0) == n - n_test - n_val
+    sizes = {0: 1, 1: 2, 2: 3, 3: 101}
+    test = shared_out(sizes, 3, 10)
+    val = shared_out({lab: n - test[lab] for lab, n in sizes.items()}, 1, 4)
+    for lab, n in sizes.items():
+        assert counts.get((lab, "test"), 0) == test[lab]
+        assert counts.get((lab, "val"), 0) == val[lab]
+        assert counts.get((lab, "train"), 0) == n - test[lab] - val[lab]
+
+
+def shared_out(sizes, num, den):
+    """ceil(num / den) of all, by largest remainder, ties to the smaller label."""
+    total = sum(sizes.values())
+    wanted = -(-total * num // den)
+    out = {lab: n * wanted // total for lab, n in sizes.items()}
+    order = sorted(sizes, key=lambda lab: (-(sizes[lab] * wanted % total), lab))
+    for lab in order[:wanted - sum(out.values())]:
+        out[lab] += 1
+    return out
+
+
+def test_stratified_split_is_global_and_one_per_actor(spark):
+    rows = [(f"a{i}", i % 3) for i in range(12)] + [("a0", 2)]
+    out = sampling.stratified_split(spark.createDataFrame(rows, "actor_id string, label int")).collect()
+    assert sorted((r.actor_id, r.label) for r in out) == sorted(rows)
+    per_actor = {}
+    for r in out:
+        per_actor.setdefault(r.actor_id, set()).add(r.split)
+    assert all(len(s) == 1 for s in per_actor.values())
+    assert sum(s == {"test"} for s in per_actor.values()) == 4 and sum(s == {"val"} for s in per_actor.values()) == 2
+    assert sampling.stratified_split(spark.createDataFrame([], "actor_id string, label int")).collect() == []
+
+
+def test_null_times_and_actors_stay(spark):
+    rows = [("a", 10, "x"), ("a", None, "y"), ("a", 200_000, "z"), (None, 5, "u"), (None, 6, "v")]
+    df = spark.createDataFrame(rows, "actor_id string, action_epoch long, event string")
+    got = {(r.actor_id, r.action_epoch): (r.gap_seconds, r.clust_index) for r in sessions.gap_sessions(df).collect()}
+    assert got == {("a", None): (0, 0), ("a", 10): (0, 0), ("a", 200_000): (199_990, 1), (None, 5): (0, 0), (None, 6): (1, 0)}
+    kept = sequences.last_steps(df, 2).collect()
+    assert sorted((str(r.actor_id), r.event, r.rank_from_end) for r in kept) == [
+        ("None", "u", 2), ("None", "v", 1), ("a", "x", 2), ("a", "z", 1)]
+
+
+def test_undeclared_classes_stay_in_the_matrix(spark):
+    df = spark.createDataFrame([(0, 0), (0, 7), (7, 0), (1, 1), (None, 1)], "y_true int, y_pred int")
+    cm = evaluation.confusion_matrix(df, classes=(0, 1)).collect()
+    assert sum(r.n for r in cm) == 5 and {(r.y_true, r.y_pred) for r in cm if r.n} == {(0, 0), (0, 7), (7, 0), (1, 1), (None, 1)}
+    rep = {r["class"]: r for r in evaluation.classification_report(df, classes=(0, 1)).collect()}
+    assert rep["accuracy"].f1_score == 0.4 and rep["7"].support == 1 and rep["7"].recall == 0 and rep["accuracy"].support == 5
+
+
+def test_wordings_of_any_part_key(spark, tmp_path):
+    import datetime
+    import os
+    spark.createDataFrame([(1, datetime.datetime(2024, 1, 10), 3, "purchase", 5.0, '{"k": 4321}')],
+                          "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string") \
+        .write.parquet(os.path.join(tmp_path, "events.parquet"))
+    spark.createDataFrame([(4321, "SMALL TIN", "name", "brand")], "p_partkey long, p_type string, p_name string, p_brand string") \
+        .write.parquet(os.path.join(tmp_path, "part.parquet"))
+    from txnflow.sources import testdata
+    rows = testdata.journey_event(spark, str(tmp_path), ("202402", "202402")).collect()
+    assert [(r.action_type, r.yyyymm) for r in rows] == [("SMALL TIN", "202402")]
+    assert testdata.journey_event(spark, str(tmp_path), ("202403", "202403")).collect() == []
 
 
 def test_exact_rank_matches_window(spark):

@@ -13,6 +13,7 @@ from txnflow.sources import testdata as td
 from txnflow.streaming.journey_stream import feature_stream, read_journey_stream, start_parquet_sink
 
 SF = "/root/testdata/sf0.001"
+ALL_WEEKS = ("202401", "202405")
 
 
 def test_stream_matches_batch(spark):
@@ -36,7 +37,7 @@ def test_stream_drops_late_rows(spark):
 
     def run():
         stream = read_journey_stream(spark, f"{root}/source/*")
-        feats = feature_stream(stream, accounts, td.LABEL_PERIOD, TESTDATA_DOMAIN, td.OBSERVATION_PERIOD,
+        feats = feature_stream(stream, accounts, td.LABEL_PERIOD, TESTDATA_DOMAIN, ALL_WEEKS,
                                td.JOURNEY_EVENTS, watermark="1 hour")
         start_parquet_sink(feats, f"{root}/sink", f"{root}/checkpoint").awaitTermination(300)
 
@@ -47,7 +48,7 @@ def test_stream_drops_late_rows(spark):
     # Second run, same checkpoint: old events that the batch pipeline keeps arrive now, and are late.
     old = (ev.filter(F.col("event").isin(*td.JOURNEY_EVENTS) & (F.col("action_sponsor") == "self"))
              .orderBy("action_time").limit(20))
-    kept = transaction_features(clean(join_accounts(extract_journey(old, td.OBSERVATION_PERIOD, td.JOURNEY_EVENTS),
+    kept = transaction_features(clean(join_accounts(extract_journey(old, ALL_WEEKS, td.JOURNEY_EVENTS),
                                                     accounts, td.LABEL_PERIOD), TESTDATA_DOMAIN), TESTDATA_DOMAIN)
     assert kept.count() > 0                      # they would produce feature rows if they were on time
     old.coalesce(1).write.parquet(f"{root}/source/b")
@@ -70,7 +71,8 @@ def test_stream_sessions_match_batch(spark):
     got = sorted(tuple(r) for r in spark.read.parquet(f"{root}/sink").select(
         "actor_id", "action_epoch", "gap_seconds", "clust_index", "time_diff").collect())
     batch = gap_sessions(batch_features(spark, SF))
-    last = batch.agg(F.max("action_epoch")).first()[0]
+    rows = extract_journey(td.journey_event(spark, SF), td.OBSERVATION_PERIOD, td.JOURNEY_EVENTS)
+    last = rows.agg(F.max("action_time")).first()[0]          # what moves the stream's watermark
     want = sorted(tuple(r) for r in batch.filter(F.col("action_epoch") <= last - 3600).select(
         "actor_id", "action_epoch", "gap_seconds", "clust_index", "time_diff").collect())
     assert len(got) > 0.9 * batch.count()

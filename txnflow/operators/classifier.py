@@ -50,10 +50,10 @@ def train_best(train: DataFrame, val: DataFrame, features: str = "features", lab
 
 
 def score(model, df: DataFrame, features: str | None = "features", truth: str = "label") -> DataFrame:
-    """Scores (class probabilities) and argmax prediction for every row."""
+    """Scores (one logit per class, as the cross-entropy expects) and argmax prediction for every row."""
     x = _vectors(df, features) if features is not None else df
     if "_x" not in x.columns:
         x = _vectors(df, "features")
-    out = model.transform(x).withColumn("scores", vector_to_array("probability"))
+    out = model.transform(x).withColumn("scores", vector_to_array("rawPrediction"))
     return out.withColumn("y_pred", argmax(F.col("scores"))).drop("_x", "rawPrediction", "probability",
                                                                    "prediction")

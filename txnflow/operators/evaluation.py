@@ -4,7 +4,8 @@ Everything reduces to one small aggregate -- counts per (true, predicted)
 class -- and then works on that grid of at most classes^2 rows.  The class
 list is declared (``classes``), so a class that is never predicted, or absent
 from the truth, still has its row and column (zero counts; precision, recall
-and F1 of 0 where the denominator is 0).
+and F1 of 0 where the denominator is 0).  A class that is not declared, or null,
+keeps the cells it occurs in and counts in every score: no row vanishes.
 """
 
 from __future__ import annotations
@@ -46,7 +47,11 @@ def confusion_matrix(df: DataFrame, classes: Sequence[int] = CLASSES, truth: str
     counts = df.groupBy(F.col(truth).alias("y_true"), F.col(pred).alias("y_pred")).agg(
         F.count(F.lit(1)).alias("n"))
     grid = _grid(df.sparkSession, classes)
-    cells = grid.join(counts, ["y_true", "y_pred"], "left").fillna(0, subset=["n"])
+    seen = counts.toDF("_t", "_p", "_n")
+    cells = grid.join(seen, F.col("y_true").eqNullSafe(F.col("_t")) & F.col("y_pred").eqNullSafe(F.col("_p")), "full").select(
+        F.when(F.col("_n").isNull(), F.col("y_true")).otherwise(F.col("_t")).alias("y_true"),
+        F.when(F.col("_n").isNull(), F.col("y_pred")).otherwise(F.col("_p")).alias("y_pred"),
+        F.coalesce("_n", F.lit(0)).alias("n"))
     col_total = F.sum("n").over(Window.partitionBy("y_pred"))
     share = F.try_divide(F.col("n").cast("double"), col_total)
     return cells.withColumn("share", F.rint(share * 100.0) / 100.0)
@@ -54,10 +59,14 @@ def confusion_matrix(df: DataFrame, classes: Sequence[int] = CLASSES, truth: str
 
 def per_class(cm: DataFrame) -> DataFrame:
     """(class, tp, predicted, support) from the confusion grid."""
-    tp = F.sum(F.when(F.col("y_true") == F.col("y_pred"), F.col("n")).otherwise(0))
-    by_true = cm.groupBy(F.col("y_true").alias("cls")).agg(F.sum("n").alias("support"), tp.alias("tp"))
-    by_pred = cm.groupBy(F.col("y_pred").alias("cls")).agg(F.sum("n").alias("predicted"))
-    return by_true.join(by_pred, "cls")
+    truth, pred = F.col("y_true"), F.col("y_pred")
+    sides = cm.select("n", F.explode(F.array(F.struct(truth.alias("cls"), F.lit(True).alias("true")),
+                                             F.struct(pred.alias("cls"), F.lit(False).alias("true")))).alias("s"),
+                      truth.eqNullSafe(pred).alias("same"))
+    part = lambda cond: F.sum(F.when(cond, F.col("n")).otherwise(0))
+    return sides.groupBy(F.col("s.cls").alias("cls")).agg(
+        part(F.col("s.true")).alias("support"), part(F.col("s.true") & F.col("same")).alias("tp"),
+        part(~F.col("s.true")).alias("predicted"))
 
 
 def _safe_ratio(a: Column, b: Column) -> Column:

@@ -24,7 +24,7 @@ from typing import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from txnflow.functions.json_leaves import JOURNEY_LEAVES, json_leaves
+from txnflow.functions.json_leaves import JOURNEY_LEAVES, json_leaves, with_parsed
 
 JOURNEY_COLUMNS = ("actor_id", "event", "behavior_yyyymm", "action_sponsor", "action_time", "action_type",
                    "object_id", "twd_amt", "txn_currency_code", "txn_type_desc", "atm_location",
@@ -37,9 +37,9 @@ def extract_journey(journey_event: DataFrame, period: tuple[str, str], events: I
                     leaves=JOURNEY_LEAVES) -> DataFrame:
     """Journey rows of the chosen events and months, JSON leaves as columns, distinct."""
     rows = journey_event.filter(F.col("event").isin(*events) & F.col("yyyymm").between(*period))
-    return rows.select(
+    return with_parsed(rows, "attrs", leaves).select(
         "actor_id", "event", F.col("yyyymm").alias("behavior_yyyymm"), "action_sponsor", "action_time",
-        "action_type", "object_id", *json_leaves("attrs", leaves),
+        "action_type", "object_id", *json_leaves(leaves),
     ).distinct()
 
 

@@ -1,12 +1,9 @@
 """Favourite merchant per customer and weekday.
 
-Plan shape (scale): the fact rows are read and aggregated exactly once, at the
-finest grain any branch needs (customer, weekday, category, town, merchant,
-flag, week-window membership), with map-side partial aggregation collapsing a
-hot customer's rows in every task before the shuffle.  That aggregate is
-checkpointed; the focus set, both profiles, the windows and the joins all run
-on it.  ``row_number() == 1`` lets Spark insert a per-partition group limit
-before the window shuffle.
+Plan shape (scale): the focus customers are counted first, from the columns that needs, and the fact rows are
+cut down to them before anything else is grouped.  Nothing is materialised and nothing is ranked by a window: a
+favourite is a minimum over (descending count, descending spend, name), which every task takes of its own rows
+before the shuffle.
 
 Ties: every ranking has explicit tie-breakers (the remaining keys), so the
 result is deterministic.  Amounts are summed as DECIMAL(18, 2): equal spend is
@@ -15,7 +12,7 @@ equal, not equal-up-to-summation-order.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CUSTOMER, DOW, CATEGORY, TOWN, MERCHANT = ("customer_id", "dayofweek", "consumption_category_desc",
@@ -29,47 +26,30 @@ def focus_customers(consumption: DataFrame, weeks: tuple[int, int] = (1, 8), min
     return counts.filter(F.col("consumpt_cnt") >= min_count)
 
 
-def preference_base(consumption: DataFrame, focus_weeks: tuple[int, int], profile_weeks: tuple[int, int]) -> DataFrame:
-    """One pass over the fact rows: counts and exact spend at the finest needed grain."""
-    week = F.col("week")
-    rows = consumption.filter(F.col(TOWN).isNotNull() & (week.between(*focus_weeks) | week.between(*profile_weeks)))
-    return rows.groupBy(CUSTOMER, DOW, CATEGORY, TOWN, MERCHANT, "merchant_flag",
-                        week.between(*focus_weeks).alias("_in_focus"),
-                        week.between(*profile_weeks).alias("_in_profile")).agg(
-        F.count(F.lit(1)).alias("_cnt"), F.sum(F.col("txn_amt").cast("decimal(18,2)")).alias("_amt"))
+def _spend(df: DataFrame, keys) -> DataFrame:
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_cnt"), F.sum(F.col("txn_amt").cast("decimal(18,2)")).alias("_amt"))
 
 
-def _spend(df: DataFrame, keys) -> DataFrame:
-    return df.groupBy(*keys).agg(F.sum("_cnt").alias("train_consum_cnt"),
-                                 F.sum("_amt").alias("train_consum_tot_amt"))
+def _favourite(df: DataFrame, keys, names) -> DataFrame:
+    """The ``names`` of each key with the largest count, then the largest spend, then the smallest names."""
+    order = F.struct((-F.col("_cnt")).alias("c"), F.col("_amt").isNull().alias("u"), (-F.col("_amt")).alias("a"),
+                     *[F.struct(F.col(n).isNull().alias("u"), F.col(n).alias("v")).alias(n) for n in names])
+    return df.groupBy(*keys).agg(F.min(order).alias("_best")).select(*keys, *[F.col(f"_best.{n}.v").alias(n) for n in names])
 
 
 def merchant_preference(consumption: DataFrame, focus_weeks: tuple[int, int] = (1, 8),
                         profile_weeks: tuple[int, int] = (0, 8), min_count: int = 10,
                         flag: str = "Y") -> DataFrame:
-    from txnflow.session import cut_lineage
-    pre = cut_lineage(preference_base(consumption, focus_weeks, profile_weeks))
-    focus = (pre.filter("_in_focus").groupBy(CUSTOMER).agg(F.sum("_cnt").alias("consumpt_cnt"))
-                .filter(F.col("consumpt_cnt") >= min_count))
-    base = pre.filter(F.col("_in_profile") & (F.col("merchant_flag") == flag))
-    by_spend = [F.col("train_consum_cnt").desc(), F.col("train_consum_tot_amt").desc()]
-
-    # The customer's favourite (category, town) per weekday.
-    intent = _spend(base, [CUSTOMER, DOW, CATEGORY, TOWN])
-    w1 = Window.partitionBy(CUSTOMER, DOW).orderBy(*by_spend, CATEGORY, TOWN)
-    intent = (intent.withColumn("train_consum_cnt_rk", F.row_number().over(w1))
-                    .filter(F.col("train_consum_cnt_rk") == 1).select(CUSTOMER, DOW, CATEGORY, TOWN))
-
-    # Merchants ranked inside each (customer, category).
-    merchant = _spend(base, [CUSTOMER, CATEGORY, TOWN, MERCHANT])
-    w2 = Window.partitionBy(CUSTOMER, CATEGORY).orderBy(*by_spend, TOWN, MERCHANT)
-    merchant = (merchant.withColumn("train_consum_cnt_rk", F.row_number().over(w2))
-                        .select(CUSTOMER, CATEGORY, TOWN, MERCHANT, "train_consum_cnt_rk"))
-
-    # J3 + W3 + J4 + F11: best-ranked merchant for each favourite, focus customers only.
+    """The favourite merchant of each focus customer and weekday.
+
+    W1: the customer's favourite (category, town) of a weekday.  W2 orders merchants within (customer, category) by
+    count, spend, town and name; W3 takes the first of a town, so within (customer, category, town) it is the
+    merchant first by count, spend and name.
+    """
+    focus = focus_customers(consumption, focus_weeks, min_count).select(CUSTOMER)
+    base = (consumption.filter(F.col(TOWN).isNotNull() & F.col("week").between(*profile_weeks) & (F.col("merchant_flag") == flag))
+            .join(focus, CUSTOMER, "left_semi"))
+    intent = _favourite(_spend(base, [CUSTOMER, DOW, CATEGORY, TOWN]), [CUSTOMER, DOW], [CATEGORY, TOWN])
+    merchant = _favourite(_spend(base, [CUSTOMER, CATEGORY, TOWN, MERCHANT]), [CUSTOMER, CATEGORY, TOWN], [MERCHANT])
     out = intent.join(merchant, [CUSTOMER, CATEGORY, TOWN], "left")
-    w3 = Window.partitionBy(CUSTOMER, CATEGORY, TOWN, DOW).orderBy(
-        F.col("train_consum_cnt_rk").asc_nulls_last(), F.col(MERCHANT).asc_nulls_last())
-    out = out.withColumn("train_output_rk", F.row_number().over(w3))
-    out = out.join(focus.select(CUSTOMER), CUSTOMER, "left_semi").filter(F.col("train_output_rk") == 1)
-    return out.select(CUSTOMER, CATEGORY, TOWN, DOW, MERCHANT, "train_output_rk")
+    return out.select(CUSTOMER, CATEGORY, TOWN, DOW, MERCHANT, F.lit(1).alias("train_output_rk"))

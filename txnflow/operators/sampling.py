@@ -43,29 +43,47 @@ def exact_rank(df: DataFrame, group: Sequence[str], order: str, tie: str, out: s
     return df.withColumn(out, F.col("_offset") + F.row_number().over(inner)).drop("_bucket", "_offset")
 
 
-def _ceil_fraction(n: Column, num: int, den: int) -> Column:
-    """ceil(n * num / den) in integer arithmetic (no 0.3 * 10 = 3.0000000000000004)."""
-    return F.floor((n * num + (den - 1)) / den).cast("long")
+def _quota(sizes: DataFrame, label: str, num: int, den: int) -> DataFrame:
+    """``sizes`` (label, _n) with ``_quota``: ceil(num / den of all rows) shared out over the labels.
+
+    Each label gets the whole part of its proportional share; what is left goes to the largest remainders, of equal
+    ones to the smaller label.  Integers only, so there is no 0.3 * 10 = 3.0000000000000004.  One row per label.
+    """
+    one = Window.partitionBy(F.lit(0))
+    big = lambda c: c.cast("decimal(38,0)")
+    total = F.expr(f"(sum(_n) over (partition by 0) * {num} + {den - 1}) div {den}")
+    out = sizes.withColumn("_total", F.sum("_n").over(one)).withColumn("_wanted", total)
+    out = out.withColumn("_share", F.expr("cast(cast(_n as decimal(19,0)) * cast(_wanted as decimal(19,0)) div _total as long)"))
+    out = out.withColumn("_rest", big(F.col("_n")) * big(F.col("_wanted")) - big(F.col("_share")) * big(F.col("_total")))
+    rank = F.row_number().over(one.orderBy(F.desc("_rest"), label))
+    left = F.col("_wanted") - F.sum("_share").over(one)
+    return out.withColumn("_quota", F.col("_share") + F.when(rank <= left, 1).otherwise(0)).select(label, "_quota")
+
+
+def _first_of_each(rows: DataFrame, key: str, label: str, seed: int, num: int, den: int) -> DataFrame:
+    """``rows`` (key, label) with ``_taken``: whether the row is within its label's quota in keyed random order."""
+    ranked = exact_rank(rows.withColumn("_h", keyed_hash(seed, key)), [label], "_h", key, out="_r")
+    quota = _quota(rows.groupBy(label).agg(F.count(F.lit(1)).alias("_n")), label, num, den)
+    # One row per label: a proven bound.
+    return ranked.join(F.broadcast(quota), label).select(key, label, (F.col("_r") <= F.col("_quota")).alias("_taken"))
 
 
 def stratified_split(actors: DataFrame, key: str = "actor_id", label: str = "label",
                      test: tuple[int, int] = (3, 10), val: tuple[int, int] = (1, 4),
                      test_seed: int = 99, val_seed: int = 43) -> DataFrame:
-    """Per label, ceil(test * n) members go to test, then ceil(val * rest) to val.
+    """ceil(test * all) actors go to test, then ceil(val * rest) to val, both shared out over the labels.
 
-    Defaults reproduce the 30 % test / 25 %-of-the-rest validation split
-    (52.5 / 17.5 / 30) with the original seeds.
+    Defaults reproduce the 30 % test / 25 %-of-the-rest validation split (52.5 / 17.5 / 30) with the original seeds.
+    An actor has one split: with several labels it counts under the smallest, and each of its (key, label)
+    rows gets that split, so no actor is in two of them.
     """
-    # The actor table is read by both phases and both outputs: compute it once.
-    a = cut_lineage(actors.select(key, label).withColumn("_h1", keyed_hash(test_seed, key)))
-    a = exact_rank(a, [label], "_h1", key, out="_r1")
-    a = cut_lineage(a.withColumn("_is_test", F.col("_r1") <= _ceil_fraction(F.col("group_size"), *test)))
-    rest = a.filter(~F.col("_is_test")).select(key, label).withColumn("_h2", keyed_hash(val_seed, key))
-    rest = exact_rank(rest, [label], "_h2", key, out="_r2")
-    rest = rest.select(key, label, F.when(F.col("_r2") <= _ceil_fraction(F.col("group_size"), *val), "val")
-                       .otherwise("train").alias("split"))
-    tested = a.filter(F.col("_is_test")).select(key, label, F.lit("test").alias("split"))
-    return tested.unionByName(rest)
+    rows = cut_lineage(actors.select(key, label).distinct())       # read by both phases and the output
+    one = rows.groupBy(key).agg(F.min(label).alias(label))
+    a = cut_lineage(_first_of_each(one, key, label, test_seed, *test))
+    rest = _first_of_each(a.filter(~F.col("_taken")).select(key, label), key, label, val_seed, *val)
+    split = (a.filter("_taken").select(key, F.lit("test").alias("split"))
+             .unionByName(rest.select(key, F.when(F.col("_taken"), "val").otherwise("train").alias("split"))))
+    return rows.join(split, key).select(key, label, "split")
 
 
 def undersample(split: DataFrame, key: str = "actor_id", label: str = "label", major: int = 0,

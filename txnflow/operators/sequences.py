@@ -19,7 +19,7 @@ from typing import Iterable, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from txnflow.operators.sessions import DEFAULT_TIE_BREAKERS, order_columns
+from txnflow.operators.sessions import DEFAULT_TIE_BREAKERS, order_columns, with_chunk
 
 
 def steps_per_actor(df: DataFrame, actor: str = "actor_id", label: str = "label") -> DataFrame:
@@ -34,15 +34,15 @@ def max_timestep(df: DataFrame, actor: str = "actor_id", label: str = "label") -
 def last_steps(df: DataFrame, n: int, actor: str = "actor_id", time: str = "action_epoch",
                tie_breakers: Iterable[str] = DEFAULT_TIE_BREAKERS, chunk_seconds: int = 3600) -> DataFrame:
     """Rows among the last ``n`` of their actor, with ``rank_from_end`` (1 = latest)."""
-    base = df.withColumn("_chunk", F.floor(F.col(time) / chunk_seconds))
-    w = Window.partitionBy(actor, "_chunk").orderBy(*order_columns(base, time, tie_breakers, descending=True))
+    base = with_chunk(df, actor, time, chunk_seconds)
+    w = Window.partitionBy("_actor", "_chunk").orderBy(*order_columns(base, time, tie_breakers, descending=True))
     df = base.withColumn("_rn", F.row_number().over(w))
     # Per-chunk sizes straight from the input: partial aggregation, small shuffle.
-    counts = base.groupBy(actor, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
-    later = Window.partitionBy(actor).orderBy(F.col("_chunk").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    counts = base.groupBy("_actor", "_chunk").agg(F.count(F.lit(1)).alias("_n"))
+    later = Window.partitionBy("_actor").orderBy(F.col("_chunk").desc()).rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("_later", F.coalesce(F.sum("_n").over(later), F.lit(0))).drop("_n")
-    out = df.join(counts, [actor, "_chunk"]).withColumn("rank_from_end", F.col("_later") + F.col("_rn"))
-    return out.filter(F.col("rank_from_end") <= n).drop("_chunk", "_rn", "_later")
+    out = df.join(counts, ["_actor", "_chunk"]).withColumn("rank_from_end", F.col("_later") + F.col("_rn"))
+    return out.filter(F.col("rank_from_end") <= n).drop("_actor", "_chunk", "_rn", "_later")
 
 
 def for_actor(df: DataFrame, actor_id: str, actor: str = "actor_id") -> DataFrame:

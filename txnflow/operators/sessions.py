@@ -17,6 +17,9 @@ into (actor, time chunk) partitions -- a parallel prefix scan:
 3. join the carry back on (actor, chunk); the big side is already partitioned
    on those keys by step 1, so only the small side moves.
 
+Rows without a time come first, with no gap and in the first session; rows
+without an actor form an actor of their own.
+
 The input is read by two branches (rows and chunk carry) that prune different
 columns, so Spark cannot always share one scan: pass a materialised input
 (``session.cut_lineage``) when it is expensive to compute.
@@ -47,12 +50,21 @@ def order_columns(df: DataFrame, time: str, tie_breakers: Iterable[str], descend
     return [F.col(c).asc_nulls_first() for c in cols]
 
 
+NO_TIME = -(1 << 62)         # the chunk of rows without a time: before all others
+
+
+def with_chunk(df: DataFrame, actor: str, time: str, chunk_seconds: int) -> DataFrame:
+    """``df`` with ``_actor`` and ``_chunk``, which are never null, so that no row is lost in the join on them."""
+    return (df.withColumn("_actor", F.coalesce(F.col(actor).cast("string"), F.lit("\u0000null")))
+              .withColumn("_chunk", F.coalesce(F.floor(F.col(time) / chunk_seconds), F.lit(NO_TIME))))
+
+
 def gap_sessions(df: DataFrame, actor: str = "actor_id", time: str = "action_epoch",
                  cut_seconds: int = DAY, chunk_seconds: int = 3600,
                  tie_breakers: Iterable[str] = DEFAULT_TIE_BREAKERS) -> DataFrame:
     t = F.col(time)
-    base = df.withColumn("_chunk", F.floor(t / chunk_seconds))
-    w = Window.partitionBy(actor, "_chunk").orderBy(*order_columns(base, time, tie_breakers))
+    base = with_chunk(df, actor, time, chunk_seconds)
+    w = Window.partitionBy("_actor", "_chunk").orderBy(*order_columns(base, time, tie_breakers))
     df = (base.withColumn("_prev", F.lag(time).over(w))
               .withColumn("_brk", F.when(t - F.col("_prev") > cut_seconds, 1).otherwise(0))
               .withColumn("_run", F.sum("_brk").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))))
@@ -62,24 +74,24 @@ def gap_sessions(df: DataFrame, actor: str = "actor_id", time: str = "action_epo
         # between chunks: the carry needs per-chunk first/last times only, taken
         # straight from the input with map-side partial aggregation (a small
         # shuffle) instead of from the windowed rows (a second row shuffle).
-        chunks = base.groupBy(actor, "_chunk").agg(F.min(time).alias("_first"), F.max(time).alias("_last"),
+        chunks = base.groupBy("_actor", "_chunk").agg(F.min(time).alias("_first"), F.max(time).alias("_last"),
                                                   F.lit(0).cast("long").alias("_inner"))
     else:
-        chunks = df.groupBy(actor, "_chunk").agg(F.min(time).alias("_first"), F.max(time).alias("_last"),
+        chunks = df.groupBy("_actor", "_chunk").agg(F.min(time).alias("_first"), F.max(time).alias("_last"),
                                                 F.sum("_brk").alias("_inner"))
-    wc = Window.partitionBy(actor).orderBy("_chunk")
+    wc = Window.partitionBy("_actor").orderBy("_chunk")
     chunks = (chunks.withColumn("_prev_last", F.lag("_last").over(wc))
                     .withColumn("_entry", F.when(F.col("_first") - F.col("_prev_last") > cut_seconds, 1).otherwise(0))
                     .withColumn("_base", F.sum(F.col("_inner") + F.col("_entry"))
                                 .over(wc.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_inner"))
-                    .select(actor, "_chunk", "_prev_last", "_base"))
+                    .select("_actor", "_chunk", "_prev_last", "_base"))
 
-    out = df.join(chunks, [actor, "_chunk"])
+    out = df.join(chunks, ["_actor", "_chunk"])
     gap = F.coalesce(t - F.coalesce(F.col("_prev"), F.col("_prev_last")), F.lit(0)).cast("long")
     out = (out.withColumn("gap_seconds", gap)
               .withColumn("clust_index", (F.col("_base") + F.col("_run")).cast("int"))
               .withColumn("time_diff", round_half_even(F.col("gap_seconds") / F.lit(float(DAY)), 4)))
-    return out.drop("_chunk", "_prev", "_brk", "_run", "_prev_last", "_base")
+    return out.drop("_actor", "_chunk", "_prev", "_brk", "_run", "_prev_last", "_base")
 
 
 def session_sizes(sessioned: DataFrame, actor: str = "actor_id", time: str = "action_epoch") -> DataFrame:

@@ -25,13 +25,13 @@ from pyspark.sql import functions as F
 from txnflow.operators.sampling import exact_rank, keyed_hash
 from txnflow.session import cut_lineage, ship_package
 
-TWO_32 = float(2 ** 32)
+def hash_draw(*parts: Column, digits: int = 15) -> Column:
+    """Integer below 16^digits from the first hex digits of md5 over the parts (15 digits: 60 bits)."""
+    text = F.concat_ws("|", *[p.cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(text), 1, digits), 16, 10).cast("long")
 
 
-def hash_unit(*parts: Column) -> Column:
-    """Integer in [0, 2^32) from the first 8 hex digits of md5 over the parts."""
-    text = F.concat_ws("|", *[p.cast("string") for p in parts])
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
+GAP_DIGITS = 13             # 52 bits, all of which a double in [0, 1) holds
 
 
 EPS = float(np.finfo(np.float64).eps)
@@ -49,13 +49,14 @@ def _local_topk(k: int):
     those exact distances: the result equals a full pairwise computation.
     """
     def run(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"id": np.array([], np.int64), "nbr_id": np.array([], np.int64),
-                              "distance": np.array([], np.float64)})
+        empty = pd.DataFrame({"id": q["id"].iloc[:0], "nbr_id": q["id"].iloc[:0], "distance": np.array([], np.float64)})
         if q.empty or r.empty:
             return empty
         qx = np.stack(q["features"].to_numpy()).astype(np.float64)
         rx = np.stack(r["features"].to_numpy()).astype(np.float64)
-        qid, rid = q["id"].to_numpy(np.int64), r["id"].to_numpy(np.int64)
+        # Ids of any type as their places in sorted order.
+        names, codes = np.unique(np.concatenate([q["id"].to_numpy(), r["id"].to_numpy()]), return_inverse=True)
+        qid, rid = codes[:len(q)], codes[len(q):]
         dim = qx.shape[1]
         nq, nr = np.einsum("ij,ij->i", qx, qx), np.einsum("ij,ij->i", rx, rx)
         take = min(k, len(rid))
@@ -84,18 +85,19 @@ def _local_topk(k: int):
                 dk = np.take_along_axis(dist, order, axis=1)
                 ok = np.isfinite(dk)
                 ids = np.repeat(qid[c][u], order.shape[1]).reshape(-1, order.shape[1])
-                parts.append(pd.DataFrame({"id": ids[ok], "nbr_id": np.take_along_axis(nbr, order, axis=1)[ok],
+                parts.append(pd.DataFrame({"id": names[ids[ok]], "nbr_id": names[np.take_along_axis(nbr, order, axis=1)[ok]],
                                            "distance": dk[ok]}))
         return pd.concat(parts, ignore_index=True) if parts else empty
     return run
 
 
-def knn_within_class(df: DataFrame, k: int = 5, block_size: int = 1024, classes: DataFrame | None = None,
+def knn_within_class(df: DataFrame, k: int = 5, block_size: int = 16_384, classes: DataFrame | None = None,
                      key: str = "id", label: str = "label", features: str = "features",
                      materialize: bool = True) -> DataFrame:
     """(id, label, nbr_rank 1..k, nbr_id, distance): exact k nearest same-class rows."""
     ship_package(df.sparkSession)   # the tile function runs in executor Python workers
     rows = df.select(F.col(key).alias("id"), F.col(label).alias("label"), F.col(features).alias("features"))
+    kind = rows.schema["id"].dataType.simpleString()
     if classes is not None:
         # One row per class to search (a handful of labels): a proven bound.
         rows = rows.join(F.broadcast(classes.select(F.col(label).alias("label"))), "label", "left_semi")
@@ -113,7 +115,7 @@ def knn_within_class(df: DataFrame, k: int = 5, block_size: int = 1024, classes:
                        F.col("id").alias("id"), F.col("features").alias("features"))
     cand = (queries.groupBy("label", "qb", "rb")
             .cogroup(refs.groupBy("label", "qb", "rb"))
-            .applyInPandas(lambda q, r: _local_topk(k)(q, r), "id long, nbr_id long, distance double"))
+            .applyInPandas(lambda q, r: _local_topk(k)(q, r), f"id {kind}, nbr_id {kind}, distance double"))
     w = Window.partitionBy("id").orderBy("distance", "nbr_id")
     ranked = cand.withColumn("nbr_rank", F.row_number().over(w)).filter(F.col("nbr_rank") <= k)
     labels = rows.select("id", "label")
@@ -135,13 +137,14 @@ def smote_plan(df: DataFrame, label: str = "label") -> list[tuple[int, int, int,
 
 
 def smote_samples(df: DataFrame, k: int = 5, seed: int = 666, key: str = "id", label: str = "label",
-                  features: str = "features", block_size: int = 1024) -> DataFrame:
+                  features: str = "features", block_size: int = 16_384) -> DataFrame:
     """Synthetic rows: (label, sample_idx, base_id, nbr_id, u, features)."""
     spark = df.sparkSession
     rows = cut_lineage(df.select(F.col(key).alias("id"), F.col(label).cast("int").alias("label"),
                                  F.col(features).alias("features")))
     plan = smote_plan(rows, "label")
-    schema = f"label int, sample_idx long, base_id long, nbr_id long, u double, features array<double>"
+    kind = rows.schema["id"].dataType.simpleString()
+    schema = f"label int, sample_idx long, base_id {kind}, nbr_id {kind}, u double, features array<double>"
     if not plan:
         return spark.createDataFrame([], schema)
     total = sum(p[2] for p in plan)
@@ -157,11 +160,11 @@ def smote_samples(df: DataFrame, k: int = 5, seed: int = 666, key: str = "id", l
     j, c = F.col("sample_idx"), F.col("label")
     samples = samples.select(
         "label", "sample_idx",
-        (F.pmod(hash_unit(F.lit(seed), c, j, F.lit("base")), F.col("_members")) + 1).alias("_base_rank"),
+        (F.pmod(hash_draw(F.lit(seed), c, j, F.lit("base")), F.col("_members")) + 1).alias("_base_rank"),
         F.when(F.col("_members") > 1,
-               F.pmod(hash_unit(F.lit(seed), c, j, F.lit("nbr")), F.least(F.lit(k), F.col("_members") - 1))
+               F.pmod(hash_draw(F.lit(seed), c, j, F.lit("nbr")), F.least(F.lit(k), F.col("_members") - 1))
                + 1).alias("_nbr_rank"),
-        (hash_unit(F.lit(seed), c, j, F.lit("gap")) / F.lit(TWO_32)).alias("u"),
+        (hash_draw(F.lit(seed), c, j, F.lit("gap"), digits=GAP_DIGITS) / F.lit(float(16 ** GAP_DIGITS))).alias("u"),
     )
     small = spark.createDataFrame([(p[0],) for p in plan], "label int")
     # ``small`` has one row per over-sampled class: a proven bound.
@@ -184,8 +187,8 @@ def smote_samples(df: DataFrame, k: int = 5, seed: int = 666, key: str = "id", l
 def smote(df: DataFrame, k: int = 5, seed: int = 666, key: str = "id", label: str = "label",
           features: str = "features") -> DataFrame:
     """Originals plus synthetic rows, with ``is_synthetic``."""
-    originals = df.select(F.col(key).cast("long").alias("id"), F.col(label).cast("int").alias("label"),
+    originals = df.select(F.col(key).alias("id"), F.col(label).cast("int").alias("label"),
                           F.col(features).alias("features"), F.lit(False).alias("is_synthetic"))
     synth = smote_samples(df, k, seed, key, label, features).select(
-        F.lit(None).cast("long").alias("id"), "label", "features", F.lit(True).alias("is_synthetic"))
+        F.lit(None).cast(df.schema[key].dataType).alias("id"), "label", "features", F.lit(True).alias("is_synthetic"))
     return originals.unionByName(synth)

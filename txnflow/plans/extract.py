@@ -9,7 +9,7 @@ from txnflow.sources import testdata as td
 
 
 def journey(spark, sf_dir):
-    return extract_journey(td.journey_event(spark, sf_dir), td.OBSERVATION_PERIOD, td.JOURNEY_EVENTS)
+    return extract_journey(td.journey_event(spark, sf_dir, td.OBSERVATION_PERIOD), td.OBSERVATION_PERIOD, td.JOURNEY_EVENTS)
 
 
 def joined(spark, sf_dir):

@@ -14,11 +14,12 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from txnflow.domain import MODEL_FEATURES, TESTDATA_DOMAIN
-from txnflow.operators.features import model_columns
+from txnflow.operators.features import DROPPED_BEFORE_MODEL, model_columns
 from txnflow.operators.sampling import stratified_split
 from txnflow.operators.sequences import (build_sequences, flatten, last_steps, max_timestep, pad_sequences,
                                          unflatten)
 from txnflow.operators.smote import smote
+from txnflow.plans.features import features
 from txnflow.plans.model import full_features
 from txnflow.session import materialize, ship_package
 from txnflow.sources import io
@@ -39,7 +40,8 @@ def build_training_set(spark: SparkSession, sf_dir: str, out_dir: str, observ: s
     name = lambda kind: f"{out_dir.rstrip('/')}/" + io.dataset_name(kind, observ, label_period, try_date,
                                                                     version, desc)
     paths = {}
-    feats = materialize(full_features(spark, sf_dir, TESTDATA_DOMAIN), "features")
+    columns = set(features(spark, sf_dir).columns) - set(DROPPED_BEFORE_MODEL)
+    feats = materialize(full_features(spark, sf_dir, columns, TESTDATA_DOMAIN), "features")
 
     paths["features"] = name("featureGeneration")
     io.write_csv(model_columns(feats), paths["features"])
@@ -53,9 +55,9 @@ def build_training_set(spark: SparkSession, sf_dir: str, out_dir: str, observ: s
     io.write_json(seqs, paths["sequences"])
 
     split = stratified_split(actor_label)
-    padded = pad_sequences(seqs, T, len(MODEL_FEATURES)).join(split.select("actor_id", "split"), "actor_id")
-    flat = padded.select(F.col("actor_id").alias("id_str"), "label", "split", flatten("x", "features"))
-    keyed = flat.withColumn("id", F.xxhash64("id_str"))
+    padded = pad_sequences(seqs, T, len(MODEL_FEATURES)).join(split, ["actor_id", "label"])
+    # SMOTE needs one key a row: an actor with two labels has two.
+    keyed = padded.select(F.concat_ws("|", "actor_id", "label").alias("id"), "label", "split", flatten("x", "features"))
     parts = []
     for s in ("train", "val", "test"):
         rows = keyed.filter(F.col("split") == s)

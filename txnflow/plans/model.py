@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from txnflow.domain import MODEL_FEATURES, TESTDATA_DOMAIN
+from txnflow.domain import MODEL_FEATURES, NON_PCA_FEATURES, TESTDATA_DOMAIN
 from txnflow.operators.classifier import score, train_best
 from txnflow.operators.density import kde
-from txnflow.operators.features import model_columns
+from txnflow.operators.features import DROPPED_BEFORE_MODEL, model_columns
 from txnflow.operators.sampling import stratified_split
 from txnflow.operators.smote import smote
 from txnflow.operators.scaling import standardize_all
@@ -15,6 +15,7 @@ from txnflow.operators.sequences import build_sequences, flatten, last_steps, ma
 from txnflow.operators.text_features import (count_vectors, fit_pca, one_hot_vector, project_levels,
                                              project_tokens, vocabulary)
 from txnflow.functions import flags, text
+from txnflow.plans.features import features
 from txnflow.plans.registry import register
 from txnflow.plans.sequences import SEQ, sessioned
 from txnflow.plans.sql import CTE, with_ctes
@@ -22,10 +23,11 @@ from txnflow.session import cut_lineage
 from txnflow.sources import testdata as td
 
 
-def full_features(spark, sf_dir, domain=TESTDATA_DOMAIN):
-    """Every per-transaction feature, PCA projections and scaled columns included."""
+def full_features(spark, sf_dir, columns=NON_PCA_FEATURES, domain=TESTDATA_DOMAIN):
+    """Per-transaction features: ``columns``, PCA projections and scaled columns."""
     # Many passes follow (vocabulary, two PCA fits, means, scalers): compute the rows once.
-    df = cut_lineage(sessioned(spark, sf_dir).withColumn("_terms", text.analyse(F.col("location_doc"))))
+    wanted = [*columns, "cat_action", "location_doc"]
+    df = cut_lineage(sessioned(spark, sf_dir, wanted).withColumn("_terms", text.analyse(F.col("location_doc"))).drop("location_doc"))
     vocab = vocabulary(df, "_terms", 0.001, 0.99)
     loc_fit = fit_pca(count_vectors(df, "_terms", vocab, "_loc_counts"), "_loc_counts", 10)
     levels = [r.label for r in domain.action_rules] + [domain.action_default]
@@ -39,7 +41,8 @@ def full_features(spark, sf_dir, domain=TESTDATA_DOMAIN):
 @register("txn_features")
 def q_txn_features(spark, sf_dir):
     """Rows-only: the model feature table (one row per transaction)."""
-    return model_columns(full_features(spark, sf_dir))
+    columns = set(features(spark, sf_dir).columns) - set(DROPPED_BEFORE_MODEL)
+    return model_columns(full_features(spark, sf_dir, columns))
 
 
 @register("training_tensor")
@@ -49,7 +52,7 @@ def q_training_tensor(spark, sf_dir):
     T = max_timestep(df)
     seqs = pad_sequences(build_sequences(last_steps(df, T), MODEL_FEATURES), T, len(MODEL_FEATURES))
     split = stratified_split(df.select("actor_id", "label").distinct())
-    return seqs.join(split.select("actor_id", "split"), "actor_id").select(
+    return seqs.join(split, ["actor_id", "label"]).select(
         "actor_id", "label", "split", F.lit(T).alias("timesteps"), flatten("x", "features"))
 
 
@@ -72,7 +75,7 @@ FROM g JOIN density_in d ON d.label = g.label GROUP BY g.label, g.grid_idx, g.x,
 @register("amount_density", sql=with_ctes(SEQ[:-2] + ["density_in", "density"], """
 SELECT label, grid_idx, x, round(density, 12) AS density FROM density"""))
 def q_amount_density(spark, sf_dir):
-    s = sessioned(spark, sf_dir)
+    s = sessioned(spark, sf_dir, ["cash_flow"])
     totals = cut_lineage(s.groupBy("label", "actor_id").agg(
         F.sum(flags.signed_amount(F.col("cash_flow"), F.col("twd_amt"))).alias("v")))   # read twice by kde
     out = kde(totals, "v", "label")
@@ -103,8 +106,9 @@ def q_sequence_model_scores(spark, sf_dir):
     seqs = pad_sequences(build_sequences(last_steps(df, T), MODEL_FEATURES), T, len(MODEL_FEATURES))
     split = stratified_split(df.select("actor_id", "label").distinct())
     data = cut_lineage(seqs.join(split, ["actor_id", "label"]).select(
-        F.xxhash64("actor_id").alias("id"), "actor_id", "label", "split", flatten("x", "features")))
-    train = smote(data.filter(F.col("split") == "train").select("id", "label", "features"))
+        F.concat_ws("|", "actor_id", "label").alias("id"), "actor_id", "label", "split", flatten("x", "features")))
+    # Read by three fits: computed once.
+    train = cut_lineage(smote(data.filter(F.col("split") == "train").select("id", "label", "features")))
     model, _ = train_best(train, data.filter(F.col("split") == "val"))
     scored = score(model, data.filter(F.col("split") == "test"))
     return scored.select("actor_id", F.col("label").alias("y_true"), "y_pred", "scores")

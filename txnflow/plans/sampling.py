@@ -17,15 +17,27 @@ K, SMOTE_SEED, UNDER_SEED = 5, 666, 7
 
 CTE["actor_label"] = "SELECT DISTINCT actor_id, label FROM features"
 CTE["split"] = """
-WITH r1 AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5('99|' || actor_id), actor_id) AS r,
-                 count(*) OVER (PARTITION BY label) AS n FROM actor_label),
-t AS (SELECT actor_id, label, r <= (n * 3 + 9) // 10 AS is_test FROM r1),
-r2 AS (SELECT actor_id, label,
-         row_number() OVER (PARTITION BY label ORDER BY md5('43|' || actor_id), actor_id) AS r,
-         count(*) OVER (PARTITION BY label) AS n FROM t WHERE NOT is_test)
-SELECT actor_id, label, 'test' AS split FROM t WHERE is_test
-UNION ALL
-SELECT actor_id, label, CASE WHEN r <= (n + 3) // 4 THEN 'val' ELSE 'train' END AS split FROM r2
+WITH one AS (SELECT actor_id, min(label) AS label FROM actor_label GROUP BY actor_id),
+tn AS (SELECT label, count(*) AS n, (SELECT (count(*) * 3 + 9) // 10 FROM one) AS want, (SELECT count(*) FROM one) AS total
+       FROM one GROUP BY label),
+tq AS (SELECT label, n * want // total
+         + CASE WHEN row_number() OVER (ORDER BY n * want % total DESC, label) <= want - sum(n * want // total) OVER ()
+                THEN 1 ELSE 0 END AS quota FROM tn),
+t AS (SELECT o.actor_id, o.label,
+        row_number() OVER (PARTITION BY o.label ORDER BY md5('99|' || o.actor_id), o.actor_id) <= q.quota AS is_test
+      FROM one o JOIN tq q ON o.label = q.label),
+rest AS (SELECT actor_id, label FROM t WHERE NOT is_test),
+vn AS (SELECT label, count(*) AS n, (SELECT (count(*) + 3) // 4 FROM rest) AS want, (SELECT count(*) FROM rest) AS total
+       FROM rest GROUP BY label),
+vq AS (SELECT label, n * want // total
+         + CASE WHEN row_number() OVER (ORDER BY n * want % total DESC, label) <= want - sum(n * want // total) OVER ()
+                THEN 1 ELSE 0 END AS quota FROM vn),
+v AS (SELECT r.actor_id,
+        row_number() OVER (PARTITION BY r.label ORDER BY md5('43|' || r.actor_id), r.actor_id) <= q.quota AS is_val
+      FROM rest r JOIN vq q ON r.label = q.label),
+s AS (SELECT actor_id, 'test' AS split FROM t WHERE is_test
+      UNION ALL SELECT actor_id, CASE WHEN is_val THEN 'val' ELSE 'train' END FROM v)
+SELECT a.actor_id, a.label, s.split FROM actor_label a JOIN s ON a.actor_id = s.actor_id
 """
 CTE["under"] = f"""
 WITH rows AS (SELECT * FROM split WHERE split IN ('train', 'val')),
@@ -77,7 +89,7 @@ SELECT actor_id, action_epoch, event, twd_amt,
     AS twd_amt_scaled
 FROM features""".replace("\n, tr", ",\ntr")))
 def q_scale_fit_on_train(spark, sf_dir):
-    df = cut_lineage(features(spark, sf_dir))   # read by the split, the fit and the output
+    df = cut_lineage(features(spark, sf_dir).select("actor_id", "label", "action_epoch", "event", "twd_amt"))   # read by split, fit, output
     train = stratified_split(df.select("actor_id", "label").distinct()).filter(F.col("split") == "train")
     train = train.select("actor_id")
     stats = fit_scaler(df.join(train, "actor_id", "left_semi"), "twd_amt")
@@ -101,8 +113,8 @@ WHERE nbr_rank <= {K}
 """
 
 
-def _h(*parts):
-    return ("('0x' || substr(md5(concat_ws('|', " + ", ".join(parts) + ")), 1, 8))::BIGINT")
+def _h(*parts, digits=15):
+    return ("('0x' || substr(md5(concat_ws('|', " + ", ".join(parts) + f")), 1, {digits}))::BIGINT")
 
 
 CTE["synth"] = f"""
@@ -111,7 +123,7 @@ h AS (SELECT label, sample_idx,
         {_h(f"'{SMOTE_SEED}'", 'CAST(label AS VARCHAR)', 'CAST(sample_idx AS VARCHAR)', "'base'")} % n + 1 AS base_rank,
         CASE WHEN n > 1 THEN {_h(f"'{SMOTE_SEED}'", 'CAST(label AS VARCHAR)', 'CAST(sample_idx AS VARCHAR)', "'nbr'")}
              % least({K}, n - 1) + 1 END AS nbr_rank,
-        {_h(f"'{SMOTE_SEED}'", 'CAST(label AS VARCHAR)', 'CAST(sample_idx AS VARCHAR)', "'gap'")} / 4294967296.0 AS u
+        {_h(f"'{SMOTE_SEED}'", 'CAST(label AS VARCHAR)', 'CAST(sample_idx AS VARCHAR)', "'gap'", digits=13)} / CAST(4503599627370496 AS DOUBLE) AS u
       FROM s),
 members AS (SELECT id, label, features,
               row_number() OVER (PARTITION BY label ORDER BY md5('{SMOTE_SEED}|' || CAST(id AS VARCHAR)), id) AS base_rank

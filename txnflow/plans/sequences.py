@@ -45,15 +45,22 @@ WHERE label <> 0
 SEQ = FEATURES + ["sess0", "sessioned", "scaled", "tmax"]
 
 
-def sessioned(spark, sf_dir):
-    # The sessions operator reads its input in two branches (rows, chunk carry);
-    # materialise the feature rows once so the extraction runs a single time.
-    return gap_sessions(cut_lineage(features(spark, sf_dir)))
+KEYS = ["actor_id", "action_epoch", *TIES]
 
 
-def scaled(spark, sf_dir):
-    # Fitted once, then read by the scaler fit, the max-length scalar and the main plan.
-    return standardize_all(cut_lineage(sessioned(spark, sf_dir)), ["twd_amt", "time_diff"])
+def sessioned(spark, sf_dir, columns=()):
+    """Sessions with the ordering columns and ``columns``.
+
+    The sessions operator reads its input in two branches (rows, chunk carry); those columns, and no others,
+    are materialised once so that the extraction runs a single time.
+    """
+    rows = features(spark, sf_dir)
+    return gap_sessions(cut_lineage(rows.select([c for c in rows.columns if c in {*KEYS, *columns}])))
+
+
+def scaled(spark, sf_dir, columns=()):
+    # Read by the scaler fit, the max-length scalar and the main plan.
+    return standardize_all(cut_lineage(sessioned(spark, sf_dir, columns)), ["twd_amt", "time_diff"])
 
 
 @register("gap_sessions", bench=True, sql=with_ctes(SEQ[:-2], """
@@ -83,7 +90,7 @@ def q_scale_amount(spark, sf_dir):
 SELECT actor_id, label, count(*) AS steps, (SELECT t FROM tmax) AS max_timestep
 FROM features GROUP BY actor_id, label"""))
 def q_sequence_lengths(spark, sf_dir):
-    df = cut_lineage(features(spark, sf_dir))   # read by the max-length scalar and the output
+    df = cut_lineage(features(spark, sf_dir).select("actor_id", "label"))   # read by the max-length scalar and the output
     T = max_timestep(df)
     return steps_per_actor(df).withColumn("max_timestep", F.lit(T).cast("long"))
 
@@ -101,6 +108,6 @@ CROSS JOIN (SELECT unnest(range(0, (SELECT t FROM tmax))) AS step) s
 LEFT JOIN kept k ON k.actor_id = a.actor_id AND (SELECT t FROM tmax) - k.rfe = s.step
 """.replace("\n, actors", ",\nactors")))
 def q_padded_sequences(spark, sf_dir):
-    df = scaled(spark, sf_dir)
+    df = scaled(spark, sf_dir, NON_PCA_FEATURES)
     rows = pad_long(df, max_timestep(df), NON_PCA_FEATURES)
     return rows.select("actor_id", "label", "step", *[F.round(f"`{f}`", 6).alias(f) for f in NON_PCA_FEATURES])

@@ -14,7 +14,7 @@ CTE["journey_event"] = """
 SELECT CAST(e.user_id AS VARCHAR) AS actor_id,
   CASE e.event_type WHEN 'click' THEN 'mybank_transaction' WHEN 'view' THEN 'myatm_transaction'
        WHEN 'purchase' THEN 'atm_transaction' WHEN 'signup' THEN 'browse' ELSE e.event_type END AS event,
-  strftime(e.ts, '%Y%m') AS yyyymm,
+  CAST(yearweek(e.ts) AS VARCHAR) AS yyyymm,
   CASE WHEN e.event_id % 5 = 0 THEN 'others' ELSE 'self' END AS action_sponsor,
   CAST(floor(epoch(e.ts)) AS BIGINT) AS action_time,
   CASE WHEN e.event_id % 11 = 0 THEN NULL ELSE p.p_type END AS action_type,
@@ -30,8 +30,7 @@ SELECT CAST(e.user_id AS VARCHAR) AS actor_id,
                           'target_bank_code', CASE WHEN e.k < 40 THEN '013' WHEN e.k >= 90 THEN NULL ELSE '812' END)
   ) AS VARCHAR) AS attrs
 FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events) e
-LEFT JOIN (SELECT p_partkey, p_type, p_name, p_brand FROM part WHERE p_partkey BETWEEN 0 AND 99) p
-  ON p.p_partkey = e.k
+LEFT JOIN part p ON p.p_partkey = e.k
 """
 
 CTE["journey"] = """
@@ -44,7 +43,7 @@ SELECT DISTINCT actor_id, event, yyyymm AS behavior_yyyymm, action_sponsor, acti
   json_extract_string(attrs, '$.object.target_bank_code') AS target_bank_code
 FROM journey_event
 WHERE event IN ('atm_transaction', 'myatm_transaction', 'mybank_transaction')
-  AND yyyymm BETWEEN '202401' AND '202401'
+  AND yyyymm BETWEEN '202402' AND '202404'
 """
 
 CTE["accounts"] = """
@@ -52,7 +51,7 @@ SELECT DISTINCT
   CAST(CASE WHEN c_custkey BETWEEN 50 AND 99 THEN c_custkey - 50 ELSE c_custkey END AS VARCHAR) AS customer_id,
   CAST(c_custkey AS VARCHAR) AS acct_nbr,
   CASE WHEN c_mktsegment = 'MACHINERY' THEN 'C' ELSE 'I' END AS customer_class_code,
-  '202402' AS yyyymm,
+  CASE WHEN c_custkey % 20 = 13 THEN '202403' ELSE '202402' END AS yyyymm,
   printf('%d%02d', 2010 + c_custkey % 10, 1 + c_custkey % 12) AS start_ym,
   CAST(CASE WHEN c_custkey % 10 <= 5 THEN 0 WHEN c_custkey % 10 = 6 THEN 1
             WHEN c_custkey % 10 <= 8 THEN 2 ELSE 3 END AS INTEGER) AS label

@@ -7,6 +7,7 @@ Library code never creates a session; tests, ``bench.py`` and
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -114,7 +115,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
-        if not sc.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):          # local-cluster has executors of its own
             raise RuntimeError("set spark.checkpoint.dir to a shared folder (e.g. on HDFS / object storage)")
         configured = tempfile.mkdtemp(prefix="txnflow-ckpt-")
     sc.setCheckpointDir(configured)

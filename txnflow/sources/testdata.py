@@ -11,19 +11,22 @@ the scale factor of its source.
 
 from __future__ import annotations
 
+import datetime
 import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Run parameters for the synthetic data: one observed month and the label month.
-OBSERVATION_PERIOD = ("202401", "202401")
+# Run parameters for the synthetic data.  Its events span one month, so a period here is an ISO week (year and week); the
+# observed period leaves weeks out on both sides, and one account in twenty belongs to another label period.
+OBSERVATION_PERIOD = ("202402", "202404")
 LABEL_PERIOD = "202402"
 JOURNEY_EVENTS = ("atm_transaction", "myatm_transaction", "mybank_transaction")
 
 
-# Fact tables whose rows carry per-row parsing work (JSON, regex, joins).
-FACT_TABLES = ("events", "lineitem", "orders", "documents")
+#: Partitions that scans are redistributed to; None leaves Spark's splits.  ``bench.py`` sets it, because each of its
+#: test files is one unsplittable row group.  A deployment with many files has no use for it.
+input_partitions: int | None = None
 
 
 # Read plans per session: listing files and reading Parquet footers happens once
@@ -36,22 +39,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
     reads = _READS.setdefault(spark, {})
     if path not in reads:
-        df = spark.read.parquet(path)
-        reads[path] = spread_input(df) if name in FACT_TABLES else df
-    return reads[path]
+        reads[path] = spark.read.parquet(path)
+    return reads[path].repartition(input_partitions) if input_partitions else reads[path]
 
 
-def spread_input(df: DataFrame) -> DataFrame:
-    """Split guard: redistribute a source that yields fewer splits than cores.
-
-    A few large unsplittable files (one Parquet row group each) give one scan
-    task, and all per-row work before the first shuffle would run serially.
-    One round-robin redistribution after the scan fixes that.  With many
-    files -- the cluster case -- the scan already has enough splits and this
-    is a no-op.  Filters and column pruning still reach the scan.
-    """
-    target = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+def week_start(period: str) -> datetime.datetime:
+    """The Monday that an ISO week (year and week) begins with."""
+    return datetime.datetime.fromisocalendar(int(period[:4]), int(period[4:]), 1)
 
 
 def _event_name(event_type: Column) -> Column:
@@ -62,21 +56,21 @@ def _event_name(event_type: Column) -> Column:
             .otherwise(event_type))
 
 
-def journey_event(spark: SparkSession, sf_dir: str) -> DataFrame:
+def journey_event(spark: SparkSession, sf_dir: str, period: tuple[str, str] | None = None) -> DataFrame:
     """``events`` (+ ``part`` for wording) -> journey-event rows with JSON attrs.
 
+    ``period`` (first and last ISO week) also bounds ``ts``, which, unlike the derived period, reaches the scan.
+
     Schema: actor_id, event, yyyymm, action_sponsor, action_time (epoch s),
     action_type, object_id, attrs (JSON string with action/channel/object).
     """
     events = table(spark, sf_dir, "events")
-    # props.k ranges over 0..99, so only these 100 part rows can ever match:
-    # a proven size bound, hence an explicit broadcast (no shuffle of events on
-    # a 100-valued key, which would put 1 % of all events in each of 100 tasks).
-    part = (table(spark, sf_dir, "part")
-            .filter(F.col("p_partkey").between(0, 99))
-            .select("p_partkey", "p_type", "p_name", "p_brand"))
+    if period is not None:
+        end = week_start(period[1]) + datetime.timedelta(days=7)
+        events = events.filter((F.col("ts") >= F.lit(week_start(period[0]))) & (F.col("ts") < F.lit(end)))
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_name", "p_brand")
     ev = events.withColumn("k", F.get_json_object("props", "$.k").cast("int"))
-    ev = ev.join(F.broadcast(part), ev["k"] == part["p_partkey"], "left")
+    ev = ev.join(part, ev["k"] == part["p_partkey"], "left")
 
     k, eid, etype = F.col("k"), F.col("event_id"), F.col("event_type")
     twd_amt = (F.floor("value") * 10).cast("double")
@@ -95,7 +89,7 @@ def journey_event(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.select(
         F.col("user_id").cast("string").alias("actor_id"),
         _event_name(etype).alias("event"),
-        F.date_format("ts", "yyyyMM").alias("yyyymm"),
+        F.format_string("%d%02d", F.extract(F.lit("YEAROFWEEK"), "ts"), F.weekofyear("ts")).alias("yyyymm"),
         F.when(eid % 5 == 0, "others").otherwise("self").alias("action_sponsor"),
         F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)").alias("action_time"),
         F.when(eid % 11 == 0, F.lit(None)).otherwise(F.col("p_type")).alias("action_type"),
@@ -117,7 +111,7 @@ def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
         owner.cast("string").alias("customer_id"),
         key.cast("string").alias("acct_nbr"),
         F.when(F.col("c_mktsegment") == "MACHINERY", "C").otherwise("I").alias("customer_class_code"),
-        F.lit(LABEL_PERIOD).alias("yyyymm"),
+        F.when(key % 20 == 13, "202403").otherwise(LABEL_PERIOD).alias("yyyymm"),
         F.format_string("%d%02d", 2010 + key % 10, 1 + key % 12).alias("start_ym"),
         F.when(digit <= 5, 0).when(digit == 6, 1).when(digit <= 8, 2).otherwise(3).cast("int").alias("label"),
     )

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from txnflow.domain import Domain
-from txnflow.functions.json_leaves import json_leaves
+from txnflow.functions.json_leaves import json_leaves, with_parsed
 from txnflow.operators.clean import clean
 from txnflow.operators.features import transaction_features
 from txnflow.operators.journey import JOURNEY_COLUMNS, join_accounts
@@ -41,9 +41,9 @@ def read_journey_stream(spark: SparkSession, path: str, max_files_per_trigger: i
 
 def extract_journey_stream(stream: DataFrame, period: tuple[str, str], events: Iterable[str],
                            watermark: str = "2 days") -> DataFrame:
-    rows = stream.filter(F.col("event").isin(*events) & F.col("yyyymm").between(*period)).select(
+    rows = with_parsed(stream.filter(F.col("event").isin(*events) & F.col("yyyymm").between(*period))).select(
         "actor_id", "event", F.col("yyyymm").alias("behavior_yyyymm"), "action_sponsor", "action_time",
-        "action_type", "object_id", *json_leaves("attrs"),
+        "action_type", "object_id", *json_leaves(),
         F.timestamp_seconds("action_time").alias("event_time"))
     return (rows.withWatermark("event_time", watermark)
                 .dropDuplicatesWithinWatermark(list(JOURNEY_COLUMNS)))
