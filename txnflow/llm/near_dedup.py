@@ -7,11 +7,12 @@
    Members that meet in one batch are linked to a batch leader at once, so a key reaches its task once per
    batch, however many documents have it.
 3. Members are compared with their leader on full sets, in tiles of bounded volume.
-4. A member that is not similar to its leader may still be similar to another member.  Such members are compared
-   with all members of that leader, tile by tile: both sides are cut into blocks of bounded volume and
-   a task holds one pair of blocks, so no group is gathered and no pair becomes a row unless it is a link.
-   Together with step 3 every pair of documents that share a band is decided exactly.
-5. Links are contracted to components.
+4. A member that is not similar to its leader may still be similar to another member.  The links found so far
+   are contracted to components.  Of a leader's members, all but those in their most frequent component are
+   compared with all of them, tile by tile: both sides are cut into blocks of bounded volume and a task holds one pair
+   of blocks, so no group is gathered.  A tile returns a spanning forest of its links, fewer rows than it
+   read.  Every pair of documents that share a band is thus decided exactly or already connected.
+5. All links are contracted to components.
 
 With 45 bands of 5 places a pair at the threshold shares no band with probability (1 - 0.8^5)^45 < 2e-8.
 """
@@ -27,12 +28,12 @@ from pyspark.sql import functions as F
 
 from txnflow.llm import shingles, wordbytes
 from txnflow.llm.tables import written
-from txnflow.llm.unionfind import components
+from txnflow.llm.unionfind import components, spanning
 
 BANDS, ROWS = 45, 5
 PIECE_BYTES = 4 << 20
 HEADS_BATCH = 20_000           # documents whose keys are matched before any is sent
-TILE_SHINGLES = 150_000        # of a block of a tile
+TILE_SHINGLES = 64_000        # of a block of a tile
 LAST = (1 << 63) - 1           # stands for a null id
 
 
@@ -113,7 +114,7 @@ def _similar(x: np.ndarray, others: np.ndarray, owner: np.ndarray, sizes: np.nda
 
 
 def _links(size: int, percent: int):
-    """Rows sorted by tile (leader, x, y) with role, oid, text to (leader, a, b), a < b: links between the roles."""
+    """Rows sorted by tile (leader, x, y) with role, oid, text to (leader, a, b), a < b: a forest of the roles' links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def solve(table: pa.Table) -> pa.RecordBatch:
@@ -131,10 +132,9 @@ def _links(size: int, percent: int):
                 by = np.argsort(mine, kind="stable")
                 owner = np.repeat(np.arange(hi - first), sizes)[by]
                 mine = mine[by]
-                for i in range(lo, first):
-                    hit = oid[first + _similar(elements[bounds[i]:bounds[i + 1]], mine, owner, sizes, percent)]
-                    hit = hit[hit != oid[i]]
-                    found.append((np.full(len(hit), leader[i]), np.minimum(hit, oid[i]), np.maximum(hit, oid[i])))
+                hits = [oid[first + _similar(elements[bounds[i]:bounds[i + 1]], mine, owner, sizes, percent)] for i in range(lo, first)]
+                a, b = spanning(np.repeat(oid[lo:first], [len(h) for h in hits]), np.concatenate(hits))
+                found.append((np.full(len(a), leader[lo]), a, b))
             out = [np.concatenate(c) for c in zip(*found)] if found else [np.empty(0, np.int64)] * 3
             return pa.record_batch([pa.array(c, pa.int64()) for c in out], ["leader", "a", "b"])
 
@@ -190,12 +190,13 @@ def near_links(classes: DataFrame, texts: DataFrame, size: int, percent: int) ->
                            F.lit(1).alias("role"), F.col("member").alias("oid"))
     linked = _solved(asking.union(answering), texts, size, percent, "linked")
 
-    apart = pairs.join(linked.select("leader", F.when(F.col("a") == F.col("leader"), F.col("b")).otherwise(F.col("a")).alias("member")),
-                       ["leader", "member"], "left_anti")
-    apart = written(apart, "apart")
+    near = written(components(linked.select("a", "b")), "near").withColumnRenamed("node", "member")
+    placed = written(pairs.join(near, "member", "left").withColumn("component", F.coalesce("component", "member")), "placed")
+    hub = (placed.groupBy("leader", "component").count().groupBy("leader")
+           .agg(F.max_by("component", F.struct("count", "component")).alias("hub"), F.count("*").alias("parts")).where("parts > 1"))
+    apart = written(placed.join(hub, "leader").where("component != hub").select("leader", "member", "n"), "apart")
     asked = written(apart.groupBy("leader").agg(F.sum("n").alias("asked")).join(volume, "leader")
-                    .select("leader", (F.floor(F.col("asked") / TILE_SHINGLES) + 1).cast("long").alias("xs"), blocks.alias("ys"))
-                    .join(pairs.groupBy("leader").count().where("count > 1").select("leader"), "leader"), "asked")
+                    .select("leader", (F.floor(F.col("asked") / TILE_SHINGLES) + 1).cast("long").alias("xs"), blocks.alias("ys")), "asked")
     asking = (apart.join(asked, "leader")
               .select("leader", _block("member", "xs").alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("ys") - 1)).alias("y"),
                       F.lit(0).alias("role"), F.col("member").alias("oid")))
@@ -203,7 +204,7 @@ def near_links(classes: DataFrame, texts: DataFrame, size: int, percent: int) ->
                  .select("leader", F.explode(F.sequence(F.lit(0).cast("long"), F.col("xs") - 1)).alias("x"),
                          _block("member", "ys").alias("y"), F.lit(1).alias("role"), F.col("member").alias("oid")))
     among = _solved(asking.union(answering), texts, size, percent, "among")
-    return linked.union(among).select("a", "b").where("a < b").distinct()
+    return near.select(F.col("component").alias("a"), F.col("member").alias("b")).union(among.select("a", "b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5,

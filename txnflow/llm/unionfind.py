@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,25 +12,31 @@ from pyspark.sql import functions as F
 from txnflow.llm.tables import written
 
 
+def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Union-find over links: each node but the smallest of its component, with that smallest one first."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        top = x
+        while parent.setdefault(top, top) != top:
+            top = parent[top]
+        while parent[x] != top:
+            parent[x], x = top, parent[x]
+        return top
+
+    for x, y in zip(a.tolist(), b.tolist()):
+        x, y = root(x), root(y)
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+    nodes = [x for x in parent if root(x) != x]
+    return np.array([root(x) for x in nodes], np.int64), np.array(nodes, np.int64)
+
+
 def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Union-find over the links of a batch: each node but the smallest of its component links to that one."""
+    """The links (a, b) of each batch, contracted."""
     for batch in batches:
-        parent: dict[int, int] = {}
-
-        def root(x: int) -> int:
-            top = x
-            while parent.setdefault(top, top) != top:
-                top = parent[top]
-            while parent[x] != top:
-                parent[x], x = top, parent[x]
-            return top
-
-        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            x, y = root(a), root(b)
-            if x != y:
-                parent[max(x, y)] = min(x, y)
-        nodes = [x for x in parent if root(x) != x]
-        yield pa.record_batch([pa.array([root(x) for x in nodes], pa.int64()), pa.array(nodes, pa.int64())], ["a", "b"])
+        yield pa.record_batch([pa.array(x, pa.int64()) for x in spanning(batch.column(0).to_numpy(), batch.column(1).to_numpy())],
+                              ["a", "b"])
 
 
 def _large_star(links: DataFrame) -> DataFrame:
