@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from txnflow.operators import clean, evaluation, journey, preference, profile, sampling, sequences, sessions
 from txnflow.operators.density import kde
 from txnflow.operators.smote import knn_within_class, smote, smote_samples
-from txnflow.operators.text_features import pca_columns
 
 
 def test_join_fanout_unknown_target_and_null_key(spark):
@@ -285,38 +284,56 @@ def test_kde_matches_brute_force(spark):
         assert np.allclose([d for _, d in got], ref, rtol=1e-9, atol=1e-15)
 
 
-def test_pca_matches_numpy(spark):
-    from pyspark.ml.functions import array_to_vector
+def test_level_pca_matches_numpy(spark):
+    from txnflow.operators.text_features import fit_pca, one_hot_vector, project_levels
+    levels = ["p", "q", "r", "s"]
     rng = np.random.default_rng(4)
-    x = rng.poisson(1.0, size=(80, 6)).astype(float)
-    df = spark.createDataFrame([(i, x[i].tolist()) for i in range(80)], "id int, f array<double>")
-    df = df.withColumn("v", array_to_vector("f"))
-    out, ratios = pca_columns(df, "v", 4, 3, "pc_")
-    got = np.array([[r.pc_0, r.pc_1, r.pc_2] for r in out.orderBy("id").collect()])
-    xc = x - x.mean(0)
-    w, vecs = np.linalg.eigh(np.cov(xc, rowvar=False))
-    vecs = vecs[:, np.argsort(w)[::-1]][:, :3]
-    vecs *= np.where(vecs[np.abs(vecs).argmax(0), range(3)] < 0, -1, 1)
-    assert np.allclose(got, xc @ vecs, atol=1e-8)
-    assert len(ratios) == 4
-
-
-def test_token_projection_matches_numpy(spark):
-    from txnflow.operators.text_features import count_vectors, fit_pca, project_tokens, vocabulary
-    rng = np.random.default_rng(5)
-    words = ["aa", "bb", "cc", "dd", "ee", "ff"]
-    docs = [(i, [words[j] for j in rng.integers(0, 6, rng.integers(0, 9))]) for i in range(40)]
-    df = spark.createDataFrame(docs, "doc_id int, terms array<string>")
-    vocab = vocabulary(df, "terms", 0.001, 0.99, vocab_size=5)
-    assert len(vocab) == 5
-    fit = fit_pca(count_vectors(df, "terms", vocab), "counts", 3)
-    out = df.select("doc_id", *project_tokens("terms", vocab, fit, 3, "p")).orderBy("doc_id").collect()
-    x = np.array([[t.count(w) for w in vocab] for _, t in docs], dtype=float)
+    values = [levels[i] for i in rng.choice(4, 80, p=[0.5, 0.3, 0.15, 0.05])]
+    df = spark.createDataFrame(list(enumerate(values)), "id int, level string")
+    fit = fit_pca(df.select(one_hot_vector(F.col("level"), levels).alias("v")), "v", 3)
+    out = df.select("id", *project_levels(F.col("level"), levels, fit, 3, "p")).orderBy("id").collect()
+    x = np.array([[float(v == lv) for lv in levels] for v in values])
     xc = x - x.mean(0)
     w, v = np.linalg.eigh(np.cov(xc, rowvar=False))
     v = v[:, np.argsort(w)[::-1]][:, :3]
     v *= np.where(v[np.abs(v).argmax(0), range(3)] < 0, -1, 1)
     assert np.allclose([[r.p0, r.p1, r.p2] for r in out], xc @ v, atol=1e-8)
+    assert np.allclose(fit.explained_ratio, np.sort(w)[::-1][:3] / w.sum())
+
+
+@pytest.mark.parametrize("weighted,extra", [(False, 40), (True, 40), (False, 3)])
+def test_text_pca_matches_numpy(spark, monkeypatch, weighted, extra):
+    """The whole vocabulary, also when the block is smaller than it and has to be iterated."""
+    from txnflow.operators import text_pca
+    monkeypatch.setattr(text_pca, "EXTRA", extra)
+    rng = np.random.default_rng(5)
+    words = [f"t{i}" for i in range(30)]
+    share = 0.5 ** np.arange(30) + 0.02
+    docs = [(f"d{i}", int(rng.integers(1, 4)) if weighted else 1, [words[j] for j in rng.choice(30, rng.integers(0, 40), p=share / share.sum())])
+            for i in range(60)]
+    df = spark.createDataFrame(docs, "doc string, w int, terms array<string>")
+    counts, n = text_pca.term_counts(df, "doc", "terms", "w", 2, 0.97)
+    fit = text_pca.fit_text_pca(counts, n, 3)
+    out = text_pca.project_documents(df, "doc", counts, fit, 4, "p").collect()
+    x = np.array([[t.count(v) for v in words] for _, w, t in docs for _ in range(w)], dtype=float)
+    df_ = (x > 0).sum(0)
+    x = x[:, (df_ >= 2) & (df_ <= 0.97 * n)]
+    xc = x - x.mean(0)
+    _, s, vt = np.linalg.svd(xc, full_matrices=False)
+    v = vt[:3].T * np.where(vt[range(3), np.abs(vt[:3]).argmax(1)] < 0, -1, 1)
+    want = dict(zip([d for d, w, _ in docs for _ in range(w)], xc @ v))
+    assert n == len(x) and x.shape[1] > 6
+    for r in out:
+        assert np.allclose([r.p0, r.p1, r.p2], want[r.doc], atol=1e-5) and r.p3 == 0.0
+    assert np.allclose(fit.explained_ratio, s[:3] ** 2 / (s ** 2).sum(), atol=1e-9)
+
+
+def test_text_pca_of_nothing(spark):
+    from txnflow.operators import text_pca
+    df = spark.createDataFrame([("a", None), ("b", [])], "doc string, terms array<string>")
+    counts, n = text_pca.term_counts(df, "doc", "terms")
+    fit = text_pca.fit_text_pca(counts, n, 3)
+    assert fit.explained_ratio == () and [r.p0 for r in text_pca.project_documents(df, "doc", counts, fit, 1, "p").collect()] == [0.0, 0.0]
 
 
 def test_best_model_and_classifier(spark):
@@ -358,17 +375,6 @@ def test_scaler_mean_zero_population_std_one(spark):
     assert {r.c_scaled for r in out.collect()} == {0.0}          # constant column: scale 1, values 0
 
 
-def test_vocabulary_cap_warns(spark):
-    import warnings
-    from txnflow.operators.text_features import vocabulary
-    df = spark.createDataFrame([(["aa", "bb", "cc"],), (["aa", "bb"],), (["aa"],)], "terms array<string>")
-    with warnings.catch_warnings(record=True) as caught:
-        warnings.simplefilter("always")
-        assert vocabulary(df, "terms", 0.001, 1.0, vocab_size=2) == ["aa", "bb"]
-        assert vocabulary(df, "terms", 0.001, 1.0, vocab_size=3) == ["aa", "bb", "cc"]
-    assert len([w for w in caught if "capped" in str(w.message)]) == 1
-
-
 def test_knn_high_dimension_matches_brute_force(spark):
     rng = np.random.default_rng(9)
     x = rng.normal(size=(50, 400))

@@ -51,8 +51,8 @@ def actor_profile(df: DataFrame, actor: str = "actor_id", label: str = "label",
         return F.approx_count_distinct(value, 0.01) if approximate_distinct else F.count_distinct(value)
 
     prof = df.groupBy(actor).agg(
-        F.avg(amt).alias("twdAmt_avg"),
-        F.try_divide(F.stddev_pop(amt), F.avg(amt)).alias("twdAmt_cov"),
+        exact_avg(amt).alias("twdAmt_avg"),
+        F.try_divide(F.stddev_pop(amt), exact_avg(amt)).alias("twdAmt_cov"),
         (_count_if(sp == "self") * _count_if(sp == "others")).alias("sponsor_multiply"),
         own_distinct("txn_currency_code").alias("currency_uniqueNum"),
         own_distinct("atm_location").alias("atmLocation_uniqueNum"),
@@ -81,7 +81,7 @@ def exact_avg(x: Column, scale: int = 4) -> Column:
 
 
 def _cv_samp(x: Column, mean: Column | None = None) -> Column:
-    return F.try_divide(F.stddev_samp(x), F.avg(x) if mean is None else mean)
+    return F.try_divide(F.stddev_samp(x), exact_avg(x) if mean is None else mean)
 
 
 def conditional_profile(df: DataFrame, actor: str = "actor_id", label: str = "label") -> DataFrame:
@@ -98,9 +98,9 @@ def conditional_profile(df: DataFrame, actor: str = "actor_id", label: str = "la
         _cv_samp(F.when(zero, gap), exact_avg(F.when(zero, gap))).alias("cov_timeDiff_zeroTrans"),
         exact_avg(F.when(cash, gap)).alias("avg_timeDiff_cashTrans"),
         _cv_samp(F.when(cash, gap), exact_avg(F.when(cash, gap))).alias("cov_timeDiff_cashTrans"),
-        F.avg(amt).alias("avg_twdAmt_allTrans"),
+        exact_avg(amt).alias("avg_twdAmt_allTrans"),
         _cv_samp(amt).alias("cov_twdAmt_allTrans"),
-        F.avg(F.when(cash, amt)).alias("avg_twdAmt_allCashTrans"),
+        exact_avg(F.when(cash, amt)).alias("avg_twdAmt_allCashTrans"),
         _cv_samp(F.when(cash, amt)).alias("cov_twdAmt_allCashTrans"),
         F.avg(F.when(positive, flags.small_amount(amt))).alias("ratio_lessThan1000_allCashTrans"),
         F.avg(F.when(positive, flags.non_round_amount(amt))).alias("ratio_weirdAmt_allCashTrans"),

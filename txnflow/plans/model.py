@@ -12,8 +12,8 @@ from txnflow.operators.sampling import stratified_split
 from txnflow.operators.smote import smote
 from txnflow.operators.scaling import standardize_all
 from txnflow.operators.sequences import build_sequences, flatten, last_steps, max_timestep, pad_sequences
-from txnflow.operators.text_features import (count_vectors, fit_pca, one_hot_vector, project_levels,
-                                             project_tokens, vocabulary)
+from txnflow.operators.text_features import fit_pca, one_hot_vector, project_levels
+from txnflow.operators.text_pca import fit_text_pca, project_documents, term_counts
 from txnflow.functions import flags, text
 from txnflow.plans.features import features
 from txnflow.plans.registry import register
@@ -25,17 +25,18 @@ from txnflow.sources import testdata as td
 
 def full_features(spark, sf_dir, columns=NON_PCA_FEATURES, domain=TESTDATA_DOMAIN):
     """Per-transaction features: ``columns``, PCA projections and scaled columns."""
-    # Many passes follow (vocabulary, two PCA fits, means, scalers): compute the rows once.
-    wanted = [*columns, "cat_action", "location_doc"]
-    df = cut_lineage(sessioned(spark, sf_dir, wanted).withColumn("_terms", text.analyse(F.col("location_doc"))).drop("location_doc"))
-    vocab = vocabulary(df, "_terms", 0.001, 0.99)
-    loc_fit = fit_pca(count_vectors(df, "_terms", vocab, "_loc_counts"), "_loc_counts", 10)
+    # Many passes follow (two PCA fits, means, scalers): compute the rows once.
+    df = cut_lineage(sessioned(spark, sf_dir, [*columns, "cat_action", "location_doc"]))
+    # Each distinct location is one document that stands for all its rows.
+    places = df.groupBy("location_doc").agg(F.count(F.lit(1)).alias("_rows")).withColumn("_terms", text.analyse(F.col("location_doc")))
+    counts, n = term_counts(places, "location_doc", "_terms", "_rows", 0.001, 0.99)
+    loc_fit = fit_text_pca(counts, n, 10)
     levels = [r.label for r in domain.action_rules] + [domain.action_default]
     cat_fit = fit_pca(df.select(one_hot_vector(F.col("cat_action"), levels).alias("_cat_vec")), "_cat_vec", 10)
-    df = df.select("*", *project_tokens("_terms", vocab, loc_fit, 5, "location_token_"),
-                   *project_levels(F.col("cat_action"), levels, cat_fit, 4, "cat_action_"))
+    df = project_documents(df, "location_doc", counts, loc_fit, 5, "location_token_")
+    df = df.select("*", *project_levels(F.col("cat_action"), levels, cat_fit, 4, "cat_action_"))
     df = standardize_all(df, ["twd_amt", "time_diff"])
-    return df.drop("_terms")
+    return df.drop("location_doc")
 
 
 @register("txn_features")

@@ -103,7 +103,7 @@ _COND_SQL = {
                       for n, e in _COND_SQL.items())
           + " FROM sessioned GROUP BY label, actor_id"))
 def q_conditional_profile(spark, sf_dir):
-    prof = conditional_profile(sessioned(spark, sf_dir))
+    prof = conditional_profile(sessioned(spark, sf_dir, ["cash_flow"]))
     return prof.select(*[F.round(c, 6).alias(c) if c in COND_DOUBLES else F.col(c) for c in prof.columns])
 
 
