@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from txnflow.operators.evaluation import (classification_report, confusion_matrix, cross_entropy,
+from txnflow.operators.evaluation import (best_model, classification_report, confusion_matrix, cross_entropy,
                                           macro_scores, with_prediction)
 from txnflow.plans.registry import register
 from txnflow.plans.sql import CTE, with_ctes
@@ -75,3 +75,14 @@ SELECT round(avg(list_max(scores) + ln(list_sum(list_transform(scores, lambda x:
                  - scores[y_true + 1]), 9) AS loss, count(*) AS n FROM pred"""))
 def q_cross_entropy(spark, sf_dir):
     return _round9(cross_entropy(predictions(spark, sf_dir)))
+
+
+@register("best_model", sql="""
+WITH m AS (SELECT CAST(doc_id % 7 AS INTEGER) AS model_id, CAST(sum(quality) AS DOUBLE) / count(quality) AS val_f1 FROM labels GROUP BY 1)
+SELECT model_id, val_f1 FROM m ORDER BY val_f1 DESC, model_id LIMIT 1""")
+def q_best_model(spark, sf_dir):
+    """Of seven models, each scored by the share of good documents among its own, the best."""
+    quality = F.col("quality").cast("long")
+    metrics = td.table(spark, sf_dir, "labels").groupBy((F.col("doc_id") % 7).cast("int").alias("model_id")).agg(
+        (F.sum(quality).cast("double") / F.count(quality)).alias("val_f1"))
+    return best_model(metrics)

@@ -17,7 +17,7 @@ from txnflow.operators.text_pca import fit_text_pca, project_documents, term_cou
 from txnflow.functions import flags, text
 from txnflow.plans.features import features
 from txnflow.plans.registry import register
-from txnflow.plans.sequences import SEQ, sessioned
+from txnflow.plans.sequences import SEQ, scaled, sessioned
 from txnflow.plans.sql import CTE, with_ctes
 from txnflow.session import cut_lineage
 from txnflow.sources import testdata as td
@@ -46,6 +46,22 @@ def q_txn_features(spark, sf_dir):
     return model_columns(full_features(spark, sf_dir, columns))
 
 
+MODEL_TABLE = ["actor_id", "label", "isCrossBank", "isSelfTrans", "isExchangeDeal", "action_time", "action_time_month",
+               "action_time_day", "action_time_hour", "action_time_dayOfWeek", "action_time_isWeekend_1",
+               "action_time_periodOfDay_1", "action_time_periodOfDay_2", "action_time_periodOfDay_3",
+               "event_atm_transaction", "event_myatm_transaction", "cash_flow_-1", "cash_flow_1", "twd_amt", "time_diff", "clust_index"]
+_SCALED = ["twd_amt_scaled", "time_diff_scaled"]
+
+
+@register("model_table", sql=with_ctes(SEQ[:-1], "SELECT " + ", ".join(f'"{c}"' for c in MODEL_TABLE) + ", "
+          + ", ".join(f"round({c}, 6) AS {c}" for c in _SCALED) + " FROM scaled"))
+def q_model_table(spark, sf_dir):
+    """The model feature table but for its PCA projections, which the tests hold against numpy."""
+    columns = set(features(spark, sf_dir).columns) - set(DROPPED_BEFORE_MODEL)
+    return model_columns(scaled(spark, sf_dir, columns)).select(
+        *[F.col(f"`{c}`") for c in MODEL_TABLE], *[F.round(c, 6).alias(c) for c in _SCALED])
+
+
 @register("training_tensor")
 def q_training_tensor(spark, sf_dir):
     """Rows-only: padded T x 22 sequences per actor with their split, flattened for resampling."""

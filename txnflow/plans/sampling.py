@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from txnflow.operators.sampling import class_counts, stratified_split, undersample
 from txnflow.operators.scaling import apply_scaler, fit_scaler
-from txnflow.operators.smote import knn_within_class, smote_samples
+from txnflow.operators.smote import knn_within_class, smote, smote_samples
 from txnflow.plans.features import features
 from txnflow.plans.registry import register
 from txnflow.plans.sql import CTE, FEATURES, with_ctes
@@ -157,3 +157,15 @@ def q_smote_resample(spark, sf_dir):
     rows = s.select("label", "sample_idx", "base_id", "nbr_id", "u",
                     F.posexplode("features").alias("dim", "value"))
     return rows.withColumn("dim", F.col("dim").cast("long")).withColumn("value", F.round("value", 6))
+
+
+@register("smote_all", sql=with_ctes(["emb", "plan", "nbrs", "synth"], """
+SELECT id, CAST(label AS INTEGER) AS label, FALSE AS is_synthetic, unnest(range(len(features))) AS dim, round(unnest(features), 6) AS value
+FROM emb
+UNION ALL
+SELECT NULL, CAST(label AS INTEGER), TRUE, unnest(range(len(features))), round(unnest(features), 6) FROM synth"""))
+def q_smote_all(spark, sf_dir):
+    """The balanced set, originals and synthetic rows."""
+    rows = smote(td.vectors(spark, sf_dir), K, SMOTE_SEED).select(
+        "id", "label", "is_synthetic", F.posexplode("features").alias("dim", "value"))
+    return rows.withColumn("dim", F.col("dim").cast("long")).withColumn("value", F.round("value", 6))
