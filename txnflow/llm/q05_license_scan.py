@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from txnflow.llm.license_scan import Template, scan_licenses
 from txnflow.llm.registry import register
 from txnflow.llm.tables import read
@@ -19,8 +21,51 @@ TEMPLATES = [
     Template("proprietary", "all rights reserved"),
 ]
 
+SQL = r"""
+WITH ts(t, label, words, klo, khi, base) AS (VALUES
+  (1, 'mit', 'under the mit license', 0, 4, TRUE),
+  (2, 'apache-2', 'apache license version 2', 0, 4, TRUE),
+  (3, 'cc-by-nc', 'cc by nc', 0, 3, TRUE),
+  (4, 'gpl', 'licensed under the gnu general public license version 3', 3, 7, FALSE),
+  (5, 'mpl-2', 'subject to the terms of the mozilla public license v 2 0', 6, 9, FALSE),
+  (6, 'bsd', 'redistribution and use in source and binary forms with or without modification are permitted', 0, 8, FALSE),
+  (7, 'cc-by-sa', 'licensed under cc by sa', 2, 5, FALSE),
+  (8, 'unlicense', 'free and unencumbered software released into the public domain', 2, 4, FALSE),
+  (9, 'proprietary', 'all rights reserved', 0, 3, FALSE)),
+d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+tw AS (
+  SELECT t, label, base, klo, khi, unnest(range(len(string_split(words, ' ')))) AS i, unnest(string_split(words, ' ')) AS w FROM ts),
+dw AS (
+  SELECT doc_id, p, w FROM (SELECT doc_id, unnest(range(len(ws))) AS p, unnest(ws) AS w FROM d)
+  WHERE w IN (SELECT w FROM tw)),
+weight AS (
+  SELECT v.w, ln((1 + (SELECT count(*) FROM documents)) / CAST(1 + count(DISTINCT doc_id) AS DOUBLE)) + 1 AS x
+  FROM (SELECT DISTINCT w FROM tw) v LEFT JOIN dw ON v.w = dw.w GROUP BY v.w),
+anchor AS (
+  SELECT t, tw.w, i FROM tw JOIN weight ON tw.w = weight.w WHERE i >= klo AND i < khi
+  QUALIFY row_number() OVER (PARTITION BY t ORDER BY x DESC, i) = 1),
+start AS (SELECT doc_id, t, p - i AS s FROM dw JOIN anchor ON dw.w = anchor.w),
+found AS (
+  SELECT start.doc_id, start.t, start.s, any_value(label) AS label, any_value(base) AS base, any_value(klo) AS klo,
+    count(*) FILTER (WHERE i >= klo AND i < khi) = any_value(khi - klo) AS key,
+    CASE WHEN count(*) = (SELECT count(*) FROM tw a WHERE a.t = start.t) THEN 1.0
+         ELSE least(1.0, sum(x) / (SELECT sum(x) FROM tw a JOIN weight ON a.w = weight.w WHERE a.t = start.t)) END AS share
+  FROM start JOIN tw ON start.t = tw.t JOIN dw ON dw.doc_id = start.doc_id AND dw.p = start.s + tw.i AND dw.w = tw.w
+  JOIN weight ON tw.w = weight.w GROUP BY start.doc_id, start.t, start.s),
+doc AS (
+  SELECT doc_id, count(*) FILTER (WHERE key AND base) AS n_base, min(s + klo) FILTER (WHERE key AND base) AS first_word,
+    max(s + klo) FILTER (WHERE key AND base) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE key AND base) AS base_labels,
+    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE key) AS labels, max(share) AS score FROM found GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, first_word, last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, round(CAST(coalesce(score, 0) AS DOUBLE), 9) AS score
+FROM d LEFT JOIN doc USING (doc_id)
+"""
+
 
-@register("op5_license_scan")
+@register("op5_license_scan", SQL)
 def op5(spark, sf_dir):
-    """Per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
-    return scan_licenses(read(spark, sf_dir, "documents").select("doc_id", "text"), TEMPLATES).drop("text")
+    """Per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score (to nine digits)."""
+    found = scan_licenses(read(spark, sf_dir, "documents").select("doc_id", "text"), TEMPLATES)
+    return found.drop("text").withColumn("score", F.round("score", 9))
