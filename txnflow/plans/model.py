@@ -104,7 +104,7 @@ def q_train_score(spark, sf_dir):
     """Rows-only: logistic regression on embedding vectors (3 classes), best of 3, test rows scored."""
     v = td.vectors(spark, sf_dir).withColumn("label", (F.col("label") % 3).cast("int"))
     split = stratified_split(v.select("id", "label"), key="id")
-    data = v.join(split.select("id", "split"), "id")
+    data = cut_lineage(v.join(split.select("id", "split"), "id"))     # read by three fits and the scoring
     model, _ = train_best(data.filter(F.col("split") == "train"), data.filter(F.col("split") == "val"))
     scored = score(model, data.filter(F.col("split") == "test"))
     return scored.select("id", F.col("label").alias("y_true"), "y_pred", "scores")

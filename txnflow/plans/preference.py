@@ -56,7 +56,7 @@ FROM ranked WHERE train_output_rk = 1 AND customer_id IN (SELECT customer_id FRO
 
 
 def consumption(spark, sf_dir):
-    return td.consumption(spark, sf_dir)
+    return td.consumption(spark, sf_dir, (min(FOCUS_WEEKS[0], PROFILE_WEEKS[0]), max(FOCUS_WEEKS[1], PROFILE_WEEKS[1])))
 
 
 @register("focus_customers", sql=with_ctes(["consumption", "focus"], "SELECT * FROM focus"))

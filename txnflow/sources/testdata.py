@@ -43,6 +43,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return reads[path].repartition(input_partitions) if input_partitions else reads[path]
 
 
+def _instant(moment: datetime.datetime) -> Column:
+    """A literal without a time zone, as the tables' own times: the same instant whatever the session's zone."""
+    return F.lit(moment.isoformat(sep=" ")).cast("timestamp_ntz")
+
+
 def week_start(period: str) -> datetime.datetime:
     """The Monday that an ISO week (year and week) begins with."""
     return datetime.datetime.fromisocalendar(int(period[:4]), int(period[4:]), 1)
@@ -67,7 +72,7 @@ def journey_event(spark: SparkSession, sf_dir: str, period: tuple[str, str] | No
     events = table(spark, sf_dir, "events")
     if period is not None:
         end = week_start(period[1]) + datetime.timedelta(days=7)
-        events = events.filter((F.col("ts") >= F.lit(week_start(period[0]))) & (F.col("ts") < F.lit(end)))
+        events = events.filter((F.col("ts") >= _instant(week_start(period[0]))) & (F.col("ts") < _instant(end)))
     part = table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_name", "p_brand")
     ev = events.withColumn("k", F.get_json_object("props", "$.k").cast("int"))
     ev = ev.join(part, ev["k"] == part["p_partkey"], "left")
@@ -117,11 +122,20 @@ def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def consumption(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """lineitem x orders x part x supplier x nation -> consumption rows."""
+FIRST_DAY = datetime.datetime(1995, 1, 1)          # of week 0 of the consumption table
+
+
+def consumption(spark: SparkSession, sf_dir: str, weeks: tuple[int, int] | None = None) -> DataFrame:
+    """lineitem x orders x part x supplier x nation -> consumption rows.
+
+    ``weeks`` (first and last) also bounds the order date, which, unlike the derived week, reaches the scan.
+    """
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey",
                                                   "l_extendedprice", "l_linestatus")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    if weeks is not None:
+        since, until = (FIRST_DAY + datetime.timedelta(weeks=w) for w in (weeks[0], weeks[1] + 1))
+        orders = orders.filter((F.col("o_orderdate") >= _instant(since)) & (F.col("o_orderdate") < _instant(until)))
     part = table(spark, sf_dir, "part").select("p_partkey", "p_type")
     supp = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
@@ -132,7 +146,7 @@ def consumption(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.to_date("o_orderdate")
     return df.select(
         F.col("o_custkey").cast("string").alias("customer_id"),
-        F.floor(F.datediff(day, F.lit("1995-01-01").cast("date")) / 7).cast("int").alias("week"),
+        F.floor(F.datediff(day, F.lit(FIRST_DAY.date())) / 7).cast("int").alias("week"),
         F.dayofweek(day).alias("dayofweek"),
         F.col("p_type").alias("consumption_category_desc"),
         F.when(F.col("n_nationkey") == 0, F.lit(None)).otherwise(F.col("n_name")).alias("loc_type_town"),
