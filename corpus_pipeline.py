@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from txnflow.llm import bpe, decontamination, near_dedup, quality, substring_dedup
+from txnflow.llm.registry import prepare
 from txnflow.llm.tables import read, written
-from txnflow.session import ship_package
 
 QUALITY_THRESHOLD = 0.3
 SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
@@ -26,7 +26,7 @@ VOCABULARY = "word_bpe_49k.json"
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learn quality from all labelled documents and keep those with a score of at least the threshold."""
-    ship_package(spark)
+    prepare(spark)
     weights = quality.learn(docs, read(spark, sf_dir, "labels"), F.lit(True))
     scored = quality.score_quality(docs.withColumnRenamed("score", "__score"), weights)
     return scored.where(F.col("score") >= QUALITY_THRESHOLD).drop("score").withColumnRenamed("__score", "score").select(*docs.columns)
@@ -34,13 +34,13 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the smallest id of each near-duplicate group."""
-    ship_package(spark)
+    prepare(spark)
     return near_dedup.drop_near_duplicates(docs, shingle=SHINGLE_WORDS, percent=SIMILAR_PERCENT)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut passages that also stand earlier; a text without any stays as it is, one of nothing else goes."""
-    ship_package(spark)
+    prepare(spark)
     own = {c: f"__{c}" if c in ("n_words", "n_removed", "kept_text") else c for c in docs.columns}
     cut = substring_dedup.dedup_substrings(docs.withColumnsRenamed(own), window=REPEATED_WORDS)
     new = {"text": F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))}
@@ -52,13 +52,13 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a window of a benchmark item."""
-    ship_package(spark)
+    prepare(spark)
     return decontamination.drop_contaminated(docs, read(spark, sf_dir, "benchmark"), window=BENCHMARK_WORDS)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, token_ids and the ids decoded again."""
-    ship_package(spark)
+    prepare(spark)
     encoded = bpe.encode_documents(docs, public_tokenizers.path(VOCABULARY))
     return encoded.select("doc_id", "lang", "source", "n_tokens", "token_ids", "decoded")
 

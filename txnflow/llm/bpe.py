@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from txnflow.llm.wordbytes import pieces
 
 PIECE_BYTES = 4 << 20
-CACHED_WORDS = 700_000
+CACHED_WORDS = 200_000           # about 70 MB of a Python worker
 
 
 @functools.cache
