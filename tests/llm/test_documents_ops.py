@@ -300,6 +300,31 @@ def test_near_duplicates_in_large_groups(spark, monkeypatch):
     assert {r.doc_id for r in kept} == {w[0] for w in want if w[3]} and len(kept) == len({w[2] for w in want})
 
 
+def test_near_duplicates_when_scans_are_packed_anew(spark, monkeypatch):
+    """Cores come or go between two jobs: the same files are one scan partition first, one each later."""
+    rows = [(i, " ".join(f"w{i % 5}x{j}" for j in range(60)) + f" end{i}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    real, conf = near_dedup.written, {"spark.sql.files.minPartitionNum": "1", "spark.sql.files.maxPartitionBytes": "1g",
+                                      "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+
+    def written(df, name):
+        out = real(df, name)
+        if name == "leaders":
+            spark.conf.set("spark.sql.files.minPartitionNum", "1000")
+        return out
+
+    monkeypatch.setattr(near_dedup, "written", written)
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = near_dedup.near_duplicates(docs).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    same_rows(got, near_groups(rows, 5))
+
+
 def test_near_duplicates_of_nothing(no_docs):
     assert near_dedup.near_duplicates(no_docs).collect() == []
     assert near_dedup.drop_near_duplicates(no_docs).collect() == []

@@ -53,8 +53,8 @@ def _signatures(size: int):
     return run
 
 
-def _batch_leaders(batches: Iterator[pa.RecordBatch], members: bool) -> Iterator[pa.RecordBatch]:
-    """Documents (rep, bands) to (key, head, count) of each key, or to (key, head, member) of the rest."""
+def _batch_heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents (rep, bands) to (key, head, member, count): the head's own row has the count of its key, the others 0."""
     held: list[pa.RecordBatch] = []
 
     def solve() -> pa.RecordBatch:
@@ -66,10 +66,11 @@ def _batch_leaders(batches: Iterator[pa.RecordBatch], members: bool) -> Iterator
         new = np.concatenate([[True], keys[1:] != keys[:-1]])
         begin = np.flatnonzero(new)
         size = np.diff(np.append(begin, len(keys)))
-        if members:
-            head = np.repeat(owner[begin], size)
-            return pa.record_batch([keys[~new], head[~new], owner[~new]], ["key", "head", "member"])
-        return pa.record_batch([keys[begin], owner[begin], size], ["key", "head", "count"])
+        count = np.zeros(len(keys), np.int64)
+        count[begin] = size
+        head = np.repeat(owner[begin], size)
+        by = np.argsort(owner, kind="stable")       # a document's rows together are stored in little room
+        return pa.record_batch([keys[by], head[by], owner[by], count[by]], ["key", "head", "member", "count"])
 
     for batch in batches:
         if batch.num_rows:
@@ -81,14 +82,6 @@ def _batch_leaders(batches: Iterator[pa.RecordBatch], members: bool) -> Iterator
         yield solve()
 
 
-def _heads(batches):
-    return _batch_leaders(batches, False)
-
-
-def _members(batches):
-    return _batch_leaders(batches, True)
-
-
 def _key_leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """All heads of a partition's keys to (key, head, leader), for keys of two documents or more."""
     held = [b for b in batches if b.num_rows]
@@ -171,10 +164,12 @@ def _block(of: str, blocks: str):
 
 def near_links(classes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """``classes`` (rep, n, bands) and ``texts`` (oid, text) to links (a, b) between representatives."""
-    reps = classes.where("n > 0").select("rep", "bands")
-    leaders = written(reps.mapInArrow(_heads, "key long, head long, count long")
+    # Heads and members come from one pass: another scan may pack other rows into a batch and so have other heads.
+    heads = written(classes.where("n > 0").select("rep", "bands")
+                    .mapInArrow(_batch_heads, "key long, head long, member long, count long"), "heads")
+    leaders = written(heads.where("count > 0").select("key", "head", "count")
                       .repartition("key").mapInArrow(_key_leaders, "key long, head long, leader long"), "leaders")
-    rest = reps.mapInArrow(_members, "key long, head long, member long").join(leaders, ["key", "head"])
+    rest = heads.where("count = 0").select("key", "head", "member").join(leaders, ["key", "head"])
     pairs = (leaders.select("leader", F.col("head").alias("member")).union(rest.select("leader", "member"))
              .where("leader != member").distinct().join(classes.select(F.col("rep").alias("member"), "n"), "member"))
     pairs = written(pairs, "pairs")
