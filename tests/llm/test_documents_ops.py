@@ -325,6 +325,19 @@ def test_near_duplicates_when_scans_are_packed_anew(spark, monkeypatch):
     same_rows(got, near_groups(rows, 5))
 
 
+def test_near_duplicates_tell_texts_of_one_id_apart(spark):
+    """A near copy among rows of a null or repeated id takes none of the unrelated rows of that id with it."""
+    text = lambda name: " ".join(f"{name}{j}" for j in range(60))
+    rows = [(5, text("a")), (None, text("a") + " end"), (None, text("b")), (None, text("c")), (None, text("c")),
+            (3, text("d")), (7, text("d") + " end"), (7, text("e")), (8, text("e") + " end"), (7, text("f")), (7, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = near_groups(rows, 5)
+    same_rows(near_dedup.near_duplicates(docs).collect(), want)
+    kept = [r for r, w in zip(rows, want) if w[3]]
+    assert (None, text("b")) in kept and (7, text("d") + " end") not in kept and (7, text("e")) in kept
+    same_rows(near_dedup.drop_near_duplicates(docs).collect(), kept)
+
+
 def test_near_duplicates_of_nothing(no_docs):
     assert near_dedup.near_duplicates(no_docs).collect() == []
     assert near_dedup.drop_near_duplicates(no_docs).collect() == []

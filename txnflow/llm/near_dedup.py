@@ -1,8 +1,9 @@
 """Near-duplicate groups: SuperMinHash signatures, banding, verification on full sets, union-find.
 
-1. Every document's shingle set gets a SuperMinHash signature.  Documents with equal sets form one class; from
-   here on the class's smallest id stands for it, so thousands of exact copies cost as much as one.
-2. The signature's bands are keys.  Documents that share a key are candidates.  The smallest id under a key
+1. Every document's shingle set gets a SuperMinHash signature.  Documents with equal sets form one class, a node
+   with a number of its own; from here on it stands for them, so thousands of exact copies cost as much as one,
+   and different texts of one id are different nodes.
+2. The signature's bands are keys.  Nodes that share a key are candidates.  The smallest node under a key
    leads it, and only (leader, member) pairs are made: a key with n members gives n - 1 rows, not n squared.
    Members that meet in one batch are linked to a batch leader at once, so a key reaches its task once per
    batch, however many documents have it.
@@ -12,7 +13,7 @@
    compared with all of them, tile by tile: both sides are cut into blocks of bounded volume and a task holds one pair
    of blocks, so no group is gathered.  A tile returns a spanning forest of its links, fewer rows than it
    read.  Every pair of documents that share a band is thus decided exactly or already connected.
-5. All links are contracted to components.
+5. All links are contracted to components; a component is named by the smallest id of its documents.
 
 With 45 bands of 5 places a pair at the threshold shares no band with probability (1 - 0.8^5)^45 < 2e-8.
 """
@@ -48,19 +49,19 @@ def _signatures(size: int):
             full = n > 0
             offsets = np.concatenate([[0], np.cumsum(full * BANDS)]).astype(np.int32)
             yield pa.record_batch([piece.column(0), pa.array(n), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)),
-                                   pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[full].ravel()))],
-                                  ["oid", "n", "d1", "d2", "bands"])
+                                   pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[full].ravel())), piece.column(2)],
+                                  ["oid", "n", "d1", "d2", "bands", "tkey"])
     return run
 
 
 def _batch_heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents (rep, bands) to (key, head, member, count): the head's own row has the count of its key, the others 0."""
+    """Nodes (node, bands) to (key, head, member, count): the head's own row has the count of its key, the others 0."""
     held: list[pa.RecordBatch] = []
 
     def solve() -> pa.RecordBatch:
-        rep = np.concatenate([b.column(0).to_numpy() for b in held])
+        node = np.concatenate([b.column(0).to_numpy() for b in held])
         keys = np.concatenate([b.column(1).flatten().to_numpy() for b in held])
-        owner = np.repeat(rep, BANDS)
+        owner = np.repeat(node, BANDS)
         by = np.lexsort((owner, keys))
         keys, owner = keys[by], owner[by]
         new = np.concatenate([[True], keys[1:] != keys[:-1]])
@@ -69,7 +70,7 @@ def _batch_heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = np.zeros(len(keys), np.int64)
         count[begin] = size
         head = np.repeat(owner[begin], size)
-        by = np.argsort(owner, kind="stable")       # a document's rows together are stored in little room
+        by = np.argsort(owner, kind="stable")       # a node's rows together are stored in little room
         return pa.record_batch([keys[by], head[by], owner[by], count[by]], ["key", "head", "member", "count"])
 
     for batch in batches:
@@ -107,16 +108,16 @@ def _similar(x: np.ndarray, others: np.ndarray, owner: np.ndarray, sizes: np.nda
 
 
 def _links(size: int, percent: int):
-    """Rows sorted by tile (leader, x, y) with role, oid, text to (leader, a, b), a < b: a forest of the roles' links."""
+    """Rows sorted by tile (leader, x, y) with role, node, text to (leader, a, b), a < b: a forest of the roles' links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def solve(table: pa.Table) -> pa.RecordBatch:
             words = wordbytes.scan(table["text"], wordbytes.FOLDED)
             elements, bounds = shingles.shingle_sets(words, size)
-            leader, x, y, role, oid = (table[c].to_numpy() for c in ("leader", "x", "y", "role", "oid"))
+            leader, x, y, role, node = (table[c].to_numpy() for c in ("leader", "x", "y", "role", "node"))
             cut = np.flatnonzero((np.diff(leader) != 0) | (np.diff(x) != 0) | (np.diff(y) != 0)) + 1
             found = []
-            for lo, hi in zip(np.concatenate([[0], cut]).tolist(), np.concatenate([cut, [len(oid)]]).tolist()):
+            for lo, hi in zip(np.concatenate([[0], cut]).tolist(), np.concatenate([cut, [len(node)]]).tolist()):
                 first = lo + int(np.searchsorted(role[lo:hi], 1))        # role 0 asks, role 1 answers
                 if lo == first or first == hi:
                     continue
@@ -125,8 +126,8 @@ def _links(size: int, percent: int):
                 by = np.argsort(mine, kind="stable")
                 owner = np.repeat(np.arange(hi - first), sizes)[by]
                 mine = mine[by]
-                hits = [oid[first + _similar(elements[bounds[i]:bounds[i + 1]], mine, owner, sizes, percent)] for i in range(lo, first)]
-                a, b = spanning(np.repeat(oid[lo:first], [len(h) for h in hits]), np.concatenate(hits))
+                hits = [node[first + _similar(elements[bounds[i]:bounds[i + 1]], mine, owner, sizes, percent)] for i in range(lo, first)]
+                a, b = spanning(np.repeat(node[lo:first], [len(h) for h in hits]), np.concatenate(hits))
                 found.append((np.full(len(a), leader[lo]), a, b))
             out = [np.concatenate(c) for c in zip(*found)] if found else [np.empty(0, np.int64)] * 3
             return pa.record_batch([pa.array(c, pa.int64()) for c in out], ["leader", "a", "b"])
@@ -152,9 +153,9 @@ def _links(size: int, percent: int):
 
 
 def _solved(tiles: DataFrame, texts: DataFrame, size: int, percent: int, name: str) -> DataFrame:
-    """``tiles``: (leader, x, y, role, oid).  Fetch the texts, bring each tile together and return its links."""
-    rows = (tiles.join(texts, "oid").select("leader", "x", "y", "role", "oid", "text")
-            .repartition("leader", "x", "y").sortWithinPartitions("leader", "x", "y", "role", "oid"))
+    """``tiles``: (leader, x, y, role, node).  Fetch the texts, bring each tile together and return its links."""
+    rows = (tiles.join(texts, "node").select("leader", "x", "y", "role", "node", "text")
+            .repartition("leader", "x", "y").sortWithinPartitions("leader", "x", "y", "role", "node"))
     return written(rows.mapInArrow(_links(size, percent), "leader long, a long, b long"), name)
 
 
@@ -163,26 +164,28 @@ def _block(of: str, blocks: str):
 
 
 def near_links(classes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """``classes`` (rep, n, bands) and ``texts`` (oid, text) to links (a, b) between representatives."""
+    """``classes`` (node, n, bands, oid, tkey) and ``texts`` (oid, tkey, text) to links (a, b) between nodes."""
     # Heads and members come from one pass: another scan may pack other rows into a batch and so have other heads.
-    heads = written(classes.where("n > 0").select("rep", "bands")
+    heads = written(classes.where("n > 0").select("node", "bands")
                     .mapInArrow(_batch_heads, "key long, head long, member long, count long"), "heads")
     leaders = written(heads.where("count > 0").select("key", "head", "count")
                       .repartition("key").mapInArrow(_key_leaders, "key long, head long, leader long"), "leaders")
     rest = heads.where("count = 0").select("key", "head", "member").join(leaders, ["key", "head"])
     pairs = (leaders.select("leader", F.col("head").alias("member")).union(rest.select("leader", "member"))
-             .where("leader != member").distinct().join(classes.select(F.col("rep").alias("member"), "n"), "member"))
+             .where("leader != member").distinct().join(classes.select(F.col("node").alias("member"), "n"), "member"))
     pairs = written(pairs, "pairs")
     volume = written(pairs.groupBy("leader").agg(F.sum("n").alias("total")), "volume")
-    nodes = pairs.select(F.col("member").alias("oid")).union(volume.select("leader")).distinct()
-    texts = written(texts.join(nodes, "oid", "left_semi"), "texts")
+    nodes = pairs.select(F.col("member").alias("node")).union(volume.select("leader")).distinct()
+    nodes = written(classes.select("node", "oid", "tkey").join(nodes, "node", "left_semi"), "nodes")
+    # One text a node, also if its row is repeated; copies of a row are combined before the shuffle.
+    texts = written(texts.join(nodes, ["oid", "tkey"]).groupBy("node").agg(F.any_value("text").alias("text")), "texts")
 
     blocks = (F.floor(F.col("total") / TILE_SHINGLES) + 1).cast("long")
     led = pairs.join(volume.withColumn("blocks", blocks).drop("total"), "leader")
     asking = (volume.withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-              .select("leader", F.lit(0).cast("long").alias("x"), "y", F.lit(0).alias("role"), F.col("leader").alias("oid")))
+              .select("leader", F.lit(0).cast("long").alias("x"), "y", F.lit(0).alias("role"), F.col("leader").alias("node")))
     answering = led.select("leader", F.lit(0).cast("long").alias("x"), _block("member", "blocks").alias("y"),
-                           F.lit(1).alias("role"), F.col("member").alias("oid"))
+                           F.lit(1).alias("role"), F.col("member").alias("node"))
     linked = _solved(asking.union(answering), texts, size, percent, "linked")
 
     near = written(components(linked.select("a", "b")), "near").withColumnRenamed("node", "member")
@@ -194,14 +197,39 @@ def near_links(classes: DataFrame, texts: DataFrame, size: int, percent: int) ->
                     .select("leader", (F.floor(F.col("asked") / TILE_SHINGLES) + 1).cast("long").alias("xs"), blocks.alias("ys")), "asked")
     asking = (apart.join(asked, "leader")
               .select("leader", _block("member", "xs").alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("ys") - 1)).alias("y"),
-                      F.lit(0).alias("role"), F.col("member").alias("oid")))
+                      F.lit(0).alias("role"), F.col("member").alias("node")))
     answering = (pairs.join(asked, "leader")
                  .select("leader", F.explode(F.sequence(F.lit(0).cast("long"), F.col("xs") - 1)).alias("x"),
-                         _block("member", "ys").alias("y"), F.lit(1).alias("role"), F.col("member").alias("oid")))
+                         _block("member", "ys").alias("y"), F.lit(1).alias("role"), F.col("member").alias("node")))
     among = _solved(asking.union(answering), texts, size, percent, "among")
     return near.select(F.col("component").alias("a"), F.col("member").alias("b")).union(among.select("a", "b")).distinct()
 
 
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows (oid, text, tkey); (oid, tkey) tells a row's text also among rows that repeat an id."""
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("oid"), F.col(text_col).alias("text"),
+                       F.xxhash64(F.col(text_col)).alias("tkey"))
+
+
+def _judged(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame:
+    """One row (oid, tkey, n, component) per row of ``docs``; component is the smallest oid that can be reached."""
+    texts = _texts(docs, id_col, text_col)
+    signed = written(texts.mapInArrow(_signatures(shingle), "oid long, n long, d1 long, d2 long, bands array<long>, tkey long"),
+                     "signatures")
+    # The numbers are unique and hold, as the table is written once.
+    classes = written(signed.where("n > 0").groupBy("d1", "d2", "n")
+                      .agg(F.min(F.struct("oid", "tkey")).alias("least"), F.any_value("bands").alias("bands"))
+                      .select("d1", "d2", "n", "least.*", "bands", F.monotonically_increasing_id().alias("node")), "classes")
+    found = written(components(near_links(classes, texts, shingle, percent)).withColumnRenamed("component", "root"), "found")
+    inside = written(classes.select("node", "oid").join(found.union(found.select("root", "root").distinct()), "node"), "inside")
+    named = inside.groupBy("root").agg(F.min("oid").alias("component"))
+    named = written(inside.join(named, "root").select("node", "component"), "named")
+    of_class = classes.select("d1", "d2", "n", "node", "oid").join(named, "node", "left") \
+        .select("d1", "d2", "n", F.coalesce("component", "oid").alias("component"))
+    return signed.select("oid", "tkey", "n", "d1", "d2").join(of_class, ["d1", "d2", "n"], "left") \
+        .withColumn("component", F.coalesce("component", "oid"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5,
                     percent: int = 80) -> DataFrame:
     """One row per row of ``docs``: ``id_col`` (long), n_shingles, component_id, kept.
@@ -213,16 +241,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     after all others, its component_id is null if nothing smaller is reached, and then it is kept.  Rows that repeat
     an id are judged by their own texts; equal rows get equal answers.
     """
-    oid = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))
-    texts = docs.select(oid.alias("oid"), F.col(text_col).alias("text"))
-    signed = written(texts.mapInArrow(_signatures(shingle), "oid long, n long, d1 long, d2 long, bands array<long>"), "signatures")
-    classes = written(signed.where("n > 0").groupBy("d1", "d2", "n")
-                      .agg(F.min("oid").alias("rep"), F.any_value("bands").alias("bands")), "classes")
-    found = components(near_links(classes, texts, shingle, percent))
-    of_class = classes.select("d1", "d2", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left") \
-        .select("d1", "d2", F.coalesce("component", "rep").alias("component"))
-    out = signed.select("oid", "n", "d1", "d2").join(of_class, ["d1", "d2"], "left") \
-        .withColumn("component", F.coalesce("component", "oid"))
+    out = _judged(docs, id_col, text_col, shingle, percent)
     back = lambda c: F.when(F.col(c) != LAST, F.col(c))
     return out.select(back("oid").alias(id_col), F.col("n").alias("n_shingles"), back("component").alias("component_id"),
                       (F.col("component") == F.col("oid")).alias("kept"))
@@ -230,7 +249,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5,
                          percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` whose document is the first of its group; of rows that repeat an id, those of kept texts."""
-    kept = near_duplicates(docs, id_col, text_col, shingle, percent).where("kept").select(id_col).distinct()
-    return docs.join(written(kept, "kept").withColumnRenamed(id_col, "__kept"),
-                     F.col(id_col).cast("long").eqNullSafe(F.col("__kept")), "left_semi")
+    """The rows of ``docs`` whose document is the first of its group; rows that repeat an id go or stay by their own texts."""
+    kept = _judged(docs, id_col, text_col, shingle, percent).where("component = oid").select("oid", "tkey").distinct()
+    kept = written(kept.toDF("__oid", "__tkey"), "kept")
+    same = (F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)) == F.col("__oid")) & (F.xxhash64(F.col(text_col)) == F.col("__tkey"))
+    return docs.join(kept, same, "left_semi")
