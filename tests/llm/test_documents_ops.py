@@ -85,6 +85,41 @@ def test_substring_dedup(edge_docs, edge_rows, window):
     assert {"score", "kept", "oid", "spans"} <= set(got.columns)
 
 
+def test_substring_dedup_splits_hot_minimisers(spark, monkeypatch):
+    """A phrase in every document amid different words fills no bucket, and results stay exact."""
+    import random
+    import numpy as np
+    import pyarrow as pa
+    from txnflow.llm import wordbytes
+    rng = random.Random(3)
+    names = wordbytes.scan(pa.array([" ".join(f"c{i}" for i in range(20_000))]), wordbytes.SPACED)
+    at = int(np.argmin(wordbytes.grams(names.hashes(), 3)))
+    phrase = [f"c{at}", f"c{at + 1}", f"c{at + 2}"]
+    own = lambda n: [f"w{rng.randrange(10 ** 6)}" for _ in range(n)]
+    rows = [(i, " ".join(own(25) + phrase + own(25))) for i in range(300)]
+    rows += [(i, " ".join(rows[rng.randrange(300)][1].split()[14:44] + own(3))) for i in (400, 401, 402, 7, None, None)] + rows[9:11]
+    monkeypatch.setattr(substring_dedup, "BUCKET_BYTES", 4000)
+    monkeypatch.setattr(substring_dedup, "HOT_BYTES", 16_000, raising=False)
+    real = substring_dedup.repeated_in_bucket
+
+    def bounded(window):
+        solve = real(window)
+
+        def run(table):
+            import zstandard
+            volume = sum(len(zstandard.decompress(x)) for x in table["packed"].to_pylist() if x is not None)
+            assert volume < 30_000, f"{volume} bytes in a bucket"
+            return solve(table)
+        return run
+
+    monkeypatch.setattr(substring_dedup, "repeated_in_bucket", bounded)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = substring_dedup.dedup_substrings(docs, window=20).select("doc_id", "text", "n_words", "n_removed", "kept_text").collect()
+    want = removed_words(rows, 20)
+    same_rows(got, [(i, t, *w) for (i, t), w in zip(rows, want)])
+    assert sum(w[1] for w in want) >= 150
+
+
 def test_substring_dedup_of_nothing(no_docs):
     assert substring_dedup.dedup_substrings(no_docs).collect() == []
 

@@ -15,7 +15,10 @@ Scale: a super-k-mer that occurs more than once in a map-side piece of text is s
 once, as its later occurrences are known to be repeated without asking anyone; a
 passage that a third of all documents share thus reaches its bucket once per piece, not
 once per document.  Runs are cut at 64 windows, so one long monotonous text makes
-equal strings.  The number of buckets follows the volume of text.
+equal strings.  The number of buckets follows the volume of text.  A phrase that stands in
+many documents amid different words can be the minimiser of a large volume of different
+strings: bucket volumes are counted first, and the windows of an overfull bucket travel
+one by one to sub-buckets by the hash of the whole window, again once per piece.
 """
 
 from __future__ import annotations
@@ -36,11 +39,13 @@ GRAM = 3
 LONGEST_RUN = 64
 PIECE_BYTES = 4 << 20
 BUCKET_BYTES = 16 << 20      # of text; a bucket holds about three times as much
+HOT_BYTES = 64 << 20         # of text; a bucket above this is split by whole windows
 LAST = (1 << 63) - 1         # the order of a null id: after all others
 
 _SUPERS = pa.schema([("bucket", pa.int64()), ("packed", pa.binary()), ("oid", pa.list_(pa.int64())),
-                     ("tkey", pa.list_(pa.int64())), ("lo", pa.list_(pa.int32())), ("hi", pa.list_(pa.int32()))])
-_SUPERS_DDL = "bucket long, packed binary, oid array<long>, tkey array<long>, lo array<int>, hi array<int>"
+                     ("tkey", pa.list_(pa.int64())), ("lo", pa.list_(pa.int32())), ("hi", pa.list_(pa.int32())),
+                     ("volume", pa.int64())])
+_SUPERS_DDL = "bucket long, packed binary, oid array<long>, tkey array<long>, lo array<int>, hi array<int>, volume long"
 _SPANS = pa.schema([("oid", pa.int64()), ("tkey", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())])
 _SPANS_DDL = "oid long, tkey long, lo int, hi int"
 
@@ -55,9 +60,15 @@ def _runs(position: np.ndarray, text: np.ndarray, minimiser: np.ndarray) -> tupl
     return begin, np.diff(np.append(begin, len(position)))
 
 
-def super_kmers(window: int, buckets: int):
-    """Map side: (oid, tkey, text) batches to super-k-mers by bucket, and spans already known to be repeated."""
+def super_kmers(window: int, buckets: int, hot: dict[int, int] | None = None):
+    """Map side: (oid, tkey, text) batches to super-k-mers by bucket, and spans already known to be repeated.
+
+    ``hot``: overfull buckets and the number of sub-buckets that their single windows go to.
+    """
     gram = min(GRAM, window)
+    overfull = np.array(sorted(hot or {}), np.int64)
+    splits = np.array([(hot or {})[b] for b in overfull.tolist()], np.int64)
+    base_of = buckets + np.cumsum(splits) - splits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3)
@@ -75,34 +86,59 @@ def super_kmers(window: int, buckets: int):
                 continue
             begin, count = _runs(position, text_of[position], least[position])
             first, until = position[begin], position[begin] + count + window - 1
+            data = words.data.tobytes()
+
+            def merged(first: np.ndarray, until: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+                """The texts of the word ranges, in order, and which are known to be repeated.
+
+                Rows are in order of id, so the first occurrence is the earliest; another at the same place
+                (two texts of one id) is neither earlier nor later and is sent too.
+                """
+                owner = text_of[first]
+                lo = first - words.first[owner]
+                seen: dict[bytes, int] = {}
+                lines = [data[x:y] for x, y in zip(words.start[first].tolist(), words.end[until - 1].tolist())]
+                leader = np.fromiter((seen.setdefault(s, i) for i, s in enumerate(lines)), np.int64, len(lines))
+                return lines, (ids[owner] > ids[owner[leader]]) | (lo > lo[leader])
+
+            lines, later = merged(first, until)
+            low, high = first[later], until[later]
+            sent = np.flatnonzero(~later)
+            bucket = (wordbytes.mix(least[first[sent]]) % np.uint64(buckets)).astype(np.int64)
+            lines, first, count = [lines[i] for i in sent.tolist()], first[sent], count[sent]
+            over = np.isin(bucket, overfull)
+            if over.any():
+                n = count[over]
+                at = np.repeat(first[over] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                which = np.repeat(np.searchsorted(overfull, bucket[over]), n)
+                single, again = merged(at, at + window)
+                low, high = np.r_[low, at[again]], np.r_[high, at[again] + window]
+                prints = wordbytes.mix(wordbytes.grams(hashes, window)[at[~again]])
+                which = which[~again]
+                part = base_of[which] + (prints % splits[which].astype(np.uint64)).astype(np.int64)
+                lines = [s for s, o in zip(lines, over.tolist()) if not o] + [s for s, o in zip(single, again.tolist()) if not o]
+                first, bucket = np.r_[first[~over], at[~again]], np.r_[bucket[~over], part]
             owner = text_of[first]
             lo = first - words.first[owner]
-            data, a, b = words.data.tobytes(), words.start[first], words.end[until - 1]
-            seen: dict[bytes, int] = {}
-            lines = [data[x:y] for x, y in zip(a.tolist(), b.tolist())]
-            leader = np.fromiter((seen.setdefault(s, i) for i, s in enumerate(lines)), np.int64, len(lines))
-            # Rows are in order of id, so the first occurrence is the earliest; another at the same place
-            # (two texts of one id) is neither earlier nor later and is sent too.
-            later = (ids[owner] > ids[owner[leader]]) | (lo > lo[leader])
-            sent = np.flatnonzero(~later)
             out = []
-            if len(sent):
-                bucket = (wordbytes.mix(least[first[sent]]) % np.uint64(buckets)).astype(np.int64)
-                sent = sent[np.argsort(bucket, kind="stable")]
-                bucket = np.sort(bucket)
+            if len(first):
+                by = np.argsort(bucket, kind="stable")
+                bucket = bucket[by]
                 cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-                for x, y in zip(cut, np.r_[cut[1:], len(sent)]):
-                    part = sent[x:y]
-                    out.append((int(bucket[x]), pack.compress(b"\n".join([lines[i] for i in part]) + b"\n"),
-                                ids[owner[part]], keys[owner[part]], lo[part], None))
-            if later.any():
-                low, high = first[later], until[later]
-                new = np.r_[True, (low[1:] > np.maximum.accumulate(high)[:-1]) | (owner[later][1:] != owner[later][:-1])]
+                for x, y in zip(cut, np.r_[cut[1:], len(by)]):
+                    part = by[x:y]
+                    text = b"\n".join([lines[i] for i in part]) + b"\n"
+                    out.append((int(bucket[x]), pack.compress(text), ids[owner[part]], keys[owner[part]], lo[part], None, len(text)))
+            if len(low):
+                by = np.argsort(low, kind="stable")
+                low, high = low[by], high[by]
+                mine = text_of[low]
+                new = np.r_[True, (low[1:] > np.maximum.accumulate(high)[:-1]) | (mine[1:] != mine[:-1])]
                 x = np.flatnonzero(new)
                 high = np.maximum.reduceat(high, x)
-                mine = owner[later][x]
+                mine = mine[x]
                 base = words.first[mine]
-                out.append((-1 - int(keys[0] % buckets), None, ids[mine], keys[mine], low[x] - base, high - base))
+                out.append((-1 - int(keys[0] % buckets), None, ids[mine], keys[mine], low[x] - base, high - base, 0))
             yield pa.record_batch([pa.array(list(col), type=field.type) for col, field in zip(zip(*out), _SUPERS)],
                                   schema=_SUPERS)
     return run
@@ -207,7 +243,11 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, window: int) ->
                         F.xxhash64(F.col(text_col)).alias("tkey"), F.col(text_col).alias("text"))
     volume = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), volume // BUCKET_BYTES)
-    spans = (texts.mapInArrow(super_kmers(window, buckets), _SUPERS_DDL)
+    # Few come to the driver: an overfull bucket has at least HOT_BYTES of text.
+    full = (texts.mapInArrow(super_kmers(window, buckets), _SUPERS_DDL).groupBy("bucket").agg(F.sum("volume").alias("volume"))
+            .where(F.col("volume") > HOT_BYTES).collect())
+    hot = {r.bucket: r.volume * (window // 2 + 1) // BUCKET_BYTES + 1 for r in full}
+    spans = (texts.mapInArrow(super_kmers(window, buckets, hot), _SUPERS_DDL)
              .groupBy("bucket").applyInArrow(repeated_in_bucket(window), _SPANS_DDL)
              .groupBy("oid", "tkey").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")))
     return written(spans, "spans")
