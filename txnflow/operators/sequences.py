@@ -7,7 +7,8 @@
   rank from the end uses the same (actor, time chunk) prefix scan as the
   sessions, so a hot actor is ranked by many tasks.
 * ``build_sequences``: one row per actor with its steps as a time-ordered
-  ``array<array<double>>`` (time-major, T x F).
+  ``array<array<double>>`` (time-major, T x F), for a ``T`` that bounds them;
+  :mod:`txnflow.operators.step_blocks` has the form for any length.
 * ``pad_sequences``: pre-pad with zero steps to ``T`` (or keep the last ``T``).
 * ``flatten`` / ``unflatten``: T x F <-> one vector of T*F values.
 """
@@ -31,9 +32,9 @@ def max_timestep(df: DataFrame, actor: str = "actor_id", label: str = "label") -
     return int(r[0] or 0)
 
 
-def last_steps(df: DataFrame, n: int, actor: str = "actor_id", time: str = "action_epoch",
+def last_steps(df: DataFrame, n: int, actor: str | Sequence[str] = "actor_id", time: str = "action_epoch",
                tie_breakers: Iterable[str] = DEFAULT_TIE_BREAKERS, chunk_seconds: int = 3600) -> DataFrame:
-    """Rows among the last ``n`` of their actor, with ``rank_from_end`` (1 = latest)."""
+    """Rows among the last ``n`` of their actor (one column or several), with ``rank_from_end`` (1 = latest)."""
     base = with_chunk(df, actor, time, chunk_seconds)
     w = Window.partitionBy("_actor", "_chunk").orderBy(*order_columns(base, time, tie_breakers, descending=True))
     df = base.withColumn("_rn", F.row_number().over(w))

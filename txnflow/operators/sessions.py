@@ -27,7 +27,7 @@ columns, so Spark cannot always share one scan: pass a materialised input
 
 from __future__ import annotations
 
-from typing import Iterable
+from typing import Iterable, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -53,9 +53,13 @@ def order_columns(df: DataFrame, time: str, tie_breakers: Iterable[str], descend
 NO_TIME = -(1 << 62)         # the chunk of rows without a time: before all others
 
 
-def with_chunk(df: DataFrame, actor: str, time: str, chunk_seconds: int) -> DataFrame:
-    """``df`` with ``_actor`` and ``_chunk``, which are never null, so that no row is lost in the join on them."""
-    return (df.withColumn("_actor", F.coalesce(F.col(actor).cast("string"), F.lit("\u0000null")))
+def with_chunk(df: DataFrame, actor: str | Sequence[str], time: str, chunk_seconds: int) -> DataFrame:
+    """``df`` with ``_actor`` and ``_chunk``, which are never null, so that no row is lost in the join on them.
+
+    Several columns of ``actor`` together are one.
+    """
+    names = [F.coalesce(F.col(c).cast("string"), F.lit("\u0000null")) for c in ([actor] if isinstance(actor, str) else actor)]
+    return (df.withColumn("_actor", names[0] if len(names) == 1 else F.concat_ws("\u0001", *names))
               .withColumn("_chunk", F.coalesce(F.floor(F.col(time) / chunk_seconds), F.lit(NO_TIME))))
 
 

@@ -19,6 +19,7 @@ from txnflow.operators.sampling import stratified_split
 from txnflow.operators.sequences import (build_sequences, flatten, last_steps, max_timestep, pad_sequences,
                                          unflatten)
 from txnflow.operators.smote import smote
+from txnflow.operators.step_blocks import step_blocks
 from txnflow.plans.features import features
 from txnflow.plans.model import full_features
 from txnflow.session import materialize, ship_package
@@ -32,9 +33,9 @@ def build_training_set(spark: SparkSession, sf_dir: str, out_dir: str, observ: s
     """Write the feature table, actor labels, sequences and the (over-sampled) tensors.
 
     ``timesteps`` fixes the sequence length T; by default it is the longest
-    sequence among actors with a non-zero label, as in the original.  Each
-    actor's array holds at most T steps (its last T), so T bounds the size of
-    every per-actor group.  Returns the written paths by kind.
+    sequence among actors with a non-zero label, as in the original.  The
+    sequences are written in blocks of steps; a tensor row, the model's input, is
+    one actor's T steps, so give T where a hot actor would set it.  Returns the written paths by kind.
     """
     ship_package(spark)
     name = lambda kind: f"{out_dir.rstrip('/')}/" + io.dataset_name(kind, observ, label_period, try_date,
@@ -50,9 +51,9 @@ def build_training_set(spark: SparkSession, sf_dir: str, out_dir: str, observ: s
     io.write_csv(actor_label, paths["actor_label"])
 
     T = timesteps or max_timestep(feats)
-    seqs = build_sequences(last_steps(feats, T), MODEL_FEATURES)
     paths["sequences"] = name("make_sequence")
-    io.write_json(seqs, paths["sequences"])
+    io.write_json(step_blocks(feats, MODEL_FEATURES, T), paths["sequences"])
+    seqs = build_sequences(last_steps(feats, T), MODEL_FEATURES)
 
     split = stratified_split(actor_label)
     padded = pad_sequences(seqs, T, len(MODEL_FEATURES)).join(split, ["actor_id", "label"])

@@ -12,6 +12,7 @@ from txnflow.operators.sampling import stratified_split
 from txnflow.operators.smote import smote
 from txnflow.operators.scaling import standardize_all
 from txnflow.operators.sequences import build_sequences, flatten, last_steps, max_timestep, pad_sequences
+from txnflow.operators.step_blocks import flatten_block, padded_blocks
 from txnflow.operators.text_features import fit_pca, one_hot_vector, project_levels
 from txnflow.operators.text_pca import fit_text_pca, project_documents, term_counts
 from txnflow.functions import flags, text
@@ -64,13 +65,12 @@ def q_model_table(spark, sf_dir):
 
 @register("training_tensor")
 def q_training_tensor(spark, sf_dir):
-    """Rows-only: padded T x 22 sequences per actor with their split, flattened for resampling."""
+    """Rows-only: padded blocks of 22 features a step with their split, flattened; ``tensor_blocks`` has SQL for 13 of them."""
     df = full_features(spark, sf_dir)
     T = max_timestep(df)
-    seqs = pad_sequences(build_sequences(last_steps(df, T), MODEL_FEATURES), T, len(MODEL_FEATURES))
     split = stratified_split(df.select("actor_id", "label").distinct())
-    return seqs.join(split, ["actor_id", "label"]).select(
-        "actor_id", "label", "split", F.lit(T).alias("timesteps"), flatten("x", "features"))
+    return padded_blocks(df, MODEL_FEATURES, T).join(split, ["actor_id", "label"]).select(
+        "actor_id", "label", "split", "block", F.lit(T).alias("timesteps"), flatten_block().alias("features"))
 
 
 CTE["density_in"] = """

@@ -7,7 +7,9 @@ import uuid
 from pyspark.sql import functions as F
 
 from txnflow.domain import NON_PCA_FEATURES
-from txnflow.operators.sequences import build_sequences, for_actor, last_steps, max_timestep
+from txnflow.operators.sampling import stratified_split
+from txnflow.operators.sequences import for_actor, max_timestep
+from txnflow.operators.step_blocks import flatten_block, padded_blocks, step_blocks, unflatten_block
 from txnflow.plans.extract import joined
 from txnflow.plans.features import features
 from txnflow.plans.registry import register
@@ -43,41 +45,64 @@ def q_actor_label_csv(spark, sf_dir):
     return io.read_csv(spark, path, io.ACTOR_LABEL_SCHEMA)
 
 
+#: Steps of a block in the queries here; small, so that the test tables' sequences have several.
+BLOCK = 16
+
 CTE["seq_rows"] = f"""
-SELECT actor_id, label, row_number() OVER (PARTITION BY actor_id ORDER BY {ORDER_DESC}) AS rfe,
-  row_number() OVER (PARTITION BY actor_id, label ORDER BY {ORDER_ASC}) AS pos,
+SELECT actor_id, label, (SELECT t FROM tmax) - row_number() OVER (PARTITION BY actor_id, label ORDER BY {ORDER_DESC}) AS step,
   [{", ".join(f'round(CAST("{f}" AS DOUBLE), 6)' for f in NON_PCA_FEATURES)}] AS v, clust_index, gap_seconds
 FROM scaled
 """
 
 
-@register("sequences_json", sql=with_ctes(SEQ + ["seq_rows"], """
-SELECT actor_id, label, list(v ORDER BY pos) AS steps FROM seq_rows
-WHERE rfe <= (SELECT t FROM tmax) GROUP BY actor_id, label"""))
+def _rounded(df):
+    return df.select([F.round(F.col(f"`{c}`").cast("double"), 6).alias(c) if c in NON_PCA_FEATURES else F.col(f"`{c}`") for c in df.columns])
+
+
+@register("sequences_json", sql=with_ctes(SEQ + ["seq_rows"], f"""
+SELECT actor_id, label, step // {BLOCK} AS block, min(step) AS first_step, list(v ORDER BY step) AS steps FROM seq_rows
+WHERE step >= 0 GROUP BY actor_id, label, step // {BLOCK}"""))
 def q_sequences_json(spark, sf_dir):
-    """Each actor's last steps as one JSON line and back."""
+    """Each actor's last steps in blocks, a JSON line each, and back."""
     df = scaled(spark, sf_dir, NON_PCA_FEATURES)
-    rounded = df.select([F.round(F.col(f"`{c}`").cast("double"), 6).alias(c) if c in NON_PCA_FEATURES else F.col(f"`{c}`") for c in df.columns])
     path = _path(spark, "make_sequence")
-    io.write_json(build_sequences(last_steps(rounded, max_timestep(df)), NON_PCA_FEATURES), path)
-    return io.read_json(spark, path, io.SEQUENCE_SCHEMA)
+    io.write_json(step_blocks(_rounded(df), NON_PCA_FEATURES, max_timestep(df), BLOCK), path)
+    return io.read_json(spark, path, io.BLOCK_SCHEMA)
 
 
-@register("session_sequences", sql=with_ctes(SEQ + ["seq_rows"], """
-SELECT actor_id, label, list(CAST(clust_index AS DOUBLE) ORDER BY pos) AS sessions,
-  list(CAST(gap_seconds AS DOUBLE) ORDER BY pos) AS gaps
-FROM seq_rows WHERE rfe <= (SELECT t FROM tmax) GROUP BY actor_id, label"""))
+@register("session_sequences", sql=with_ctes(SEQ + ["seq_rows"], f"""
+SELECT actor_id, label, step // {BLOCK} AS block, list(CAST(clust_index AS DOUBLE) ORDER BY step) AS sessions,
+  list(CAST(gap_seconds AS DOUBLE) ORDER BY step) AS gaps
+FROM seq_rows WHERE step >= 0 GROUP BY actor_id, label, step // {BLOCK}"""))
 def q_session_sequences(spark, sf_dir):
-    """Q1: sequences of each step's session index and gap, as Parquet and back."""
+    """Q1: blocks of each step's session index and gap, as Parquet and back."""
     df = scaled(spark, sf_dir)
-    seqs = build_sequences(last_steps(df, max_timestep(df)), ["clust_index", "gap_seconds"])
     path = _path(spark, "session_sequence")
-    io.write_parquet(seqs, path)
+    io.write_parquet(step_blocks(df, ["clust_index", "gap_seconds"], max_timestep(df), BLOCK), path)
     steps = io.read_parquet(spark, path)
-    return steps.select("actor_id", "label", F.transform("steps", lambda s: s[0]).alias("sessions"),
+    return steps.select("actor_id", "label", "block", F.transform("steps", lambda s: s[0]).alias("sessions"),
                         F.transform("steps", lambda s: s[1]).alias("gaps"))
 
 
+@register("tensor_blocks", sql=with_ctes(SEQ + ["seq_rows", "actor_label", "split"], f"""
+SELECT a.actor_id, a.label, a.split, CAST(s.step // {BLOCK} AS BIGINT) AS block,
+  list(coalesce(r.v, list_transform(range({len(NON_PCA_FEATURES)}), lambda i: CAST(0 AS DOUBLE))) ORDER BY s.step) AS steps
+FROM split a
+CROSS JOIN (SELECT unnest(range(0, (SELECT t FROM tmax))) AS step) s
+LEFT JOIN seq_rows r ON r.actor_id = a.actor_id AND r.label = a.label AND r.step = s.step
+GROUP BY a.actor_id, a.label, a.split, s.step // {BLOCK}"""))
+def q_tensor_blocks(spark, sf_dir):
+    """Padded blocks with their split, flattened, written a folder per split, read and unflattened."""
+    df = scaled(spark, sf_dir, NON_PCA_FEATURES)
+    split = stratified_split(df.select("actor_id", "label").distinct())
+    blocks = padded_blocks(_rounded(df), NON_PCA_FEATURES, max_timestep(df), BLOCK).join(split, ["actor_id", "label"])
+    path = _path(spark, "tensors")
+    io.write_parquet(blocks.select("actor_id", "label", "split", "block", flatten_block().alias("x")), path, partition_by=("split",))
+    back = io.read_parquet(spark, path)
+    return back.select("actor_id", "label", F.col("split").cast("string").alias("split"), "block",
+                       unflatten_block("x", len(NON_PCA_FEATURES)).alias("steps"))
+
+
 @register("longest_sequences", sql=with_ctes(SPLIT[:-2], """
 SELECT actor_id, label, count(*) AS steps FROM features GROUP BY actor_id, label
 ORDER BY steps DESC, actor_id, label LIMIT 20"""))

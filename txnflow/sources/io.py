@@ -30,6 +30,7 @@ JOINED_SCHEMA = _schema(("actor_id", S), ("event", S), ("behavior_yyyymm", S), (
 CONSUMPTION_SCHEMA = _schema(("customer_id", S), ("week", I), ("dayofweek", I), ("consumption_category_desc", S),
                              ("loc_type_town", S), ("merchant_name", S), ("merchant_flag", S), ("txn_amt", D))
 ACTOR_LABEL_SCHEMA = _schema(("actor_id", S), ("label", I))
+BLOCK_SCHEMA = _schema(("actor_id", S), ("label", I), ("block", L), ("first_step", L), ("steps", T.ArrayType(T.ArrayType(D))))
 SEQUENCE_SCHEMA = _schema(("actor_id", S), ("label", I), ("steps", T.ArrayType(T.ArrayType(D))))
 
 
@@ -65,7 +66,7 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """One JSON object per line (per actor for sequence tables)."""
+    """One JSON object per line (per block of steps for sequence tables)."""
     df.write.mode(mode).json(path)
 
 
