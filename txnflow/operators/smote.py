@@ -1,11 +1,8 @@
 """SMOTE over-sampling with exact same-class nearest neighbours.
 
-Neighbours (``knn_within_class``) -- exact, and without ever materialising all
-pairs of a class:  each class is cut into blocks of at most ``block_size``
-rows; every (query block, reference block) pair of a class is one cogroup
-task that computes distances with numpy and emits only its local top k per
-query row.  A final per-row ranking merges the (k x #blocks) candidates.
-Only classes that are over-sampled (smaller than the largest) are searched.
+Neighbours come from :mod:`txnflow.operators.knn`: exact, and without
+materialising all pairs of a class.  Only classes that are over-sampled (smaller
+than the largest) are searched.
 
 Synthesis (``smote``) -- every smaller class is raised to the largest class's
 size.  Sample j of class c uses a base member drawn by keyed hash, one of its
@@ -17,13 +14,13 @@ class; the per-class offsets are a handful of numbers held as literals.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from txnflow.operators.knn import class_sizes, knn_within_class
 from txnflow.operators.sampling import exact_rank, keyed_hash
-from txnflow.session import cut_lineage, ship_package
+from txnflow.session import cut_lineage
+
 
 def hash_draw(*parts: Column, digits: int = 15) -> Column:
     """Integer below 16^digits from the first hex digits of md5 over the parts (15 digits: 60 bits)."""
@@ -34,97 +31,9 @@ def hash_draw(*parts: Column, digits: int = 15) -> Column:
 GAP_DIGITS = 13             # 52 bits, all of which a double in [0, 1) holds
 
 
-EPS = float(np.finfo(np.float64).eps)
-BUDGET = 4_000_000          # float64 elements per temporary array in a tile (32 MB)
-
-
-def _local_topk(k: int):
-    """Per tile: the k nearest references of every query row (distance, then id).
-
-    Squared distances come from one matrix product, ``|q|^2 + |r|^2 - 2 q.r``
-    (BLAS).  Its rounding error is bounded by ``(4D + 16) eps (|q|^2 + |r|^2)``,
-    so a reference whose lower bound exceeds the k-th smallest upper bound
-    cannot be among the k nearest.  Only the remaining candidates (usually
-    about k) are recomputed from explicit differences, and the final order uses
-    those exact distances: the result equals a full pairwise computation.
-    """
-    def run(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"id": q["id"].iloc[:0], "nbr_id": q["id"].iloc[:0], "distance": np.array([], np.float64)})
-        if q.empty or r.empty:
-            return empty
-        qx = np.stack(q["features"].to_numpy()).astype(np.float64)
-        rx = np.stack(r["features"].to_numpy()).astype(np.float64)
-        # Ids of any type as their places in sorted order.
-        names, codes = np.unique(np.concatenate([q["id"].to_numpy(), r["id"].to_numpy()]), return_inverse=True)
-        qid, rid = codes[:len(q)], codes[len(q):]
-        dim = qx.shape[1]
-        nq, nr = np.einsum("ij,ij->i", qx, qx), np.einsum("ij,ij->i", rx, rx)
-        take = min(k, len(rid))
-        parts = []
-        step = max(1, BUDGET // max(1, len(rid)))
-        for s in range(0, len(qx), step):
-            c = slice(s, s + step)
-            d2 = nq[c, None] + nr[None, :] - 2.0 * (qx[c] @ rx.T)
-            bound = (4 * dim + 16) * EPS * (nq[c, None] + nr[None, :])
-            own = qid[c, None] == rid[None, :]                          # never its own neighbour
-            hi = np.where(own, np.inf, d2 + bound)
-            lo = np.where(own, np.inf, d2 - bound)
-            kth = np.partition(hi, take - 1, axis=1)[:, take - 1]
-            cand = (lo <= kth[:, None]) & ~own
-            width = max(1, int(cand.sum(axis=1).max()))
-            idx = np.argsort(np.where(cand, lo, np.inf), axis=1, kind="stable")[:, :width]
-            valid = np.take_along_axis(cand, idx, axis=1)
-            sub = max(1, BUDGET // max(1, width * dim))
-            for t in range(0, idx.shape[0], sub):
-                u = slice(t, t + sub)
-                diff = qx[c][u][:, None, :] - rx[idx[u]]
-                dist = np.sqrt(np.einsum("ijk,ijk->ij", diff, diff))
-                dist[~valid[u]] = np.inf
-                nbr = rid[idx[u]]
-                order = np.lexsort((nbr, dist), axis=1)[:, :take]
-                dk = np.take_along_axis(dist, order, axis=1)
-                ok = np.isfinite(dk)
-                ids = np.repeat(qid[c][u], order.shape[1]).reshape(-1, order.shape[1])
-                parts.append(pd.DataFrame({"id": names[ids[ok]], "nbr_id": names[np.take_along_axis(nbr, order, axis=1)[ok]],
-                                           "distance": dk[ok]}))
-        return pd.concat(parts, ignore_index=True) if parts else empty
-    return run
-
-
-def knn_within_class(df: DataFrame, k: int = 5, block_size: int = 16_384, classes: DataFrame | None = None,
-                     key: str = "id", label: str = "label", features: str = "features",
-                     materialize: bool = True) -> DataFrame:
-    """(id, label, nbr_rank 1..k, nbr_id, distance): exact k nearest same-class rows."""
-    ship_package(df.sparkSession)   # the tile function runs in executor Python workers
-    rows = df.select(F.col(key).alias("id"), F.col(label).alias("label"), F.col(features).alias("features"))
-    kind = rows.schema["id"].dataType.simpleString()
-    if classes is not None:
-        # One row per class to search (a handful of labels): a proven bound.
-        rows = rows.join(F.broadcast(classes.select(F.col(label).alias("label"))), "label", "left_semi")
-    if materialize:
-        rows = cut_lineage(rows)  # read by the sizes, both cogroup sides and the label lookup
-    sizes = rows.groupBy("label").agg(F.count(F.lit(1)).alias("_n"))
-    sizes = sizes.withColumn("_blocks", F.greatest(F.lit(1), F.ceil(F.col("_n") / block_size)).cast("int"))
-    # One row per class (few classes): a proven bound.
-    rows = rows.join(F.broadcast(sizes.select("label", "_blocks")), "label")
-    rows = rows.withColumn("_blk", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int"))
-    all_blocks = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
-    queries = rows.select("label", F.col("_blk").alias("qb"), all_blocks.alias("rb"), "id", "features")
-    # Re-aliased so the two cogroup sides carry distinct attributes (a self-cogroup).
-    refs = rows.select(F.col("label").alias("label"), all_blocks.alias("qb"), F.col("_blk").alias("rb"),
-                       F.col("id").alias("id"), F.col("features").alias("features"))
-    cand = (queries.groupBy("label", "qb", "rb")
-            .cogroup(refs.groupBy("label", "qb", "rb"))
-            .applyInPandas(lambda q, r: _local_topk(k)(q, r), f"id {kind}, nbr_id {kind}, distance double"))
-    w = Window.partitionBy("id").orderBy("distance", "nbr_id")
-    ranked = cand.withColumn("nbr_rank", F.row_number().over(w)).filter(F.col("nbr_rank") <= k)
-    labels = rows.select("id", "label")
-    return ranked.join(labels, "id").select("id", "label", "nbr_rank", "nbr_id", "distance")
-
-
 def smote_plan(df: DataFrame, label: str = "label") -> list[tuple[int, int, int, int]]:
     """[(class, members, needed, first sample id)] for classes below the largest."""
-    counts = sorted((r[0], r[1]) for r in df.groupBy(label).count().collect())
+    counts = sorted(class_sizes(df, label).items())
     if not counts:
         return []
     biggest = max(n for _, n in counts)
