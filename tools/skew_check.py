@@ -1,6 +1,6 @@
 """Reproduce the hot-key measurements of docs/PLANS.md.
 
-Runs three skewed fixtures through the library's operator and through the
+Runs skewed fixtures through the library's operator and through the
 plain formulation, with Spark's event log written to a scratch folder, and
 prints each row-level stage's largest task share of shuffle-read records.
 
@@ -20,6 +20,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from pyspark.sql import Window  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
+from txnflow.operators import sessions  # noqa: E402
 from txnflow.operators.journey import join_accounts  # noqa: E402
 from txnflow.operators.sampling import exact_rank, keyed_hash  # noqa: E402
 from txnflow.operators.sessions import gap_sessions  # noqa: E402
@@ -45,6 +46,17 @@ def run_cases(spark):
     w = Window.partitionBy("actor_id").orderBy("action_epoch")
     noop(rows.withColumn("g", F.col("action_epoch") - F.lag("action_epoch").over(w)))
 
+    # Sessions: all rows of the hot actor in one hour; none of them with a time.
+    for case, time in (("burst", F.lit(1704067200) + F.col("id") % 3600), ("timeless", F.lit(None).cast("long"))):
+        packed = rows.withColumn("id", F.monotonically_increasing_id()) \
+            .withColumn("action_epoch", F.when(F.col("actor_id") == "hot", time).otherwise(F.col("action_epoch"))) \
+            .withColumn("event", F.col("id").cast("string")).drop("id")
+        for most in (2_000, 1 << 40):
+            sessions.CHUNK_ROWS = most
+            sc.setJobGroup(f"sessions:{case}, " + ("by count" if most < N else "by hour"), "")
+            noop(gap_sessions(packed))
+    sessions.CHUNK_ROWS = 200_000
+
     # Split ranking: 90 % of the actors have one label.
     actors = spark.range(N).select(F.col("id").cast("string").alias("actor_id"),
                                    F.when(F.col("id") % 10 < 9, 0).otherwise(1).alias("label"))

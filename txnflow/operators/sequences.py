@@ -4,8 +4,8 @@
   longest sequence among actors with a non-zero label (one scalar).
 * ``last_steps``: keep each actor's last ``n`` rows *before* any collect, so an
   array never holds more than ``n`` steps however many rows an actor has.  The
-  rank from the end uses the same (actor, time chunk) prefix scan as the
-  sessions, so a hot actor is ranked by many tasks.
+  rank from the end uses the same prefix scan over chunks of rows as the
+  sessions, so a hot actor, or a burst of one, is ranked by many tasks.
 * ``build_sequences``: one row per actor with its steps as a time-ordered
   ``array<array<double>>`` (time-major, T x F), for a ``T`` that bounds them;
   :mod:`txnflow.operators.step_blocks` has the form for any length.
@@ -20,7 +20,7 @@ from typing import Iterable, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from txnflow.operators.sessions import DEFAULT_TIE_BREAKERS, order_columns, with_chunk
+from txnflow.operators.sessions import CHUNK, DEFAULT_TIE_BREAKERS, chunk_rows, order_columns
 
 
 def steps_per_actor(df: DataFrame, actor: str = "actor_id", label: str = "label") -> DataFrame:
@@ -35,15 +35,13 @@ def max_timestep(df: DataFrame, actor: str = "actor_id", label: str = "label") -
 def last_steps(df: DataFrame, n: int, actor: str | Sequence[str] = "actor_id", time: str = "action_epoch",
                tie_breakers: Iterable[str] = DEFAULT_TIE_BREAKERS, chunk_seconds: int = 3600) -> DataFrame:
     """Rows among the last ``n`` of their actor (one column or several), with ``rank_from_end`` (1 = latest)."""
-    base = with_chunk(df, actor, time, chunk_seconds)
-    w = Window.partitionBy("_actor", "_chunk").orderBy(*order_columns(base, time, tie_breakers, descending=True))
+    base, chunks = chunk_rows(df, actor, time, chunk_seconds, tie_breakers)
+    w = Window.partitionBy(*CHUNK).orderBy(*order_columns(base, time, tie_breakers, descending=True))
     df = base.withColumn("_rn", F.row_number().over(w))
-    # Per-chunk sizes straight from the input: partial aggregation, small shuffle.
-    counts = base.groupBy("_actor", "_chunk").agg(F.count(F.lit(1)).alias("_n"))
-    later = Window.partitionBy("_actor").orderBy(F.col("_chunk").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("_later", F.coalesce(F.sum("_n").over(later), F.lit(0))).drop("_n")
-    out = df.join(counts, ["_actor", "_chunk"]).withColumn("rank_from_end", F.col("_later") + F.col("_rn"))
-    return out.filter(F.col("rank_from_end") <= n).drop("_actor", "_chunk", "_rn", "_later")
+    later = Window.partitionBy("_actor").orderBy(F.col("_chunk").desc(), F.col("_sub").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    counts = chunks.select(*CHUNK, F.coalesce(F.sum("_n").over(later), F.lit(0)).alias("_later"))
+    out = df.join(counts, [*CHUNK]).withColumn("rank_from_end", F.col("_later") + F.col("_rn"))
+    return out.filter(F.col("rank_from_end") <= n).drop(*CHUNK, "_rn", "_later")
 
 
 def for_actor(df: DataFrame, actor_id: str, actor: str = "actor_id") -> DataFrame:

@@ -8,19 +8,23 @@ exact integer gap, so a gap of exactly one day stays in the session.
 
 Scale: a plain ``Window.partitionBy(actor)`` puts every row of an actor in one
 task, and one actor may own a large share of all rows.  Rows are therefore cut
-into (actor, time chunk) partitions -- a parallel prefix scan:
-
-1. inside each chunk: previous time, breaks, running break count (parallel);
-2. one small row per (actor, chunk): first/last time and break count; a
-   window over an actor's chunks gives the previous chunk's last time and the
-   number of sessions opened before the chunk (tiny: one row per chunk);
-3. join the carry back on (actor, chunk); the big side is already partitioned
-   on those keys by step 1, so only the small side moves.
+into chunks -- a parallel prefix scan:
+
+1. a chunk is an actor's rows of an hour; where these are more than
+   ``CHUNK_ROWS`` (a burst, or an actor's rows without a time), they are cut
+   further by range partitioning over the whole order, whose bounds Spark takes
+   from a sample, so that chunks hold about equally many rows;
+2. inside each chunk: previous time, breaks, running break count (parallel);
+3. one small row per chunk: first/last time and break count; a window over an
+   actor's chunks gives the previous chunk's last time and the number of
+   sessions opened before the chunk (tiny: one row per chunk);
+4. join the carry back on the chunk; the big side is already partitioned
+   on those keys by step 2, so only the small side moves.
 
 Rows without a time come first, with no gap and in the first session; rows
 without an actor form an actor of their own.
 
-The input is read by two branches (rows and chunk carry) that prune different
+The input is read by two branches (rows and chunk table) that prune different
 columns, so Spark cannot always share one scan: pass a materialised input
 (``session.cut_lineage``) when it is expensive to compute.
 """
@@ -32,6 +36,8 @@ from typing import Iterable, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from txnflow.session import cut_lineage
+
 DEFAULT_TIE_BREAKERS = ("event", "twd_amt", "action_type", "txn_type_desc", "atm_location",
                         "target_acct_nbr", "acct_nbr", "customer_id", "label")
 DAY = 86400
@@ -50,6 +56,8 @@ def order_columns(df: DataFrame, time: str, tie_breakers: Iterable[str], descend
     return [F.col(c).asc_nulls_first() for c in cols]
 
 
+CHUNK_ROWS = 200_000         # of an actor's hour, beyond which it is cut further
+CHUNK = ("_actor", "_chunk", "_sub")
 NO_TIME = -(1 << 62)         # the chunk of rows without a time: before all others
 
 
@@ -63,39 +71,58 @@ def with_chunk(df: DataFrame, actor: str | Sequence[str], time: str, chunk_secon
               .withColumn("_chunk", F.coalesce(F.floor(F.col(time) / chunk_seconds), F.lit(NO_TIME))))
 
 
+def chunk_rows(df: DataFrame, actor: str | Sequence[str], time: str, chunk_seconds: int, tie_breakers: Iterable[str]) -> tuple[DataFrame, DataFrame]:
+    """``df`` with the columns ``CHUNK``, and the chunk table: rows, first and last time of each.
+
+    Chunks of an actor in the order of (_chunk, _sub) are its rows in order.  Rows that agree in the whole order
+    may be cut anywhere between them.
+    """
+    base = with_chunk(df, actor, time, chunk_seconds)
+    sizes = [F.count(F.lit(1)).alias("_n"), F.min(time).alias("_first"), F.max(time).alias("_last")]
+    chunks = cut_lineage(base.groupBy("_actor", "_chunk").agg(*sizes))
+    over = chunks.where(F.col("_n") > CHUNK_ROWS)
+    rows = over.agg(F.sum("_n")).first()[0]
+    if not rows:
+        return base.withColumn("_sub", F.lit(0)), chunks.withColumn("_sub", F.lit(0))
+    over = over.select("_actor", "_chunk")                       # at most a chunk for every CHUNK_ROWS rows of the input
+    order = [F.col("_actor"), F.col("_chunk"), *order_columns(base, time, tie_breakers), F.rand(17)]
+    ranged = base.join(over, ["_actor", "_chunk"], "left_semi").repartitionByRange(-(-rows // CHUNK_ROWS) + 1, *order)
+    ranged = cut_lineage(ranged.withColumn("_sub", F.spark_partition_id() + 1))         # written: both branches see one cut
+    kept = base.join(over, ["_actor", "_chunk"], "left_anti").withColumn("_sub", F.lit(0))
+    small = chunks.join(over, ["_actor", "_chunk"], "left_anti").withColumn("_sub", F.lit(0))
+    return kept.unionByName(ranged), small.unionByName(ranged.groupBy(*CHUNK).agg(*sizes))
+
+
 def gap_sessions(df: DataFrame, actor: str = "actor_id", time: str = "action_epoch",
                  cut_seconds: int = DAY, chunk_seconds: int = 3600,
                  tie_breakers: Iterable[str] = DEFAULT_TIE_BREAKERS) -> DataFrame:
     t = F.col(time)
-    base = with_chunk(df, actor, time, chunk_seconds)
-    w = Window.partitionBy("_actor", "_chunk").orderBy(*order_columns(base, time, tie_breakers))
+    base, chunks = chunk_rows(df, actor, time, chunk_seconds, tie_breakers)
+    w = Window.partitionBy(*CHUNK).orderBy(*order_columns(base, time, tie_breakers))
     df = (base.withColumn("_prev", F.lag(time).over(w))
               .withColumn("_brk", F.when(t - F.col("_prev") > cut_seconds, 1).otherwise(0))
               .withColumn("_run", F.sum("_brk").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))))
 
     if chunk_seconds <= cut_seconds:
         # Two rows of one chunk are less than a cut apart, so sessions only break
-        # between chunks: the carry needs per-chunk first/last times only, taken
-        # straight from the input with map-side partial aggregation (a small
-        # shuffle) instead of from the windowed rows (a second row shuffle).
-        chunks = base.groupBy("_actor", "_chunk").agg(F.min(time).alias("_first"), F.max(time).alias("_last"),
-                                                  F.lit(0).cast("long").alias("_inner"))
+        # between chunks: the carry needs the chunk table only, taken straight from
+        # the input with map-side partial aggregation.
+        chunks = chunks.withColumn("_inner", F.lit(0).cast("long"))
     else:
-        chunks = df.groupBy("_actor", "_chunk").agg(F.min(time).alias("_first"), F.max(time).alias("_last"),
-                                                F.sum("_brk").alias("_inner"))
-    wc = Window.partitionBy("_actor").orderBy("_chunk")
+        chunks = df.groupBy(*CHUNK).agg(F.min(time).alias("_first"), F.max(time).alias("_last"), F.sum("_brk").alias("_inner"))
+    wc = Window.partitionBy("_actor").orderBy("_chunk", "_sub")
     chunks = (chunks.withColumn("_prev_last", F.lag("_last").over(wc))
                     .withColumn("_entry", F.when(F.col("_first") - F.col("_prev_last") > cut_seconds, 1).otherwise(0))
                     .withColumn("_base", F.sum(F.col("_inner") + F.col("_entry"))
                                 .over(wc.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_inner"))
-                    .select("_actor", "_chunk", "_prev_last", "_base"))
+                    .select(*CHUNK, "_prev_last", "_base"))
 
-    out = df.join(chunks, ["_actor", "_chunk"])
+    out = df.join(chunks, [*CHUNK])
     gap = F.coalesce(t - F.coalesce(F.col("_prev"), F.col("_prev_last")), F.lit(0)).cast("long")
     out = (out.withColumn("gap_seconds", gap)
               .withColumn("clust_index", (F.col("_base") + F.col("_run")).cast("int"))
               .withColumn("time_diff", round_half_even(F.col("gap_seconds") / F.lit(float(DAY)), 4)))
-    return out.drop("_actor", "_chunk", "_prev", "_brk", "_run", "_prev_last", "_base")
+    return out.drop(*CHUNK, "_prev", "_brk", "_run", "_prev_last", "_base")
 
 
 def session_sizes(sessioned: DataFrame, actor: str = "actor_id", time: str = "action_epoch") -> DataFrame:
