@@ -41,7 +41,7 @@ def train_best(train: DataFrame, val: DataFrame, features: str = "features", lab
         model = LogisticRegression(featuresCol="_x", labelCol=label, regParam=reg, maxIter=max_iter,
                                    family="multinomial").fit(tr)
         scored = score(model, va, features=None, truth=label)
-        m = macro_scores(scored.select(F.col(label).cast("int").alias("y_true"), "y_pred")).first()
+        m = macro_scores(scored.select(F.col(label).cast("int").alias("y_true"), "y_pred"), range(n_classes)).first()
         fitted.append(model)
         metrics.append((i, float(reg), float(m["f1_macro"])))
     table = train.sparkSession.createDataFrame(metrics, "model_id int, reg_param double, val_f1 double")

@@ -16,29 +16,34 @@ from txnflow.sources import testdata as td
 K, SMOTE_SEED, UNDER_SEED = 5, 666, 7
 
 CTE["actor_label"] = "SELECT DISTINCT actor_id, label FROM features"
-CTE["split"] = """
-WITH one AS (SELECT actor_id, min(label) AS label FROM actor_label GROUP BY actor_id),
+def split_sql(rows: str, key: str) -> str:
+    """The stratified split of ``rows`` (key, label)."""
+    return f"""
+WITH one AS (SELECT {key}, min(label) AS label FROM {rows} GROUP BY {key}),
 tn AS (SELECT label, count(*) AS n, (SELECT (count(*) * 3 + 9) // 10 FROM one) AS want, (SELECT count(*) FROM one) AS total
        FROM one GROUP BY label),
 tq AS (SELECT label, n * want // total
          + CASE WHEN row_number() OVER (ORDER BY n * want % total DESC, label) <= want - sum(n * want // total) OVER ()
                 THEN 1 ELSE 0 END AS quota FROM tn),
-t AS (SELECT o.actor_id, o.label,
-        row_number() OVER (PARTITION BY o.label ORDER BY md5('99|' || o.actor_id), o.actor_id) <= q.quota AS is_test
+t AS (SELECT o.{key}, o.label,
+        row_number() OVER (PARTITION BY o.label ORDER BY md5('99|' || CAST(o.{key} AS VARCHAR)), o.{key}) <= q.quota AS is_test
       FROM one o JOIN tq q ON o.label = q.label),
-rest AS (SELECT actor_id, label FROM t WHERE NOT is_test),
+rest AS (SELECT {key}, label FROM t WHERE NOT is_test),
 vn AS (SELECT label, count(*) AS n, (SELECT (count(*) + 3) // 4 FROM rest) AS want, (SELECT count(*) FROM rest) AS total
        FROM rest GROUP BY label),
 vq AS (SELECT label, n * want // total
          + CASE WHEN row_number() OVER (ORDER BY n * want % total DESC, label) <= want - sum(n * want // total) OVER ()
                 THEN 1 ELSE 0 END AS quota FROM vn),
-v AS (SELECT r.actor_id,
-        row_number() OVER (PARTITION BY r.label ORDER BY md5('43|' || r.actor_id), r.actor_id) <= q.quota AS is_val
+v AS (SELECT r.{key},
+        row_number() OVER (PARTITION BY r.label ORDER BY md5('43|' || CAST(r.{key} AS VARCHAR)), r.{key}) <= q.quota AS is_val
       FROM rest r JOIN vq q ON r.label = q.label),
-s AS (SELECT actor_id, 'test' AS split FROM t WHERE is_test
-      UNION ALL SELECT actor_id, CASE WHEN is_val THEN 'val' ELSE 'train' END FROM v)
-SELECT a.actor_id, a.label, s.split FROM actor_label a JOIN s ON a.actor_id = s.actor_id
+s AS (SELECT {key}, 'test' AS split FROM t WHERE is_test
+      UNION ALL SELECT {key}, CASE WHEN is_val THEN 'val' ELSE 'train' END FROM v)
+SELECT a.{key}, a.label, s.split FROM {rows} a JOIN s ON a.{key} = s.{key}
 """
+
+
+CTE["split"] = split_sql("actor_label", "actor_id")
 CTE["under"] = f"""
 WITH rows AS (SELECT * FROM split WHERE split IN ('train', 'val')),
 keep AS (SELECT split, count(*) AS k FROM rows WHERE label = 2 GROUP BY split),

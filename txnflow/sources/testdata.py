@@ -2,7 +2,7 @@
 
 The pipeline reads four kinds of input -- a journey-event table with a JSON
 ``attrs`` column, an account/label table, a consumption table and a table of
-class scores.  The synthetic tables under ``/root/testdata`` have other
+labelled vectors.  The synthetic tables under ``/root/testdata`` have other
 shapes, so these functions derive the inputs with plain DataFrame expressions
 (the same derivations appear as SQL in :mod:`txnflow.plans.sql`).  They are
 lazy: nothing is read until an action runs, and every derived table grows with
@@ -24,9 +24,10 @@ LABEL_PERIOD = "202402"
 JOURNEY_EVENTS = ("atm_transaction", "myatm_transaction", "mybank_transaction")
 
 
-#: Partitions that scans are redistributed to; None leaves Spark's splits.  ``bench.py`` sets it, because each of its
-#: test files is one unsplittable row group.  A deployment with many files has no use for it.
+#: Partitions that scans of the large tables are redistributed to; None leaves Spark's splits.  ``bench.py`` sets it, because
+#: each of its test files is one unsplittable row group.  A deployment with many files has no use for it.
 input_partitions: int | None = None
+LARGE = {"events", "lineitem", "orders", "documents"}
 
 
 # Read plans per session: listing files and reading Parquet footers happens once
@@ -40,7 +41,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     reads = _READS.setdefault(spark, {})
     if path not in reads:
         reads[path] = spark.read.parquet(path)
-    return reads[path].repartition(input_partitions) if input_partitions else reads[path]
+    return reads[path].repartition(input_partitions) if input_partitions and name in LARGE else reads[path]
 
 
 def _instant(moment: datetime.datetime) -> Column:
@@ -156,15 +157,6 @@ def consumption(spark: SparkSession, sf_dir: str, weeks: tuple[int, int] | None
     )
 
 
-def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``embeddings`` -> (id, y_true, scores[3]) class-score rows."""
-    return table(spark, sf_dir, "embeddings").select(
-        F.col("vec_id").alias("id"),
-        (F.col("label") % 3).cast("int").alias("y_true"),
-        F.slice("embedding", 1, 3).cast("array<double>").alias("scores"),
-    )
-
-
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``embeddings`` -> (id, label, features array<double>) for resampling."""
     return table(spark, sf_dir, "embeddings").select(
