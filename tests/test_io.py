@@ -62,7 +62,7 @@ def test_read_table_lexicon_and_actor_lookup(spark):
     root = tempfile.mkdtemp(prefix="txnflow-io2-")
     with open(f"{root}/lex.txt", "w", encoding="utf-8") as f:
         f.write("台北車站\n\n 7-ELEVEN \n")
-    assert io.read_lexicon(spark, f"{root}/lex.txt") == ["台北車站", "7-ELEVEN"]
+    assert io.read_lexicon(spark, f"{root}/lex.txt") == ["7-ELEVEN", "台北車站"]
     df = spark.createDataFrame([("a", 1.0), ("b", 3.0)], "actor_id string, v double")
     df.write.parquet(f"{root}/t")
     t = io.read_table(spark, f"{root}/t")

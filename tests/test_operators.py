@@ -301,11 +301,12 @@ def test_level_pca_matches_numpy(spark):
     assert np.allclose(fit.explained_ratio, np.sort(w)[::-1][:3] / w.sum())
 
 
-@pytest.mark.parametrize("weighted,extra", [(False, 40), (True, 40), (False, 3)])
-def test_text_pca_matches_numpy(spark, monkeypatch, weighted, extra):
-    """The whole vocabulary, also when the block is smaller than it and has to be iterated."""
+@pytest.mark.parametrize("weighted,block,columns", [(False, 24, 480), (True, 40, 480), (False, 3, 480), (True, 4, 14)])
+def test_text_pca_matches_numpy(spark, monkeypatch, weighted, block, columns):
+    """The whole vocabulary, in several blocks, also when steps are many and the space is restarted."""
     from txnflow.operators import text_pca
-    monkeypatch.setattr(text_pca, "EXTRA", extra)
+    for name, value in (("BLOCK", block), ("MOST_COLUMNS", columns), ("DOC_CELLS", 100), ("TERM_BLOCK", 7), ("CHUNK", 20)):
+        monkeypatch.setattr(text_pca, name, value)
     rng = np.random.default_rng(5)
     words = [f"t{i}" for i in range(30)]
     share = 0.5 ** np.arange(30) + 0.02

@@ -1,64 +1,83 @@
-"""Gaussian kernel density of a value per group on a 1,000-point grid.
+"""Gaussian kernel density of a value per group on a grid of points.
 
 Bandwidth is Scott's rule, sample std x n^(-1/5); the grid spans the data
 range widened by half the range on each side (the usual KDE plot grid).
 
-No rows x grid cross join: identical values are first merged into weights,
-then each distinct value contributes only to grid points within
-``cutoff_sigma`` bandwidths.  At 39 bandwidths exp(-z^2/2) is below the
-smallest positive double, so the cutoff drops only exact zeros -- the result
-equals the full sum.  Per-group statistics (count, min, max, std) are a few
-numbers per group, carried as literals.
+No rows x grid join, and no shuffle of values: every task adds the kernels of its
+batch of values to its groups' grids at once and sends one partial sum for each
+(group, grid point) it has seen, so the widest table has at most tasks x groups x
+points rows, however many values there are.  The sum is over all values, near and
+far.  A group's grid is a handful of numbers, which are sent to the tasks; groups
+are checked to be few.
+
+A group has a density only if its values spread: ``kde_groups`` lists every group
+and says which are left out and why.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from txnflow.session import ship_package
+
 SQRT_2PI = math.sqrt(2.0 * math.pi)
+MOST_GROUPS = 4096
+CHUNK = 4096                   # values whose kernels are computed together
 
 
-def kde(df: DataFrame, value: str, group: str, points: int = 1000, cutoff_sigma: float = 39.0) -> DataFrame:
-    stats = df.groupBy(group).agg(F.count(value).alias("n"), F.min(value).alias("lo"),
-                                  F.max(value).alias("hi"), F.stddev_samp(value).alias("sd")).collect()
-    spark = df.sparkSession
-    params = []
-    for r in sorted(stats, key=lambda r: r[group]):
-        if not r["n"] or r["sd"] is None or r["sd"] <= 0:
-            continue
-        rng = r["hi"] - r["lo"]
-        lo, hi = r["lo"] - 0.5 * rng, r["hi"] + 0.5 * rng
-        params.append((r[group], r["n"], lo, (hi - lo) / (points - 1), r["sd"] * r["n"] ** -0.2))
-    schema = f"{group} {dict(df.dtypes)[group]}, grid_idx long, x double, density double"
-    if not params:
-        return spark.createDataFrame([], schema)
+def kde_groups(df: DataFrame, value: str, group: str) -> DataFrame:
+    """(group, n, lo, hi, sd, status): status is ``density``, ``no values``, ``one value`` or ``no spread``."""
+    stats = df.groupBy(group).agg(F.count(value).alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi"),
+                                  F.stddev_samp(value).alias("sd"))
+    status = F.when(F.col("n") == 0, "no values").when(F.col("n") == 1, "one value") \
+        .when((F.col("hi") > F.col("lo")) & (F.col("sd") > 0), "density").otherwise("no spread")
+    return stats.withColumn("status", status)
 
-    def pick(i):
-        expr = None
-        for p in params:
-            expr = (F.when(F.col(group) == p[0], F.lit(p[i])) if expr is None
-                    else expr.when(F.col(group) == p[0], F.lit(p[i])))
-        return expr
 
-    n, lo, step, bw = pick(1), pick(2), pick(3), pick(4)
-    weights = (df.filter(F.col(value).isNotNull() & F.col(group).isin([p[0] for p in params]))
-                 .groupBy(group, value).agg(F.count(F.lit(1)).alias("w")))
-    v = F.col(value)
-    first = F.greatest(F.lit(0), F.ceil((v - cutoff_sigma * bw - lo) / step)).cast("long")
-    last = F.least(F.lit(points - 1), F.floor((v + cutoff_sigma * bw - lo) / step)).cast("long")
-    near = weights.select(group, "w", value, F.explode(F.sequence(first, last)).alias("grid_idx"))
-    x = lo + F.col("grid_idx") * step
-    contrib = near.select(group, "grid_idx", (F.col("w") * F.exp(-0.5 * F.pow((x - v) / bw, 2))).alias("c"))
-    sums = contrib.groupBy(group, "grid_idx").agg(F.sum("c").alias("s"))
+def _partial(groups: list, params: list, points: int):
+    """(group number, grid_idx, s): the kernels of a task's values, summed."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        known = pa.array(groups)
+        for batch in batches:
+            number = pc.fill_null(pc.index_in(batch.column(0), value_set=known), -1).to_numpy()
+            values = batch.column(1).to_numpy(zero_copy_only=False)
+            for g in np.unique(number[number >= 0]).tolist():
+                n, lo, step, bw = params[g]
+                x = lo + np.arange(points) * step
+                mine, times = np.unique(values[number == g], return_counts=True)
+                total = sums.setdefault(g, np.zeros(points))
+                for s in range(0, len(mine), CHUNK):
+                    total += times[s:s + CHUNK] @ np.exp(-0.5 * ((x[None] - mine[s:s + CHUNK, None]) / bw) ** 2)
+        for g, total in sums.items():
+            yield pa.record_batch([pa.array(np.full(points, g, np.int32)), pa.array(np.arange(points)), pa.array(total)], ["g", "grid_idx", "s"])
+    return run
 
-    # The full grid (groups x points rows, a declared size), so every point is present.
-    groups = F.array(*[F.lit(p[0]) for p in params])
-    grid = spark.range(len(params) * points).select(
-        F.element_at(groups, (F.col("id") / points).cast("int") + 1).alias(group),
-        (F.col("id") % points).alias("grid_idx"))
-    out = grid.join(sums, [group, "grid_idx"], "left")
-    return out.select(group, "grid_idx", (lo + F.col("grid_idx") * step).alias("x"),
-                      (F.coalesce(F.col("s"), F.lit(0.0)) / (n * bw * F.lit(SQRT_2PI))).alias("density"))
+
+def kde(df: DataFrame, value: str, group: str, points: int = 1000) -> DataFrame:
+    """(group, grid_idx, x, density) for every group with a density; null values take no part."""
+    ship_package(df.sparkSession)
+    stats = kde_groups(df, value, group).where(f"status = 'density' AND {group} IS NOT NULL").limit(MOST_GROUPS + 1).collect()
+    if len(stats) > MOST_GROUPS:
+        raise ValueError(f"more than {MOST_GROUPS} groups in {group!r}")
+    if not stats:
+        return df.sparkSession.createDataFrame([], f"{group} {dict(df.dtypes)[group]}, grid_idx long, x double, density double")
+    groups, params = [], []
+    for r in sorted(stats, key=lambda r: r[group]):
+        width = r["hi"] - r["lo"]
+        lo, hi = r["lo"] - 0.5 * width, r["hi"] + 0.5 * width
+        groups.append(r[group])
+        params.append((r["n"], lo, (hi - lo) / (points - 1), r["sd"] * r["n"] ** -0.2))
+    values = df.where(F.col(value).isNotNull()).select(group, F.col(value).cast("double").alias("v"))
+    parts = values.mapInArrow(_partial(groups, params, points), "g int, grid_idx long, s double")
+    pick = lambda column: F.element_at(F.array(*[F.lit(v) for v in column]), F.col("g") + 1)
+    n, lo, step, bw = (pick([float(p[i]) for p in params]) for i in range(4))
+    return parts.groupBy("g", "grid_idx").agg(F.sum("s").alias("s")) \
+        .select(pick(groups).alias(group), "grid_idx", (lo + F.col("grid_idx") * step).alias("x"), (F.col("s") / (n * bw * F.lit(SQRT_2PI))).alias("density"))

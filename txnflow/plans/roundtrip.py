@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from txnflow.domain import NON_PCA_FEATURES
@@ -12,27 +10,20 @@ from txnflow.operators.sequences import for_actor, max_timestep
 from txnflow.operators.step_blocks import flatten_block, padded_blocks, step_blocks, unflatten_block
 from txnflow.plans.extract import joined
 from txnflow.plans.features import features
+from txnflow.plans.paths import new_path
 from txnflow.plans.registry import register
 from txnflow.plans.sampling import SPLIT
 from txnflow.plans.sequences import ORDER_ASC, ORDER_DESC, SEQ, scaled
 from txnflow.plans.sql import BASE, CTE, with_ctes
-from txnflow.session import ensure_checkpoint_dir
 from txnflow.sources import io
 
-OBSERVED, LABELLED = "202402-202404", "202402"
 MIDDLE_ACTOR = "SELECT min(actor_id) FROM joined"
 
 
-def _path(spark, kind: str) -> str:
-    """A new folder in the shared checkpoint folder, named as the job names its datasets."""
-    name = io.dataset_name(kind, OBSERVED, LABELLED, desc=uuid.uuid4().hex)
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/txnflow-{name}"
-
-
 @register("csv_roundtrip", sql=with_ctes(BASE, "SELECT * FROM joined"))
 def q_csv_roundtrip(spark, sf_dir):
     """The joined rows, sorted across files, as CSV and back; codes stay strings."""
-    path = _path(spark, "transRecord")
+    path = new_path(spark, "transRecord")
     io.write_csv(io.sort_for_output(joined(spark, sf_dir)), path)
     return io.read_csv(spark, path, io.JOINED_SCHEMA)
 
@@ -40,7 +31,7 @@ def q_csv_roundtrip(spark, sf_dir):
 @register("actor_label_csv", sql=with_ctes(SPLIT[:-1], "SELECT actor_id, label FROM actor_label"))
 def q_actor_label_csv(spark, sf_dir):
     """The actor label table as CSV and back."""
-    path = _path(spark, "actorLabelTable")
+    path = new_path(spark, "actorLabelTable")
     io.write_csv(features(spark, sf_dir).select("actor_id", "label").distinct(), path)
     return io.read_csv(spark, path, io.ACTOR_LABEL_SCHEMA)
 
@@ -65,7 +56,7 @@ WHERE step >= 0 GROUP BY actor_id, label, step // {BLOCK}"""))
 def q_sequences_json(spark, sf_dir):
     """Each actor's last steps in blocks, a JSON line each, and back."""
     df = scaled(spark, sf_dir, NON_PCA_FEATURES)
-    path = _path(spark, "make_sequence")
+    path = new_path(spark, "make_sequence")
     io.write_json(step_blocks(_rounded(df), NON_PCA_FEATURES, max_timestep(df), BLOCK), path)
     return io.read_json(spark, path, io.BLOCK_SCHEMA)
 
@@ -77,7 +68,7 @@ FROM seq_rows WHERE step >= 0 GROUP BY actor_id, label, step // {BLOCK}"""))
 def q_session_sequences(spark, sf_dir):
     """Q1: blocks of each step's session index and gap, as Parquet and back."""
     df = scaled(spark, sf_dir)
-    path = _path(spark, "session_sequence")
+    path = new_path(spark, "session_sequence")
     io.write_parquet(step_blocks(df, ["clust_index", "gap_seconds"], max_timestep(df), BLOCK), path)
     steps = io.read_parquet(spark, path)
     return steps.select("actor_id", "label", "block", F.transform("steps", lambda s: s[0]).alias("sessions"),
@@ -96,7 +87,7 @@ def q_tensor_blocks(spark, sf_dir):
     df = scaled(spark, sf_dir, NON_PCA_FEATURES)
     split = stratified_split(df.select("actor_id", "label").distinct())
     blocks = padded_blocks(_rounded(df), NON_PCA_FEATURES, max_timestep(df), BLOCK).join(split, ["actor_id", "label"])
-    path = _path(spark, "tensors")
+    path = new_path(spark, "tensors")
     io.write_parquet(blocks.select("actor_id", "label", "split", "block", flatten_block().alias("x")), path, partition_by=("split",))
     back = io.read_parquet(spark, path)
     return back.select("actor_id", "label", F.col("split").cast("string").alias("split"), "block",
@@ -115,7 +106,7 @@ def q_longest_sequences(spark, sf_dir):
 @register("one_actor", sql=with_ctes(BASE, f"SELECT * FROM joined WHERE actor_id = ({MIDDLE_ACTOR})"))
 def q_one_actor(spark, sf_dir):
     """the rows of one actor, the first by name, read back from the written table by a point lookup."""
-    path = _path(spark, "joined")
+    path = new_path(spark, "joined")
     io.write_parquet(joined(spark, sf_dir), path)
     rows = io.read_parquet(spark, path)
     return for_actor(rows, rows.agg(F.min("actor_id")).first()[0])

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from txnflow.operators.lexicon import lexicon_words
+
 S, L, D, I = T.StringType(), T.LongType(), T.DoubleType(), T.IntegerType()
 
 
@@ -88,10 +90,20 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def read_lexicon(spark: SparkSession, path: str) -> list[str]:
-    """A user lexicon (one word per line).  Small by nature; returned as a list
-    so it can become one regex alternation."""
-    return [r[0].strip() for r in spark.read.text(path).collect() if r[0] and r[0].strip()]
+def read_lexicon_table(spark: SparkSession, path: str) -> DataFrame:
+    """A user lexicon, one word a line, as a table (word); for ``operators.lexicon``."""
+    return lexicon_words(spark.read.text(path))
+
+
+def read_lexicon(spark: SparkSession, path: str, most: int = 10_000) -> list[str]:
+    """A short lexicon as a list, for the rule-table domain, which makes one pattern of it.
+
+    More than ``most`` words are an error: those belong in :func:`read_lexicon_table`.
+    """
+    words = sorted(r[0] for r in read_lexicon_table(spark, path).limit(most + 1).collect())
+    if len(words) > most:
+        raise ValueError(f"{path} has more than {most} words")
+    return words
 
 
 def dataset_name(kind: str, observ: str, label: str, try_date: str | None = None,
