@@ -28,13 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from txnflow.llm import shingles, wordbytes
-from txnflow.llm.tables import written
+from txnflow.llm.tables import discard, written
 from txnflow.llm.unionfind import components, spanning
 
 BANDS, ROWS = 45, 5
 PIECE_BYTES = 4 << 20
 HEADS_BATCH = 20_000           # documents whose keys are matched before any is sent
 TILE_SHINGLES = 64_000        # of a block of a tile
+SLOTS = 1 << 20                # of the filter of candidates' hashes
 LAST = (1 << 63) - 1           # stands for a null id
 
 
@@ -83,21 +84,6 @@ def _batch_heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield solve()
 
 
-def _key_leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All heads of a partition's keys to (key, head, leader), for keys of two documents or more."""
-    held = [b for b in batches if b.num_rows]
-    if not held:
-        return
-    keys, heads, counts = (np.concatenate([b.column(i).to_numpy() for b in held]) for i in range(3))
-    by = np.lexsort((heads, keys))
-    keys, heads, counts = keys[by], heads[by], counts[by]
-    begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    size = np.diff(np.append(begin, len(keys)))
-    shared = np.repeat(np.add.reduceat(counts, begin) > 1, size)
-    leader = np.repeat(heads[begin], size)
-    yield pa.record_batch([keys[shared], heads[shared], leader[shared]], ["key", "head", "leader"])
-
-
 def _similar(x: np.ndarray, others: np.ndarray, owner: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
     """Which of the sets in ``others`` (sorted elements and whose each is) are similar to the set ``x``."""
     low, high = np.searchsorted(others, x, "left"), np.searchsorted(others, x, "right")
@@ -168,17 +154,25 @@ def near_links(classes: DataFrame, texts: DataFrame, size: int, percent: int) ->
     # Heads and members come from one pass: another scan may pack other rows into a batch and so have other heads.
     heads = written(classes.where("n > 0").select("node", "bands")
                     .mapInArrow(_batch_heads, "key long, head long, member long, count long"), "heads")
-    leaders = written(heads.where("count > 0").select("key", "head", "count")
-                      .repartition("key").mapInArrow(_key_leaders, "key long, head long, leader long"), "leaders")
+    # One row of a key and batch meets the others of its key, first to find the least, then to learn it.
+    shared = heads.where("count > 0").select("key", "head", "count")
+    least = written(shared.groupBy("key").agg(F.min("head").alias("leader"), F.sum("count").alias("nodes")).where("nodes > 1").drop("nodes"), "least")
+    leaders = written(shared.select("key", "head").join(least, "key"), "leaders")
     rest = heads.where("count = 0").select("key", "head", "member").join(leaders, ["key", "head"])
     pairs = (leaders.select("leader", F.col("head").alias("member")).union(rest.select("leader", "member"))
              .where("leader != member").distinct().join(classes.select(F.col("node").alias("member"), "n"), "member"))
     pairs = written(pairs, "pairs")
+    discard(heads, least, leaders)
     volume = written(pairs.groupBy("leader").agg(F.sum("n").alias("total")), "volume")
     nodes = pairs.select(F.col("member").alias("node")).union(volume.select("leader")).distinct()
     nodes = written(classes.select("node", "oid", "tkey").join(nodes, "node", "left_semi"), "nodes")
+    # Most texts belong to no candidate.  They stay behind by a semi-join with the slots of the candidates' hashes, a
+    # table of at most SLOTS rows; the candidates themselves grow with the corpus, and are never sent to every task.
+    slot = F.pmod("tkey", F.lit(SLOTS))
+    slots = F.broadcast(nodes.select(slot.alias("slot")).distinct())
+    wanted = texts.join(slots, slot == F.col("slot"), "left_semi")
     # One text a node, also if its row is repeated; copies of a row are combined before the shuffle.
-    texts = written(texts.join(nodes, ["oid", "tkey"]).groupBy("node").agg(F.any_value("text").alias("text")), "texts")
+    texts = written(wanted.join(nodes.hint("merge"), ["oid", "tkey"]).groupBy("node").agg(F.any_value("text").alias("text")), "texts")
 
     blocks = (F.floor(F.col("total") / TILE_SHINGLES) + 1).cast("long")
     led = pairs.join(volume.withColumn("blocks", blocks).drop("total"), "leader")
@@ -195,6 +189,7 @@ def near_links(classes: DataFrame, texts: DataFrame, size: int, percent: int) ->
     apart = written(placed.join(hub, "leader").where("component != hub").select("leader", "member", "n"), "apart")
     asked = written(apart.groupBy("leader").agg(F.sum("n").alias("asked")).join(volume, "leader")
                     .select("leader", (F.floor(F.col("asked") / TILE_SHINGLES) + 1).cast("long").alias("xs"), blocks.alias("ys")), "asked")
+    discard(volume, nodes, linked, placed)
     asking = (apart.join(asked, "leader")
               .select("leader", _block("member", "xs").alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("ys") - 1)).alias("y"),
                       F.lit(0).alias("role"), F.col("member").alias("node")))
@@ -202,6 +197,7 @@ def near_links(classes: DataFrame, texts: DataFrame, size: int, percent: int) ->
                  .select("leader", F.explode(F.sequence(F.lit(0).cast("long"), F.col("xs") - 1)).alias("x"),
                          _block("member", "ys").alias("y"), F.lit(1).alias("role"), F.col("member").alias("node")))
     among = _solved(asking.union(answering), texts, size, percent, "among")
+    discard(texts, pairs, apart, asked)
     return near.select(F.col("component").alias("a"), F.col("member").alias("b")).union(among.select("a", "b")).distinct()
 
 
@@ -220,7 +216,8 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent:
     classes = written(signed.where("n > 0").groupBy("d1", "d2", "n")
                       .agg(F.min(F.struct("oid", "tkey")).alias("least"), F.any_value("bands").alias("bands"))
                       .select("d1", "d2", "n", "least.*", "bands", F.monotonically_increasing_id().alias("node")), "classes")
-    found = written(components(near_links(classes, texts, shingle, percent)).withColumnRenamed("component", "root"), "found")
+    links = written(near_links(classes, texts, shingle, percent), "near_links")
+    found = written(components(links).withColumnRenamed("component", "root"), "found")
     inside = written(classes.select("node", "oid").join(found.union(found.select("root", "root").distinct()), "node"), "inside")
     named = inside.groupBy("root").agg(F.min("oid").alias("component"))
     named = written(inside.join(named, "root").select("node", "component"), "named")

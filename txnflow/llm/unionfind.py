@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from txnflow.llm.tables import written
+from txnflow.llm.tables import discard, written
 
 
 def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -42,13 +42,20 @@ def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _large_star(links: DataFrame) -> DataFrame:
     both = links.union(links.select("b", "a")).toDF("u", "v")
     least = written(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), "star")
-    return both.join(least, "u").where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a < b").distinct()
+    out = both.join(least, "u").where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a < b").distinct()
+    return _replaced(out, least, links)
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     least = written(links.groupBy("b").agg(F.min("a").alias("m")), "star")
     moved = links.join(least, "b").select(F.col("m").alias("x"), F.col("a").alias("y")).where("x < y")
-    return moved.union(least.select("m", "b")).toDF("a", "b").distinct()
+    return _replaced(moved.union(least.select("m", "b")).toDF("a", "b").distinct(), least, links)
+
+
+def _replaced(links: DataFrame, *old: DataFrame) -> DataFrame:
+    new = written(links, "links")
+    discard(*old)
+    return new
 
 
 def _state(links: DataFrame) -> tuple:
@@ -65,7 +72,7 @@ def components(links: DataFrame) -> DataFrame:
     now = written(links.mapInArrow(forest, "a long, b long").distinct(), "links")
     seen = _state(now)
     while True:
-        now = written(_small_star(written(_large_star(now), "links")), "links")
+        now = _small_star(_large_star(now))
         state = _state(now)
         if state == seen:
             return now.select(F.col("b").alias("node"), F.col("a").alias("component"))
