@@ -8,6 +8,40 @@ from txnflow.llm.license_scan import Template, scan_licenses
 from txnflow.llm.registry import register
 from txnflow.llm.tables import read
 
+# Licence texts as their words.
+MIT = (
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and "
+    "associated documentation files the software to deal in the software without restriction including without "
+    "limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the "
+    "software and to permit persons to whom the software is furnished to do so subject to the following "
+    "conditions the above copyright notice and this permission notice shall be included in all copies or "
+    "substantial portions of the software the software is provided as is without warranty of any kind express "
+    "or implied including but not limited to the warranties of merchantability fitness for a particular "
+    "purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim "
+    "damages or other liability whether in an action of contract tort or otherwise arising from out of or in "
+    "connection with the software or the use or other dealings in the software")
+ISC = (
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is "
+    "hereby granted provided that the above copyright notice and this permission notice appear in all copies "
+    "the software is provided as is and the author disclaims all warranties with regard to this software "
+    "including all implied warranties of merchantability and fitness in no event shall the author be liable "
+    "for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of "
+    "use data or profits whether in an action of contract negligence or other tortious action arising out of "
+    "or in connection with the use or performance of this software")
+BSD = (
+    "redistribution and use in source and binary forms with or without modification are permitted provided "
+    "that the following conditions are met 1 redistributions of source code must retain the above copyright "
+    "notice this list of conditions and the following disclaimer 2 redistributions in binary form must "
+    "reproduce the above copyright notice this list of conditions and the following disclaimer in the "
+    "documentation and or other materials provided with the distribution this software is provided by the "
+    "copyright holders and contributors as is and any express or implied warranties including but not limited "
+    "to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no "
+    "event shall the copyright holder or contributors be liable for any direct indirect incidental special "
+    "exemplary or consequential damages including but not limited to procurement of substitute goods or "
+    "services loss of use data or profits or business interruption however caused and on any theory of "
+    "liability whether in contract strict liability or tort including negligence or otherwise arising in any "
+    "way out of the use of this software even if advised of the possibility of such damage")
+
 TEMPLATES = [
     Template("mit", "under the mit license", base=True),
     Template("apache-2", "apache license version 2", base=True),
@@ -19,19 +53,20 @@ TEMPLATES = [
     Template("cc-by-sa", "licensed under cc by sa", "cc by sa"),
     Template("unlicense", "free and unencumbered software released into the public domain", "unencumbered software"),
     Template("proprietary", "all rights reserved"),
+    Template("mit", MIT, "permission is hereby granted free of charge"),
+    Template("isc", ISC, "permission to use copy modify and or distribute this software"),
+    Template("bsd-2", BSD, "redistributions in binary form must reproduce the above copyright notice"),
 ]
 
+def _values() -> str:
+    """The templates as SQL rows: number, label, words, first and end of the key, base."""
+    return ",\n  ".join(f"({i}, '{t.label}', '{t.text}', {t.key_range[0]}, {t.key_range[1]}, {str(t.base).upper()})"
+                        for i, t in enumerate(TEMPLATES, 1))
+
+
 SQL = r"""
 WITH ts(t, label, words, klo, khi, base) AS (VALUES
-  (1, 'mit', 'under the mit license', 0, 4, TRUE),
-  (2, 'apache-2', 'apache license version 2', 0, 4, TRUE),
-  (3, 'cc-by-nc', 'cc by nc', 0, 3, TRUE),
-  (4, 'gpl', 'licensed under the gnu general public license version 3', 3, 7, FALSE),
-  (5, 'mpl-2', 'subject to the terms of the mozilla public license v 2 0', 6, 9, FALSE),
-  (6, 'bsd', 'redistribution and use in source and binary forms with or without modification are permitted', 0, 8, FALSE),
-  (7, 'cc-by-sa', 'licensed under cc by sa', 2, 5, FALSE),
-  (8, 'unlicense', 'free and unencumbered software released into the public domain', 2, 4, FALSE),
-  (9, 'proprietary', 'all rights reserved', 0, 3, FALSE)),
+  @TEMPLATES@),
 d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
@@ -64,7 +99,7 @@ FROM d LEFT JOIN doc USING (doc_id)
 """
 
 
-@register("op5_license_scan", SQL)
+@register("op5_license_scan", SQL.replace("@TEMPLATES@", _values()))
 def op5(spark, sf_dir):
     """Per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score (to nine digits)."""
     found = scan_licenses(read(spark, sf_dir, "documents").select("doc_id", "text"), TEMPLATES)
