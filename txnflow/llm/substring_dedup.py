@@ -39,13 +39,12 @@ GRAM = 3
 LONGEST_RUN = 64
 PIECE_BYTES = 4 << 20
 BUCKET_BYTES = 16 << 20      # of text; a bucket holds about three times as much
-HOT_BYTES = 64 << 20         # of text; a bucket above this is split by whole windows
+HOT_BYTES = 16 << 20         # of text; a bucket above this is split by whole windows
 LAST = (1 << 63) - 1         # the order of a null id: after all others
 
 _SUPERS = pa.schema([("bucket", pa.int64()), ("packed", pa.binary()), ("oid", pa.list_(pa.int64())),
-                     ("tkey", pa.list_(pa.int64())), ("lo", pa.list_(pa.int32())), ("hi", pa.list_(pa.int32())),
-                     ("volume", pa.int64())])
-_SUPERS_DDL = "bucket long, packed binary, oid array<long>, tkey array<long>, lo array<int>, hi array<int>, volume long"
+                     ("tkey", pa.list_(pa.int64())), ("lo", pa.list_(pa.int32())), ("hi", pa.list_(pa.int32()))])
+_SUPERS_DDL = "bucket long, packed binary, oid array<long>, tkey array<long>, lo array<int>, hi array<int>"
 _SPANS = pa.schema([("oid", pa.int64()), ("tkey", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())])
 _SPANS_DDL = "oid long, tkey long, lo int, hi int"
 
@@ -60,10 +59,11 @@ def _runs(position: np.ndarray, text: np.ndarray, minimiser: np.ndarray) -> tupl
     return begin, np.diff(np.append(begin, len(position)))
 
 
-def super_kmers(window: int, buckets: int, hot: dict[int, int] | None = None):
+def super_kmers(window: int, buckets: int, hot: dict[int, int] | None = None, volumes: bool = False):
     """Map side: (oid, tkey, text) batches to super-k-mers by bucket, and spans already known to be repeated.
 
-    ``hot``: overfull buckets and the number of sub-buckets that their single windows go to.
+    ``hot``: overfull buckets and the number of sub-buckets that their single windows go to.  ``volumes``: only (bucket,
+    volume) of the text that would be sent.
     """
     gram = min(GRAM, window)
     overfull = np.array(sorted(hot or {}), np.int64)
@@ -105,6 +105,11 @@ def super_kmers(window: int, buckets: int, hot: dict[int, int] | None = None):
             low, high = first[later], until[later]
             sent = np.flatnonzero(~later)
             bucket = (wordbytes.mix(least[first[sent]]) % np.uint64(buckets)).astype(np.int64)
+            if volumes:
+                sizes = words.end[until[sent] - 1] - words.start[first[sent]] + 1
+                found, at = np.unique(bucket, return_inverse=True)
+                yield pa.record_batch([pa.array(found), pa.array(np.bincount(at, sizes).astype(np.int64))], ["bucket", "volume"])
+                continue
             lines, first, count = [lines[i] for i in sent.tolist()], first[sent], count[sent]
             over = np.isin(bucket, overfull)
             if over.any():
@@ -128,7 +133,7 @@ def super_kmers(window: int, buckets: int, hot: dict[int, int] | None = None):
                 for x, y in zip(cut, np.r_[cut[1:], len(by)]):
                     part = by[x:y]
                     text = b"\n".join([lines[i] for i in part]) + b"\n"
-                    out.append((int(bucket[x]), pack.compress(text), ids[owner[part]], keys[owner[part]], lo[part], None, len(text)))
+                    out.append((int(bucket[x]), pack.compress(text), ids[owner[part]], keys[owner[part]], lo[part], None))
             if len(low):
                 by = np.argsort(low, kind="stable")
                 low, high = low[by], high[by]
@@ -138,7 +143,7 @@ def super_kmers(window: int, buckets: int, hot: dict[int, int] | None = None):
                 high = np.maximum.reduceat(high, x)
                 mine = mine[x]
                 base = words.first[mine]
-                out.append((-1 - int(keys[0] % buckets), None, ids[mine], keys[mine], low[x] - base, high - base, 0))
+                out.append((-1 - int(keys[0] % buckets), None, ids[mine], keys[mine], low[x] - base, high - base))
             yield pa.record_batch([pa.array(list(col), type=field.type) for col, field in zip(zip(*out), _SUPERS)],
                                   schema=_SUPERS)
     return run
@@ -244,7 +249,7 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, window: int) ->
     volume = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), volume // BUCKET_BYTES)
     # Few come to the driver: an overfull bucket has at least HOT_BYTES of text.
-    full = (texts.mapInArrow(super_kmers(window, buckets), _SUPERS_DDL).groupBy("bucket").agg(F.sum("volume").alias("volume"))
+    full = (texts.mapInArrow(super_kmers(window, buckets, volumes=True), "bucket long, volume long").groupBy("bucket").agg(F.sum("volume").alias("volume"))
             .where(F.col("volume") > HOT_BYTES).collect())
     hot = {r.bucket: r.volume * (window // 2 + 1) // BUCKET_BYTES + 1 for r in full}
     spans = (texts.mapInArrow(super_kmers(window, buckets, hot), _SUPERS_DDL)
