@@ -219,7 +219,50 @@ def test_license_scan_runs_no_python(spark, no_docs, edge_docs):
     assert license_scan.scan_licenses(no_docs, TEMPLATES).collect() == []
     got = license_scan.scan_licenses(edge_docs, TEMPLATES)
     assert got.count() == edge_docs.count()
-    assert not re.search("Python|Arrow|Pandas|Exchange", got._jdf.queryExecution().executedPlan().toString().split("InMemoryTableScan")[0])
+    assert not re.search("Python|Arrow|Pandas", got._jdf.queryExecution().executedPlan().toString().split("InMemoryTableScan")[0])
+
+
+def test_license_scan_lower_cases_ascii_alone(spark):
+    docs = spark.createDataFrame([(1, "trade mar\u212a here"), (2, "TRADE MARK here"), (3, "trade mark\u0130 here")], "doc_id long, text string")
+    got = license_scan.scan_licenses(docs, [license_scan.Template("tm", "trade mark here", base=True)])
+    assert {r.doc_id: (r.n_words, r.labels) for r in got.collect()} == {1: (3, ""), 2: (3, "tm"), 3: (3, "")}
+
+
+def test_license_scan_of_many_templates(spark):
+    """500 templates of 40 to 120 words; the plan is no larger than for two, and every planted one is found in place."""
+    import random
+    rng = random.Random(8)
+    word = lambda: rng.choice("abcdefgh") + str(rng.randint(0, 400))
+    templates = []
+    for i in range(500):
+        words = [word() for _ in range(rng.randint(40, 120))]
+        lo = rng.randrange(len(words) - 6)
+        templates.append(license_scan.Template(f"t{i:03d}", " ".join(words), " ".join(words[lo:lo + 6]), base=i % 2 == 0))
+    rows, want = [], {}
+    for n in range(120):
+        some = rng.sample(range(500), rng.randint(0, 2))
+        parts = [" ".join(word() for _ in range(20))]
+        for i in some:
+            parts += [templates[i].text.upper().replace(" ", ", ", 3), " ".join(word() for _ in range(5))]
+        rows.append((n, " ".join(parts)))
+        want[n] = {f"t{i:03d}" for i in some}
+    docs = spark.createDataFrame(rows * 2, "doc_id long, text string").repartition(3)
+    got = license_scan.scan_licenses(docs, templates)
+    found = got.collect()
+    assert len(found) == 240
+    for r in found:
+        w = alnum(rows[r.doc_id][1])
+        every, places = set(), []
+        for t in templates:
+            key = (t.key or t.text).split()
+            at = [i for i in range(len(w)) if w[i] == key[0] and w[i:i + 6] == key]
+            every |= {t.label} if at else set()
+            places += at if t.base else []
+        assert want[r.doc_id] <= every and r.labels == ",".join(sorted(every)) and r.n_base == len(places)
+        assert (r.first_word, r.last_word) == (min(places, default=None), max(places, default=None))
+        assert (r.score == 1.0) == bool(want[r.doc_id])
+    size = lambda ts: len(license_scan.scan_licenses(docs, ts)._jdf.queryExecution().optimizedPlan().toString())
+    assert abs(size(templates) - size(templates[:2])) < 200
 
 
 # languages ------------------------------------------------------------------------------------------------------
