@@ -57,6 +57,7 @@ def order_columns(df: DataFrame, time: str, tie_breakers: Iterable[str], descend
 
 
 CHUNK_ROWS = 200_000         # of an actor's hour, beyond which it is cut further
+MOST_OVERFULL = 1 << 20      # chunks that can have more than that; the bound on rows grows with larger tables
 CHUNK = ("_actor", "_chunk", "_sub")
 NO_TIME = -(1 << 62)         # the chunk of rows without a time: before all others
 
@@ -80,13 +81,16 @@ def chunk_rows(df: DataFrame, actor: str | Sequence[str], time: str, chunk_secon
     base = with_chunk(df, actor, time, chunk_seconds)
     sizes = [F.count(F.lit(1)).alias("_n"), F.min(time).alias("_first"), F.max(time).alias("_last")]
     chunks = cut_lineage(base.groupBy("_actor", "_chunk").agg(*sizes))
-    over = chunks.where(F.col("_n") > CHUNK_ROWS)
-    rows = over.agg(F.sum("_n")).first()[0]
-    if not rows:
+    total, largest = chunks.agg(F.sum("_n"), F.max("_n")).first()
+    most = max(CHUNK_ROWS, (total or 0) // MOST_OVERFULL)
+    if (largest or 0) <= most:
         return base.withColumn("_sub", F.lit(0)), chunks.withColumn("_sub", F.lit(0))
-    over = over.select("_actor", "_chunk")                       # at most a chunk for every CHUNK_ROWS rows of the input
+    over = chunks.where(F.col("_n") > most)
+    rows = over.agg(F.sum("_n")).first()[0]
+    # At most MOST_OVERFULL rows.  Sent to all tasks, as a join by shuffle would bring each overfull chunk together.
+    over = F.broadcast(over.select("_actor", "_chunk"))
     order = [F.col("_actor"), F.col("_chunk"), *order_columns(base, time, tie_breakers), F.rand(17)]
-    ranged = base.join(over, ["_actor", "_chunk"], "left_semi").repartitionByRange(-(-rows // CHUNK_ROWS) + 1, *order)
+    ranged = base.join(over, ["_actor", "_chunk"], "left_semi").repartitionByRange(-(-rows // most) + 1, *order)
     ranged = cut_lineage(ranged.withColumn("_sub", F.spark_partition_id() + 1))         # written: both branches see one cut
     kept = base.join(over, ["_actor", "_chunk"], "left_anti").withColumn("_sub", F.lit(0))
     small = chunks.join(over, ["_actor", "_chunk"], "left_anti").withColumn("_sub", F.lit(0))
