@@ -29,6 +29,7 @@ from txnflow.session import cut_lineage, ship_package
 EPS = float(np.finfo(np.float64).eps)
 BUDGET = 4_000_000             # float64 elements of a temporary array (32 MB)
 BLOCK_BYTES = 64 << 20         # of a block's vectors
+SMALL = 512                    # rows that a block holds whatever their dimensions
 MOST_BLOCKS = 1 << 16          # blocks get larger beyond: their list is sent to every task
 MOST_PIVOTS = 256              # of a class
 MOST_CLASSES = 4096
@@ -259,9 +260,11 @@ def class_sizes(df: DataFrame, label: str = "label") -> dict:
 
 
 def knn_within_class(df: DataFrame, k: int = 5, block_size: int = 16_384, classes: DataFrame | None = None, key: str = "id",
-                     label: str = "label", features: str = "features", materialize: bool = True) -> DataFrame:
+                     label: str = "label", features: str = "features", materialize: bool = True, sizes: dict | None = None) -> DataFrame:
     """(id, label, nbr_rank 1..k, nbr_id, distance): the exact k nearest rows of the same class, ties to the smaller id.
 
+    ``sizes``: the rows of each class, where the caller has counted them.
+
     Ids are unique.  A class of one row has no neighbours, one of at most k has all others.  Rows without features, and
     classes not in ``classes`` (if given), take no part.
     """
@@ -273,10 +276,11 @@ def knn_within_class(df: DataFrame, k: int = 5, block_size: int = 16_384, classe
         rows = rows.join(F.broadcast(classes.select(F.col(label).alias("label"))), "label", "left_semi").select("id", "label", "features")
     if materialize:
         rows = cut_lineage(rows)
-    sizes = class_sizes(rows)
-    first = rows.select(F.size("features")).first()
-    room = BLOCK_BYTES // (8 * max(1, first[0])) if first else block_size
-    block_size = max(1, min(block_size, max(k + 1, room)), -(-sum(sizes.values()) // MOST_BLOCKS))
+    sizes = class_sizes(rows) if sizes is None else sizes
+    if max(sizes.values(), default=0) > min(block_size, SMALL):
+        first = rows.select(F.size("features")).first()
+        room = BLOCK_BYTES // (8 * max(1, first[0])) if first else block_size
+        block_size = max(1, min(block_size, max(k + 1, room)), -(-sum(sizes.values()) // MOST_BLOCKS))
     large = {name: n for name, n in sizes.items() if n > block_size}
     out = f"id {kind}, label {kind_of_label}, nbr_rank int, nbr_id {kind}, distance double"
     few = rows.where(~F.col("label").isin(list(large))) if large else rows

@@ -81,7 +81,7 @@ def smote_samples(df: DataFrame, k: int = 5, seed: int = 666, key: str = "id", l
                                 .withColumn("_h", keyed_hash(seed, "id")), ["label"], "_h", "id", out="_base_rank")
     base = members_ranked.select("label", "_base_rank", F.col("id").alias("base_id"),
                                  F.col("features").alias("_bx"))
-    nbrs = knn_within_class(rows, k, block_size, classes=small, materialize=False).select(
+    nbrs = knn_within_class(rows, k, block_size, classes=small, materialize=False, sizes={p[0]: p[1] for p in plan}).select(
         F.col("id").alias("base_id"), F.col("nbr_rank").alias("_nbr_rank"), "nbr_id")
     nbr_x = rows.select(F.col("id").alias("nbr_id"), F.col("features").alias("_nx"))
     out = (samples.join(base, ["label", "_base_rank"])
