@@ -5,12 +5,17 @@ sequence also starts earlier (smaller id, or same document and smaller start) is
 repeated, and every word that a repeated window covers is removed.
 
 Sending each window somewhere would multiply the corpus by ``window``.  Instead each
-window gets a *minimiser*, the smallest hash among its three-word grams.  Neighbouring
+window gets a *minimiser*, the smallest hash among its eight-word grams.  Neighbouring
 windows mostly share it, so a maximal run of them -- a super-k-mer -- travels as one
 packed string, and equal windows, having equal minimisers, meet in the same bucket.
 There all windows are sorted by fingerprint; equal fingerprints are confirmed on the
 words themselves, and all but the earliest window of a sequence are repeated.
 
+A window whose minimiser stands at one place of the corpus only can't be repeated and does
+not travel.  The places of minimisers, four bytes each, are counted first, and those that
+stand at several places set a bit of a filter of 2^``FILTER_BITS`` bits, sent
+to all tasks.  What passes the filter by chance is sent and compared like the rest.
+
 Scale: a super-k-mer that occurs more than once in a map-side piece of text is sent
 once, as its later occurrences are known to be repeated without asking anyone; a
 passage that a third of all documents share thus reaches its bucket once per piece, not
@@ -24,10 +29,12 @@ one by one to sub-buckets by the hash of the whole window, again once per piece.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,11 +42,14 @@ from pyspark.sql import types as T
 from txnflow.llm import wordbytes
 from txnflow.llm.tables import written
 
-GRAM = 3
+GRAM = 8                     # words of a minimiser, fewer for windows of less than 20 words
 LONGEST_RUN = 64
 PIECE_BYTES = 4 << 20
 BUCKET_BYTES = 16 << 20      # of text; a bucket holds about three times as much
 HOT_BYTES = 16 << 20         # of text; a bucket above this is split by whole windows
+SLOT_BYTES = 64 << 20        # of text whose minimisers' places are counted together
+ANCHORS = 1 << 21            # minimisers' places that a task holds before it sends them
+FILTER_BITS = 27             # log2 of the filter's places: 16 MB
 LAST = (1 << 63) - 1         # the order of a null id: after all others
 
 _SUPERS = pa.schema([("bucket", pa.int64()), ("packed", pa.binary()), ("oid", pa.list_(pa.int64())),
@@ -59,13 +69,101 @@ def _runs(position: np.ndarray, text: np.ndarray, minimiser: np.ndarray) -> tupl
     return begin, np.diff(np.append(begin, len(position)))
 
 
-def super_kmers(window: int, buckets: int, hot: dict[int, int] | None = None, volumes: bool = False):
+def _gram(window: int) -> int:
+    return min(window, max(3, GRAM * window // 20), GRAM)
+
+
+class _Texts:
+    """A piece by (oid, tkey): its words, their grams, and the windows that a repeated row does not repeat."""
+
+    def __init__(self, piece: pa.RecordBatch, window: int):
+        gram = _gram(window)
+        table = pa.Table.from_batches([piece]).sort_by([("oid", "ascending"), ("tkey", "ascending")])
+        self.ids, self.keys = table["oid"].to_numpy(), table["tkey"].to_numpy()
+        self.words = wordbytes.scan(table["text"], wordbytes.SPACED).tight()
+        self.hashes, self.text_of = self.words.hashes(), self.words.text_of()
+        self.grams = wordbytes.grams(self.hashes, gram)
+        self.least = least = wordbytes.sliding_min(self.grams, window - gram + 1)
+        position = np.flatnonzero(self.words.first[1:][self.text_of[:len(least)]] >= np.arange(window, window + len(least)))
+        same = np.zeros(len(self.ids), bool)          # a repeated row says nothing new
+        same[1:] = (self.ids[1:] == self.ids[:-1]) & (self.keys[1:] == self.keys[:-1])
+        self.position = position[~same[self.text_of[position]]]
+
+
+def anchors(window: int, slot_bits: int):
+    """Map side: (oid, tkey, text) batches to the places of minimisers, as (slot, packed 32-bit parts of their hashes).
+
+    Every place whose gram is the minimiser of a window over it counts, so equal windows have two such places even
+    where they overlap.  One that a task has more than once is sent twice.
+    """
+    wide = window - _gram(window)
+
+    def slots(held: list[np.ndarray]) -> pa.RecordBatch:
+        found, n = np.unique(np.concatenate(held), return_counts=True)
+        found = np.repeat(found, np.minimum(n, 2))
+        slot = (found >> np.uint64(64 - slot_bits)).astype(np.int32)
+        part = ((found << np.uint64(slot_bits)) >> np.uint64(32)).astype("<u4")
+        cut = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]])
+        return pa.record_batch([pa.array(slot[cut]), pa.array([x.tobytes() for x in np.split(part, cut[1:])], pa.binary())], ["slot", "parts"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for piece in wordbytes.pieces(batches, "text", PIECE_BYTES):
+            texts = _Texts(piece, window)
+            if not len(texts.position):
+                continue
+            least = np.zeros(len(texts.least) + 2 * wide, np.uint64)
+            least[texts.position + wide] = texts.least[texts.position]
+            most = ~wordbytes.sliding_min(~least, wide + 1)
+            held.append(wordbytes.mix(texts.grams[most == texts.grams]))
+            size += len(held[-1])
+            if size >= ANCHORS:
+                yield slots(held)
+                held, size = [], 0
+        if size:
+            yield slots(held)
+    return run
+
+
+def _repeated_anchors(slot_bits: int):
+    """A slot's places of minimisers to its part of the filter: bits of the hashes that stand at several places."""
+    def run(table: pa.Table) -> pa.Table:
+        parts = np.sort(np.frombuffer(b"".join(table["parts"].to_pylist()), "<u4"))
+        bits = np.zeros(1 << FILTER_BITS - slot_bits, bool)
+        bits[parts[1:][parts[1:] == parts[:-1]] >> np.uint32(32 - (FILTER_BITS - slot_bits))] = True
+        return pa.table({"slot": table["slot"].slice(0, 1).cast(pa.int32()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+    return run
+
+
+@dataclass(frozen=True)
+class Filter:
+    """A bit for each value of a hash's first ``FILTER_BITS`` bits."""
+    bits: Broadcast
+
+    def passes(self, hashes: np.ndarray) -> np.ndarray:
+        at = hashes >> np.uint64(64 - FILTER_BITS)
+        return np.frombuffer(self.bits.value, np.uint8)[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1 > 0
+
+
+def repeated_filter(texts: DataFrame, window: int, volume: int) -> Filter:
+    """Which minimisers may stand at several places of ``texts`` (oid, tkey, text), which have ``volume`` bytes."""
+    spark = texts.sparkSession
+    slot_bits = min(max(4, (volume // SLOT_BYTES).bit_length()), FILTER_BITS - 3)
+    found = texts.mapInArrow(anchors(window, slot_bits), "slot int, parts binary").groupBy("slot") \
+        .applyInArrow(_repeated_anchors(slot_bits), "slot int, bits binary").toArrow()
+    size = 1 << FILTER_BITS - slot_bits - 3
+    bits = np.zeros((1 << slot_bits, size), np.uint8)
+    for slot, part in zip(found["slot"].to_pylist(), found["bits"].to_pylist()):
+        bits[slot] = np.frombuffer(part, np.uint8)
+    return Filter(spark.sparkContext.broadcast(bits.tobytes()))
+
+
+def super_kmers(window: int, buckets: int, hot: dict[int, int] | None = None, volumes: bool = False, wanted: Filter | None = None):
     """Map side: (oid, tkey, text) batches to super-k-mers by bucket, and spans already known to be repeated.
 
     ``hot``: overfull buckets and the number of sub-buckets that their single windows go to.  ``volumes``: only (bucket,
-    volume) of the text that would be sent.
+    volume) of the text that would be sent.  ``wanted``: only windows whose minimiser passes are looked at.
     """
-    gram = min(GRAM, window)
     overfull = np.array(sorted(hot or {}), np.int64)
     splits = np.array([(hot or {})[b] for b in overfull.tolist()], np.int64)
     base_of = buckets + np.cumsum(splits) - splits
@@ -73,15 +171,11 @@ def super_kmers(window: int, buckets: int, hot: dict[int, int] | None = None, vo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3)
         for piece in wordbytes.pieces(batches, "text", PIECE_BYTES):
-            table = pa.Table.from_batches([piece]).sort_by([("oid", "ascending"), ("tkey", "ascending")])
-            ids, keys = table["oid"].to_numpy(), table["tkey"].to_numpy()
-            words = wordbytes.scan(table["text"], wordbytes.SPACED).tight()
-            hashes, text_of = words.hashes(), words.text_of()
-            least = wordbytes.sliding_min(wordbytes.grams(hashes, gram), window - gram + 1)
-            position = np.flatnonzero(words.first[1:][text_of[:len(least)]] >= np.arange(window, window + len(least)))
-            same = np.zeros(len(ids), bool)          # a repeated row says nothing new
-            same[1:] = (ids[1:] == ids[:-1]) & (keys[1:] == keys[:-1])
-            position = position[~same[text_of[position]]]
+            texts = _Texts(piece, window)
+            ids, keys, words, hashes, text_of, least = texts.ids, texts.keys, texts.words, texts.hashes, texts.text_of, texts.least
+            position = texts.position
+            if wanted is not None:
+                position = position[wanted.passes(wordbytes.mix(least[position]))]
             if not len(position):
                 continue
             begin, count = _runs(position, text_of[position], least[position])
@@ -248,11 +342,12 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, window: int) ->
                         F.xxhash64(F.col(text_col)).alias("tkey"), F.col(text_col).alias("text"))
     volume = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), volume // BUCKET_BYTES)
+    wanted = repeated_filter(texts, window, volume)
     # Few come to the driver: an overfull bucket has at least HOT_BYTES of text.
-    full = (texts.mapInArrow(super_kmers(window, buckets, volumes=True), "bucket long, volume long").groupBy("bucket").agg(F.sum("volume").alias("volume"))
+    full = (texts.mapInArrow(super_kmers(window, buckets, volumes=True, wanted=wanted), "bucket long, volume long").groupBy("bucket").agg(F.sum("volume").alias("volume"))
             .where(F.col("volume") > HOT_BYTES).collect())
     hot = {r.bucket: r.volume * (window // 2 + 1) // BUCKET_BYTES + 1 for r in full}
-    spans = (texts.mapInArrow(super_kmers(window, buckets, hot), _SUPERS_DDL)
+    spans = (texts.mapInArrow(super_kmers(window, buckets, hot, wanted=wanted), _SUPERS_DDL)
              .groupBy("bucket").applyInArrow(repeated_in_bucket(window), _SPANS_DDL)
              .groupBy("oid", "tkey").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")))
     return written(spans, "spans")
