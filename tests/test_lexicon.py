@@ -88,3 +88,29 @@ def test_no_word_list_reaches_the_plan(spark):
         words = spark.range(n).selectExpr("concat('w', lpad(id, 6, '0')) AS word")
         sizes.append(len(lexicon.lexicon_matches(df, words)._jdf.queryExecution().optimizedPlan().toString()))
     assert abs(sizes[0] - sizes[1]) < 20
+
+
+def test_substrings_that_are_no_words_do_not_travel(spark):
+    """A piece sends each of its words once, with all places, and hardly any other substring; one hash for all changes nothing."""
+    import numpy as np
+    import pyarrow as pa
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abcdefgh") for _ in range(400)) for _ in range(50)]
+    words = sorted({t[a:a + n] for t in texts[:10] for a, n in ((3, 4), (50, 6), (200, 9))})
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    pieces = lexicon._pieces(df)
+    table = spark.createDataFrame([(w,) for w in words], "_word string")
+    sent = lexicon._filter(table, 16)
+    lengths = sorted({len(w) for w in words})
+    found = pieces.mapInArrow(lexicon._places(lengths, sent, 16), "_word string, piece long, places binary").collect()
+    assert {r._word for r in found} >= set(words) and len(found) <= 2 * len(words) * pieces.count()
+    full = type("All", (), {"value": b"\xff" * (1 << 13)})()
+    batch = pa.record_batch([pa.array([0]), pa.array([texts[:3]], pa.list_(pa.string()))], ["piece", "texts"])
+    rows = lambda: sorted((w, np.frombuffer(p, "<i4").tolist()) for b in lexicon._places(lengths, full, 16)([batch])
+                          for w, p in zip(b["_word"].to_pylist(), b["places"].to_pylist()))
+    want, real = rows(), lexicon._Chars.hashes
+    lexicon._Chars.hashes = lambda self, first, length: real(self, first, length) * np.uint64(0)
+    try:
+        assert rows() == want
+    finally:
+        lexicon._Chars.hashes = real
