@@ -106,3 +106,19 @@ def test_one_hot_declared_levels(spark):
     df = spark.createDataFrame([(-1,), (0,), (1,), (None,)], "c int")
     out = df.select(*flags.one_hot(F.col("c"), (-1, 1), "cash_flow")).collect()
     assert [tuple(r) for r in out] == [(1, 0), (0, 0), (0, 1), (0, 0)]
+
+
+def test_location_terms_are_those_of_the_document(spark):
+    """The chain in one gives the analysed terms of the document, and makes no token for a single character."""
+    import random
+    rng = random.Random(8)
+    parts = ["the", "The", "a", "b7", "Brand 1", "Brand 17", "Brand 175", "red widget", "it's", "don't", "caf\u00e9", "\u0130x", "\u53f0\u5317", "\U0001f600",
+             "_", "_a_", " ", " ", "#", "\n", ".", "'", "unknown", "D", "1F", "\u5e97", "x\u5e97y"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(300)] + ["", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").repartition(2)
+    for lexicon, stop, fragment in ((("Brand 1", "Brand 17", "it's", "\u53f0\u5317", "b_c d"), ("the", "unknown", "it's"), "'"), ((), (), "a"),
+                                    (("x\u5e97y",), ("D", "1F"), "\u5e97"), (("red widget",), ("\u53f0",), "")):
+        args = (text.F.col("t"), "#", lexicon, stop, fragment)
+        rows = df.select(text.location_terms(*args).alias("new"), text.analyse(text.location_document(*args)).alias("old")).collect()
+        assert [r.new for r in rows] == [r.old for r in rows]
+        assert sum(len(r.old or ()) for r in rows) > 100
