@@ -329,6 +329,29 @@ def test_text_pca_matches_numpy(spark, monkeypatch, weighted, block, columns):
     assert np.allclose(fit.explained_ratio, s[:3] ** 2 / (s ** 2).sum(), atol=1e-9)
 
 
+def test_text_pca_sends_few_terms_to_every_task(spark, monkeypatch):
+    """Counts stay where they are stored while the directions are small; both ways give the same components."""
+    import random
+    from txnflow.operators import text_pca
+    rng = random.Random(2)
+    rows = [(i, [f"t{rng.randrange(6) * rng.randrange(6)}" for _ in range(rng.randrange(40))]) for i in range(80)]
+    df = spark.createDataFrame(rows, "doc long, terms array<string>").repartition(3)
+    counts, n = text_pca.term_counts(df, "doc", "terms", None, 2, 0.97)
+    monkeypatch.setattr(text_pca, "DOC_CELLS", 100)
+    monkeypatch.setattr(text_pca, "TERM_BLOCK", 5)
+    real = text_pca._through
+    monkeypatch.setattr(text_pca, "_through", None)
+    near = text_pca.fit_text_pca(counts, n, 3)
+    monkeypatch.setattr(text_pca, "_through", real)
+    monkeypatch.setattr(text_pca, "SENT_BYTES", 0)
+    far = text_pca.fit_text_pca(counts, n, 3)
+    assert near.variances == pytest.approx(far.variances, rel=1e-9) and near.total == far.total
+    a, b = ({r.term: r.v for r in f.loadings.collect()} for f in (near, far))
+    assert a.keys() == b.keys() and all(a[t] == pytest.approx(b[t], abs=1e-6) for t in a)
+    moments, m = text_pca.kept_term_moments(df, "doc", "terms", 2, 0.97)
+    assert m == n and sorted(map(tuple, moments.collect())) == sorted(map(tuple, text_pca.term_moments(counts, n).collect()))
+
+
 def test_text_pca_of_nothing(spark):
     from txnflow.operators import text_pca
     df = spark.createDataFrame([("a", None), ("b", [])], "doc string, terms array<string>")
