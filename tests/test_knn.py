@@ -73,3 +73,15 @@ def test_too_many_classes(spark, monkeypatch):
     monkeypatch.setattr(knn, "MOST_CLASSES", 3)
     with pytest.raises(ValueError):
         knn.class_sizes(spark.createDataFrame([(i,) for i in range(5)], "label int"))
+
+
+def test_temporary_arrays_of_a_search_are_small():
+    """A block compared with itself holds little besides its vectors, whatever the number of rows."""
+    import tracemalloc
+    rng = np.random.default_rng(3)
+    x, ids = rng.normal(size=(16_384, 8)), np.arange(16_384)
+    tracemalloc.start()
+    q, r, d = knn.nearest(ids[:600], x[:600], ids, x, 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(q) == 3000 and peak < 100 << 20

@@ -27,7 +27,7 @@ from txnflow.operators.sampling import keyed_hash
 from txnflow.session import cut_lineage, ship_package
 
 EPS = float(np.finfo(np.float64).eps)
-BUDGET = 4_000_000             # float64 elements of a temporary array (32 MB)
+BUDGET = 1_000_000             # float64 elements of a temporary array (8 MB); a search holds about ten
 BLOCK_BYTES = 64 << 20         # of a block's vectors
 SMALL = 512                    # rows that a block holds whatever their dimensions
 MOST_BLOCKS = 1 << 16          # blocks get larger beyond: their list is sent to every task
@@ -38,7 +38,7 @@ SLACK = 1e-9                   # relative, of bounds, for rounding
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
-    return np.stack(column.to_numpy()).astype(np.float64)
+    return np.stack(column.to_numpy()).astype(np.float64, copy=False)
 
 
 def nearest(qid: np.ndarray, qx: np.ndarray, rid: np.ndarray, rx: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
