@@ -85,3 +85,37 @@ def test_temporary_arrays_of_a_search_are_small():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert len(q) == 3000 and peak < 100 << 20
+
+
+def test_cells_are_found_without_copies_of_the_vectors():
+    """A batch of wide vectors, as the padded sequences are, gets its cells in little room besides its own."""
+    import tracemalloc
+    import pyarrow as pa
+    rng = np.random.default_rng(5)
+    n, dim = 10_000, 400
+    x, labels = rng.normal(size=(n, dim)), rng.integers(1, 3, n)
+    none = np.empty(0)
+    cells = {c: knn._Cells(x[labels == c][:8], none, none, none, none, none) for c in (1, 2)}
+    vectors = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * dim), pa.array(x.ravel()))
+    batch = pa.record_batch([pa.array(np.arange(n)), pa.array(labels), vectors], ["id", "label", "features"])
+    held = pa.total_allocated_bytes()
+    tracemalloc.start()
+    (out,) = knn._assign(cells)(iter([batch, batch.slice(0, 0)]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < x.nbytes and pa.total_allocated_bytes() - held < 1 << 20 and out.column(2).equals(vectors)
+    for c in (1, 2):
+        to = np.sqrt(((x[labels == c][:, None, :] - cells[c].pivots[None]) ** 2).sum(axis=2))
+        assert (out["cell"].to_numpy()[labels == c] == to.argmin(axis=1)).all()
+        assert np.allclose(out["dist"].to_numpy()[labels == c], to.min(axis=1), rtol=1e-12)
+    uneven = pa.record_batch([pa.array([1, 2]), pa.array([1, 1]), pa.array([[1.0], [1.0, 2.0, 3.0]])], ["id", "label", "features"])
+    with pytest.raises(ValueError):
+        list(knn._assign(cells)([uneven]))
+
+
+def test_blocks_hold_a_fixed_volume():
+    """Rows of 42 steps of 22 features: a class of 8,001, which one task held as a whole, is cut; larger ones get more blocks."""
+    for total in (8001, 48_006, 1_000_000):
+        assert knn.block_rows(42 * 22, total, 5, 16_384) * 42 * 22 * 8 <= 16 << 20
+    assert knn.block_rows(8, 20_000, 5, 1000) == 1000 and knn.block_rows(10 ** 9, 100, 5, 1000) == 6
+    assert knn.block_rows(924, knn.MOST_BLOCKS * 5000, 5, 16_384) == 5000

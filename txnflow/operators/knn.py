@@ -16,10 +16,13 @@ out (independent high-dimensional noise) they are the number of blocks, half of
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,7 +31,7 @@ from txnflow.session import cut_lineage, ship_package
 
 EPS = float(np.finfo(np.float64).eps)
 BUDGET = 1_000_000             # float64 elements of a temporary array (8 MB); a search holds about ten
-BLOCK_BYTES = 64 << 20         # of a block's vectors
+BLOCK_BYTES = 16 << 20         # of a block's vectors; a task holds two blocks and a few copies of them
 SMALL = 512                    # rows that a block holds whatever their dimensions
 MOST_BLOCKS = 1 << 16          # blocks get larger beyond: their list is sent to every task
 MOST_PIVOTS = 256              # of a class
@@ -134,14 +137,24 @@ class _Cells:
 
 
 def _assign(cells: dict):
-    def run(batches):
+    """(id, label, features) with each row's cell and its distance to the pivot; the vectors stay in the batch's buffers."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            rows["cell"], rows["dist"] = np.int32(0), 0.0
-            for name, part in rows.groupby("label", sort=False):
-                to = cells[name].distances(_matrix(part["features"]))
-                rows.loc[part.index, "cell"] = to.argmin(axis=1).astype(np.int32)
-                rows.loc[part.index, "dist"] = to.min(axis=1)
-            yield rows
+            if not rows.num_rows:
+                continue
+            labels, vectors = rows.column(1), rows.column(2)
+            if pc.count_distinct(vectors.value_lengths()).as_py() > 1:
+                raise ValueError("vectors of several lengths")
+            x = vectors.flatten().to_numpy(zero_copy_only=False).reshape(rows.num_rows, -1)
+            cell, dist = np.zeros(rows.num_rows, np.int32), np.zeros(rows.num_rows)
+            step = max(1, BUDGET // max(1, x.shape[1]))
+            for name in labels.unique():
+                mine = np.flatnonzero(pc.equal(labels, name).to_numpy(zero_copy_only=False))
+                for s in range(0, len(mine), step):
+                    at = mine[s:s + step]
+                    to = cells[name.as_py()].distances(x[at])
+                    cell[at], dist[at] = to.argmin(axis=1), to.min(axis=1)
+            yield pa.record_batch([*rows.columns, pa.array(cell), pa.array(dist)], ["id", "label", "features", "cell", "dist"])
     return run
 
 
@@ -205,7 +218,7 @@ def plan_search(rows: DataFrame, sizes: dict, k: int, block_size: int) -> Search
     bare = {name: _Cells(np.unique(np.array(p, np.float64), axis=0), none, none, none, none, none) for name, p in pivots.items()}
 
     schema = f"id {kind}, label {kind_of_label}, features array<double>"
-    placed = cut_lineage(rows.mapInPandas(_assign(bare), f"{schema}, cell int, dist double"))
+    placed = cut_lineage(rows.mapInArrow(_assign(bare), f"{schema}, cell int, dist double"))
     cell = ["label", "cell"]
     radius = placed.groupBy(*cell).agg(F.max("dist").alias("radius"))
     ring = F.when(F.col("radius") > 0, F.floor(F.col("dist") / F.col("radius") * RINGS)).otherwise(0).cast("int")
@@ -251,6 +264,12 @@ def _search(rows: DataFrame, sizes: dict, k: int, block_size: int) -> DataFrame:
     return here.union(away).withColumn("nbr_rank", rank).where(F.col("nbr_rank") <= k).select("id", "label", "nbr_rank", "nbr_id", "distance")
 
 
+def block_rows(dimensions: int, total: int, k: int, most: int) -> int:
+    """Rows of a block, at most ``most``: they hold ``BLOCK_BYTES``, and there are no more than ``MOST_BLOCKS`` of ``total`` rows."""
+    room = BLOCK_BYTES // (8 * max(1, dimensions))
+    return max(1, min(most, max(k + 1, room)), -(-total // MOST_BLOCKS))
+
+
 def class_sizes(df: DataFrame, label: str = "label") -> dict:
     """Rows by class; the classes are taken to be few, and it is an error if they are not."""
     found = df.groupBy(label).count().limit(MOST_CLASSES + 1).collect()
@@ -279,8 +298,7 @@ def knn_within_class(df: DataFrame, k: int = 5, block_size: int = 16_384, classe
     sizes = class_sizes(rows) if sizes is None else sizes
     if max(sizes.values(), default=0) > min(block_size, SMALL):
         first = rows.select(F.size("features")).first()
-        room = BLOCK_BYTES // (8 * max(1, first[0])) if first else block_size
-        block_size = max(1, min(block_size, max(k + 1, room)), -(-sum(sizes.values()) // MOST_BLOCKS))
+        block_size = block_rows(first[0] if first else 1, sum(sizes.values()), k, block_size)
     large = {name: n for name, n in sizes.items() if n > block_size}
     out = f"id {kind}, label {kind_of_label}, nbr_rank int, nbr_id {kind}, distance double"
     few = rows.where(~F.col("label").isin(list(large))) if large else rows
