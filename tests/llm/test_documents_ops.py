@@ -141,6 +141,27 @@ def test_substring_dedup_sends_only_what_may_repeat(spark):
     same_rows(got, [(i, t, *w) for (i, t), w in zip(rows, want)])
 
 
+def test_substring_dedup_sends_only_texts_that_may_have_spans(spark):
+    """Texts without a repeated window stay where they are read; null ids, texts and repeated rows as well as others get their answers."""
+    import random
+    import numpy as np
+    rng = random.Random(8)
+    own = lambda n: " ".join(f"w{rng.randrange(10 ** 9)}" for _ in range(n))
+    passage = own(25)
+    rows = [(i, own(40) + (" " + passage if i % 25 == 3 else "")) for i in range(400)]
+    rows += [(None, rows[5][1]), (None, None), (500, None), (501, ""), (7, rows[7][1]), (502, rows[8][1]), (502, own(3))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    spans = substring_dedup.repeated_spans(docs, "doc_id", "text", 20)
+    some = substring_dedup.span_filter(spans)
+    last = substring_dedup.LAST
+    keys = docs.selectExpr(f"coalesce(doc_id, {last}) AS oid", "xxhash64(text) AS tkey").selectExpr("*", "xxhash64(oid, tkey) AS hash").toPandas()
+    passes = some.passes(keys["hash"].to_numpy().view(np.uint64))
+    have = {(r.oid, r.tkey) for r in spans.collect()}
+    assert have <= {k for k, p in zip(zip(keys["oid"], keys["tkey"]), passes) if p} and len(have) <= passes.sum() < len(have) + 5 < 30
+    got = substring_dedup.dedup_substrings(docs, window=20).select("doc_id", "text", "n_words", "n_removed", "kept_text").collect()
+    same_rows(got, [(i, t, *w) for (i, t), w in zip(rows, removed_words(rows, 20))])
+
+
 def test_substring_dedup_of_nothing(no_docs):
     assert substring_dedup.dedup_substrings(no_docs).collect() == []
 

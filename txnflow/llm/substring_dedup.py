@@ -24,6 +24,9 @@ equal strings.  The number of buckets follows the volume of text.  A phrase that
 many documents amid different words can be the minimiser of a large volume of different
 strings: bucket volumes are counted first, and the windows of an overfull bucket travel
 one by one to sub-buckets by the hash of the whole window, again once per piece.
+
+Most texts have no repeated window.  A filter like that of the minimisers says which may have one: only these meet their
+spans by a shuffle, the others are returned where they are read.
 """
 
 from __future__ import annotations
@@ -32,6 +35,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark import Broadcast
@@ -40,7 +44,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from txnflow.llm import wordbytes
-from txnflow.llm.tables import written
+from txnflow.llm.tables import shuffles_removed, written
 
 GRAM = 8                     # words of a minimiser, fewer for windows of less than 20 words
 LONGEST_RUN = 64
@@ -50,6 +54,7 @@ HOT_BYTES = 16 << 20         # of text; a bucket above this is split by whole wi
 SLOT_BYTES = 64 << 20        # of text whose minimisers' places are counted together
 ANCHORS = 1 << 21            # minimisers' places that a task holds before it sends them
 FILTER_BITS = 27             # log2 of the filter's places: 16 MB
+SPAN_SLOT_BITS = 6           # log2 of the parts that the filter of texts with spans is made in
 LAST = (1 << 63) - 1         # the order of a null id: after all others
 
 _SUPERS = pa.schema([("bucket", pa.int64()), ("packed", pa.binary()), ("oid", pa.list_(pa.int64())),
@@ -57,6 +62,7 @@ _SUPERS = pa.schema([("bucket", pa.int64()), ("packed", pa.binary()), ("oid", pa
 _SUPERS_DDL = "bucket long, packed binary, oid array<long>, tkey array<long>, lo array<int>, hi array<int>"
 _SPANS = pa.schema([("oid", pa.int64()), ("tkey", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())])
 _SPANS_DDL = "oid long, tkey long, lo int, hi int"
+_SPAN_LIST = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
 
 
 def _runs(position: np.ndarray, text: np.ndarray, minimiser: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -129,12 +135,16 @@ def _repeated_anchors(slot_bits: int):
     """A slot's places of minimisers to its part of the filter: bits of the hashes that stand at several places."""
     def run(table: pa.Table) -> pa.Table:
         parts = np.sort(np.frombuffer(b"".join(table["parts"].to_pylist()), "<u4"))
-        bits = np.zeros(1 << FILTER_BITS - slot_bits, bool)
-        bits[parts[1:][parts[1:] == parts[:-1]] >> np.uint32(32 - (FILTER_BITS - slot_bits))] = True
-        return pa.table({"slot": table["slot"].slice(0, 1).cast(pa.int32()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+        return _slot_bits_set(table["slot"], parts[1:][parts[1:] == parts[:-1]] >> np.uint32(32 - (FILTER_BITS - slot_bits)), slot_bits)
     return run
 
 
+def _slot_bits_set(slot: pa.ChunkedArray, places: np.ndarray, slot_bits: int) -> pa.Table:
+    bits = np.zeros(1 << FILTER_BITS - slot_bits, bool)
+    bits[places] = True
+    return pa.table({"slot": slot.slice(0, 1).cast(pa.int32()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+
+
 @dataclass(frozen=True)
 class Filter:
     """A bit for each value of a hash's first ``FILTER_BITS`` bits."""
@@ -147,17 +157,36 @@ class Filter:
 
 def repeated_filter(texts: DataFrame, window: int, volume: int) -> Filter:
     """Which minimisers may stand at several places of ``texts`` (oid, tkey, text), which have ``volume`` bytes."""
-    spark = texts.sparkSession
     slot_bits = min(max(4, (volume // SLOT_BYTES).bit_length()), FILTER_BITS - 3)
-    found = texts.mapInArrow(anchors(window, slot_bits), "slot int, parts binary").groupBy("slot") \
-        .applyInArrow(_repeated_anchors(slot_bits), "slot int, bits binary").toArrow()
-    size = 1 << FILTER_BITS - slot_bits - 3
-    bits = np.zeros((1 << slot_bits, size), np.uint8)
+    return _filter(texts.mapInArrow(anchors(window, slot_bits), "slot int, parts binary").groupBy("slot")
+                   .applyInArrow(_repeated_anchors(slot_bits), "slot int, bits binary"), slot_bits)
+
+
+def _filter(slots: DataFrame, slot_bits: int) -> Filter:
+    """The filter of parts (slot, bits)."""
+    spark = slots.sparkSession
+    with shuffles_removed(spark):
+        found = slots.toArrow()
+    bits = np.zeros((1 << slot_bits, 1 << FILTER_BITS - slot_bits - 3), np.uint8)
     for slot, part in zip(found["slot"].to_pylist(), found["bits"].to_pylist()):
         bits[slot] = np.frombuffer(part, np.uint8)
     return Filter(spark.sparkContext.broadcast(bits.tobytes()))
 
 
+def _text_hash():
+    return F.xxhash64("oid", "tkey")
+
+
+def span_filter(spans: DataFrame) -> Filter:
+    """Which texts may have ``spans`` (oid, tkey, ...)."""
+    def run(table: pa.Table) -> pa.Table:
+        hashes = table["hash"].to_numpy().view(np.uint64)
+        return _slot_bits_set(table["slot"], hashes << np.uint64(SPAN_SLOT_BITS) >> np.uint64(64 - (FILTER_BITS - SPAN_SLOT_BITS)), SPAN_SLOT_BITS)
+
+    slots = spans.select(F.shiftrightunsigned(_text_hash(), 64 - SPAN_SLOT_BITS).cast("int").alias("slot"), _text_hash().alias("hash"))
+    return _filter(slots.groupBy("slot").applyInArrow(run, "slot int, bits binary"), SPAN_SLOT_BITS)
+
+
 def super_kmers(window: int, buckets: int, hot: dict[int, int] | None = None, volumes: bool = False, wanted: Filter | None = None):
     """Map side: (oid, tkey, text) batches to super-k-mers by bucket, and spans already known to be repeated.
 
@@ -335,6 +364,18 @@ def without_spans(text_col: str):
     return run
 
 
+def without_any(text_col: str, some: Filter):
+    """The same for the texts that do not pass ``some`` by the hash in the last column, and so have no spans."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def others() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rest = batch.filter(pa.array(~some.passes(batch.column(batch.num_columns - 1).to_numpy().view(np.uint64))))
+                yield pa.RecordBatch.from_arrays([*rest.columns[:-1], pa.nulls(rest.num_rows, _SPAN_LIST)], rest.schema.names)
+        yield from without_spans(text_col)(others())
+    return run
+
+
 def repeated_spans(docs: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
     """Rows (oid, tkey, spans): the word ranges [lo, hi) of each text that repeated windows cover."""
     spark = docs.sparkSession
@@ -344,8 +385,9 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, window: int) ->
     buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), volume // BUCKET_BYTES)
     wanted = repeated_filter(texts, window, volume)
     # Few come to the driver: an overfull bucket has at least HOT_BYTES of text.
-    full = (texts.mapInArrow(super_kmers(window, buckets, volumes=True, wanted=wanted), "bucket long, volume long").groupBy("bucket").agg(F.sum("volume").alias("volume"))
-            .where(F.col("volume") > HOT_BYTES).collect())
+    with shuffles_removed(spark):
+        full = (texts.mapInArrow(super_kmers(window, buckets, volumes=True, wanted=wanted), "bucket long, volume long").groupBy("bucket").agg(F.sum("volume").alias("volume"))
+                .where(F.col("volume") > HOT_BYTES).collect())
     hot = {r.bucket: r.volume * (window // 2 + 1) // BUCKET_BYTES + 1 for r in full}
     spans = (texts.mapInArrow(super_kmers(window, buckets, hot, wanted=wanted), _SUPERS_DDL)
              .groupBy("bucket").applyInArrow(repeated_in_bucket(window), _SPANS_DDL)
@@ -365,9 +407,11 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     new = {"n_words", "n_removed", "kept_text"}
     base = docs.select([c for c in docs.columns if c not in new or c in (id_col, text_col)])
     spans = repeated_spans(base, id_col, text_col, window)
-    marked = (base.select(F.struct("*").alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("oid"),
-                          F.xxhash64(F.col(text_col)).alias("tkey"))
-              .join(spans, ["oid", "tkey"], "left").select("row.*", F.col("spans").alias("__spans")))
+    some = span_filter(spans)
+    may_have = F.pandas_udf(lambda hashes: pd.Series(some.passes(hashes.to_numpy().view(np.uint64))), "boolean")
+    rows = base.select(F.struct("*").alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("oid"),
+                       F.xxhash64(F.col(text_col)).alias("tkey")).select("*", _text_hash().alias("__hash"))
+    marked = rows.where(may_have("__hash")).join(spans, ["oid", "tkey"], "left").select("row.*", F.col("spans").alias("__spans"))
     schema = T.StructType([*base.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()),
                            T.StructField("kept_text", T.StringType())])
-    return marked.mapInArrow(without_spans(text_col), schema)
+    return rows.select("row.*", "__hash").mapInArrow(without_any(text_col, some), schema).union(marked.mapInArrow(without_spans(text_col), schema))
