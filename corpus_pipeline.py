@@ -1,7 +1,8 @@
 """The corpus pipeline: from ``documents`` to token ids.
 
 Each stage calls one operator of ``txnflow.llm`` on all that its predecessor kept, is written as Parquet in the
-shared folder and read again as the next one's input.  All but the last return the columns of ``documents``.
+shared folder and read again as the next one's input, which is deleted when the next one's output is written.  All but
+the last return the columns of ``documents``.
 
 Every stage takes null ids and texts, empty texts, repeated rows, empty tables and further columns; what it does with
 them is what its operator documents.
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from txnflow.llm import bpe, decontamination, near_dedup, quality, substring_dedup
 from txnflow.llm.registry import prepare
-from txnflow.llm.tables import read, written
+from txnflow.llm.tables import discard, listed, read, written
 
 QUALITY_THRESHOLD = 0.3
 SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
@@ -77,7 +78,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
-    docs = read(spark, sf_dir, "documents")
+    docs, used = read(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
+        with listed() as made:
+            docs = written(stage(spark, docs, sf_dir), name)
+        discard(*used, *[t for t in made if t is not docs])
+        used = [docs]
     return docs

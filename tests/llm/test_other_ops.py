@@ -199,3 +199,19 @@ def test_pipeline_runs(spark):
     given = spark.read.parquet(f"{SF}/documents.parquet")
     assert 0 < out.count() < given.count() and out.select("doc_id").distinct().count() == out.count()
     assert out.where("n_tokens != size(token_ids)").count() == 0
+
+
+def test_pipeline_deletes_what_is_consumed(spark, monkeypatch):
+    """Of all tables that the stages write, only the last one's output is left."""
+    import os
+    import corpus_pipeline as cp
+    from txnflow.llm.tables import written
+    from txnflow.session import ensure_checkpoint_dir
+    folder = ensure_checkpoint_dir(spark).removeprefix("file:")
+    helped = lambda s, docs, _: docs.join(written(docs.select("doc_id").where("doc_id % 2 = 0"), "helper"), "doc_id")
+    monkeypatch.setattr(cp, "STAGES", [("one", helped), ("two", helped), ("three", lambda s, docs, _: docs.select("doc_id"))])
+    before = set(os.listdir(folder))
+    out = cp.run(spark, SF)
+    assert [d.rsplit("-", 1)[0] for d in set(os.listdir(folder)) - before if not d.startswith(".")] == ["txnflow-three"]
+    want = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id % 2 = 0").count()
+    assert out.count() == want > 0

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from txnflow.llm import wordbytes
-from txnflow.llm.tables import written
+from txnflow.llm.tables import discard, listed, written
 
 SHINGLE = 3
 PIECE_BYTES = 1 << 20
@@ -189,7 +189,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` in which no window of ``benchmark`` occurs."""
-    hit = find_contamination(docs, benchmark, id_col, text_col, **options).where("n_hit > 0").select("oid", "tkey").distinct()
-    hit = written(hit, "contaminated").toDF("__oid", "__tkey")
+    with listed() as used:
+        hit = find_contamination(docs, benchmark, id_col, text_col, **options).where("n_hit > 0").select("oid", "tkey").distinct()
+        hit = written(hit.toDF("__oid", "__tkey"), "contaminated")
+    discard(*[t for t in used if t is not hit])
     return docs.join(hit, (F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)) == F.col("__oid"))
                      & (F.xxhash64(F.col(text_col)) == F.col("__tkey")), "left_anti")

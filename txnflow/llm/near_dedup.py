@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from txnflow.llm import shingles, wordbytes
-from txnflow.llm.tables import discard, written
+from txnflow.llm.tables import discard, listed, written
 from txnflow.llm.unionfind import components, spanning
 
 BANDS, ROWS = 45, 5
@@ -247,7 +247,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5,
                          percent: int = 80) -> DataFrame:
     """The rows of ``docs`` whose document is the first of its group; rows that repeat an id go or stay by their own texts."""
-    kept = _judged(docs, id_col, text_col, shingle, percent).where("component = oid").select("oid", "tkey").distinct()
-    kept = written(kept.toDF("__oid", "__tkey"), "kept")
+    with listed() as used:
+        kept = _judged(docs, id_col, text_col, shingle, percent).where("component = oid").select("oid", "tkey").distinct()
+        kept = written(kept.toDF("__oid", "__tkey"), "kept")
+    discard(*[t for t in used if t is not kept])
     same = (F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)) == F.col("__oid")) & (F.xxhash64(F.col(text_col)) == F.col("__tkey"))
     return docs.join(kept, same, "left_semi")
